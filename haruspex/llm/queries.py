@@ -8,6 +8,8 @@ from pyspark.sql import DataFrame, SparkSession
 
 from haruspex.llm.chat import op5_chat_format
 from haruspex.llm.compression import op3_compression_score
+from haruspex.llm.decontaminate import op2_decontaminate
+from haruspex.llm.licenses import op7_license_scan
 from haruspex.llm.mixing import op1_pareto_mix
 from haruspex.llm.rules import op9_quality_rules
 from haruspex.llm.secrets import op10_secret_scan
@@ -17,9 +19,11 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     f.__name__: f
     for f in (
         op1_pareto_mix,
+        op2_decontaminate,
         op3_compression_score,
         op4_shard,
         op5_chat_format,
+        op7_license_scan,
         op9_quality_rules,
         op10_secret_scan,
     )
