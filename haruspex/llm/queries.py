@@ -9,11 +9,13 @@ from pyspark.sql import DataFrame, SparkSession
 from haruspex.llm.chat import op5_chat_format
 from haruspex.llm.compression import op3_compression_score
 from haruspex.llm.decontaminate import op2_decontaminate
+from haruspex.llm.jaccard import op8_near_components
 from haruspex.llm.licenses import op7_license_scan
 from haruspex.llm.mixing import op1_pareto_mix
 from haruspex.llm.rules import op9_quality_rules
 from haruspex.llm.secrets import op10_secret_scan
 from haruspex.llm.sharding import op4_shard
+from haruspex.llm.substrings import op6_remove_repeats
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     f.__name__: f
@@ -23,7 +25,9 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
         op3_compression_score,
         op4_shard,
         op5_chat_format,
+        op6_remove_repeats,
         op7_license_scan,
+        op8_near_components,
         op9_quality_rules,
         op10_secret_scan,
     )
