@@ -7,6 +7,7 @@ generation covers it.  ``evaluate`` makes the Column.
 
 from __future__ import annotations
 
+import re
 from collections.abc import Sequence
 from dataclasses import dataclass
 
@@ -23,7 +24,9 @@ class Model:
     inputs: tuple = ()
 
     def text(self, names: Sequence[str]) -> str:
-        return "(" + self.sql.format(*names) + ")"
+        # literals with a point would be decimals; with an exponent they are doubles in any SQL
+        exact = re.sub(r"(?<![\w.{])(\d+\.\d+)(?![\d.eE])", r"\1e0", self.sql)
+        return "(" + exact.format(*names) + ")"
 
 
 def evaluate(model: Model | str, names: Sequence[str]) -> Column:
