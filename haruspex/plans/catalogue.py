@@ -528,6 +528,96 @@ def q_index_defect(spark, sf_dir):
     return a.join(b, "id").agg(F.count(F.lit(1)).alias("n"), F.sum((F.col("ra") != F.col("rb")).cast("long")).alias("mismatches"))
 
 
+# -- more of the operators, on line items, parts and events
+
+
+@_query(
+    f"WITH {_ROWS}, s AS (SELECT count(*) AS n, sum(x1*x1) AS g, sum(x1*y) AS b, var_pop(y) AS v FROM r) SELECT {_rs('avg(power((y - b / g * x1) / (1 - x1 * x1 / g), 2)) / max(v)', 8)} AS loo FROM r, s"
+)
+def q_loo_error(spark, sf_dir):
+    """Leave-one-out error of a line through the origin, by its hat values."""
+    e = linalg.loo_error(_design_rows(spark, sf_dir), ["x1"], "y")
+    return spark.createDataFrame([(e,)], "loo double").select(_r(F.col("loo"), 8).alias("loo"))
+
+
+@_query(f"WITH {_ROWS}, g AS (SELECT sum(x1*x1) AS a, sum(x1*x2) AS b, sum(x2*x2) AS c FROM r) SELECT {_rs('sqrt((a + c + sqrt(power(a - c, 2) + 4 * b * b)) / (a + c - sqrt(power(a - c, 2) + 4 * b * b)))', 5)} AS kappa FROM g")
+def q_condition_number(spark, sf_dir):
+    G, _, _ = linalg.gram_matrix(_design_rows(spark, sf_dir), ["x1", "x2"])
+    return spark.createDataFrame([(linalg.condition_number(G),)], "kappa double").select(_r(F.col("kappa"), 5).alias("kappa"))
+
+
+_H4, _SK, _KU = "((sqrt(1 + 1.5e0 * 1.2e0) - 1) / 18)", "0.4e0", "4.2e0"
+_H3 = f"({_SK} / (6 * (1 + 6 * {_H4})))"
+
+
+@_query(f"SELECT g, {_rs('avg(2 + 3 * (z + ' + _H3 + ' * (z * z - 1) + ' + _H4 + ' * (z * z * z - 3 * z)) / sqrt(1 + 2 * ' + _H3 + ' * ' + _H3 + ' + 6 * ' + _H4 + ' * ' + _H4 + '))', 5)} AS mean, {_rs('max(2 + 3 * (z + ' + _H3 + ' * (z * z - 1) + ' + _H4 + ' * (z * z * z - 3 * z)) / sqrt(1 + 2 * ' + _H3 + ' * ' + _H3 + ' + 6 * ' + _H4 + ' * ' + _H4 + '))', 5)} AS most FROM (SELECT g, xi_0 AS z FROM {_points_sql(1, True)}) GROUP BY g")
+def q_hermite_moment(spark, sf_dir):
+    df = _points(spark, sf_dir, 1, True)
+    v = stats.hermite_moment(F.col("xi_0"), F.lit(2.0), F.lit(3.0), F.lit(0.4), F.lit(4.2))
+    return df.select("g", v.alias("v")).groupBy("g").agg(_r(F.avg("v"), 5).alias("mean"), _r(F.max("v"), 5).alias("most"))
+
+
+@_query("SELECT global_id, " + _rs("-2 + 5 * xi_0") + " AS a, " + _rs("1 - 3 * ln(-ln(xi_1))", 5) + f" AS b FROM {_points_sql(2)} WHERE global_id % 16 = 1")
+def q_map_domain(spark, sf_dir):
+    """Uniform inputs carried to another interval and to a Gumbel marginal."""
+    df = _points(spark, sf_dir, 2).where("global_id % 16 = 1")
+    u = dist.uniform(0, 1)
+    a, b = dist.map_domain(F.col("xi_0"), u, dist.uniform(-2, 5)), dist.map_domain(F.col("xi_1"), u, dist.Marginal("gumbel", (1.0, 3.0)))
+    return df.select("global_id", _r(a).alias("a"), _r(b, 5).alias("b"))
+
+
+@_query(
+    "WITH k AS (SELECT user_id, CAST(event_id AS DOUBLE) AS t, value AS v FROM events), e AS (SELECT user_id, t, v, lead(t) OVER w AS t2, lead(v) OVER w AS v2 FROM k WINDOW w AS (PARTITION BY user_id ORDER BY t)), "
+    "g AS (SELECT user_id, min(t) + 0.37e0 * (max(t) - min(t)) AS t FROM k GROUP BY user_id HAVING count(*) > 1) "
+    f"SELECT g.user_id, {_rs('g.t', 4)} AS t, {_rs('e.v + (e.v2 - e.v) * (g.t - e.t) / (e.t2 - e.t)', 4)} AS value FROM g JOIN e ON g.user_id = e.user_id AND g.t >= e.t AND g.t < e.t2"
+)
+def q_interpolation(spark, sf_dir):
+    k = _t(spark, sf_dir, "events").select("user_id", F.col("event_id").cast("double").alias("t"), F.col("value"))
+    g = k.groupBy("user_id").agg(F.min("t").alias("a"), F.max("t").alias("b"), F.count(F.lit(1)).alias("n")).where("n > 1").select("user_id", (F.col("a") + 0.37 * (F.col("b") - F.col("a"))).alias("t"))
+    return stats.interpolate(g, k, "t", "value", ["user_id"]).select("user_id", _r(F.col("t"), 4).alias("t"), _r(F.col("value"), 4).alias("value"))
+
+
+@_query("WITH c AS (SELECT p_size AS id, avg(p_retailprice) - 1400 AS c FROM part GROUP BY p_size), r AS (SELECT id, sum(c * c) OVER (ORDER BY c * c DESC, id ROWS UNBOUNDED PRECEDING) AS s, sum(c * c) OVER () AS t, c * c AS q FROM c) SELECT id, " + _rs("s / t") + " AS share FROM r WHERE (s - q) / t < 0.8")
+def q_variance_share(spark, sf_dir):
+    c = _t(spark, sf_dir, "part").groupBy(F.col("p_size").alias("id")).agg((F.avg("p_retailprice") - 1400).alias("c"))
+    return stats.variance_share(c, "c", "id", 0.8).select("id", _r(F.col("share")).alias("share"))
+
+
+@_query("WITH c AS (SELECT s_suppkey AS id, s_suppkey % 40 AS k FROM supplier), t AS (SELECT k * 0.05e0 AS w, k * k AS amp FROM range(0, 30) r(k)) SELECT c.id, CAST(coalesce(amp, -1) AS BIGINT) AS amp FROM c LEFT JOIN t ON CAST(round(t.w / 0.05) AS BIGINT) = c.k")
+def q_transfer_lookup(spark, sf_dir):
+    """A transfer function looked up on a frequency grid, within its cell."""
+    t = spark.range(30).select((F.col("id") * 0.05).alias("w"), (F.col("id") * F.col("id")).alias("amp"))
+    df = _t(spark, sf_dir, "supplier").select(F.col("s_suppkey").alias("id"), (F.col("s_suppkey") % 40 * 0.05).alias("w"))
+    return series.on_grid(df, t, "w", 0.05).select("id", F.coalesce("amp", F.lit(-1)).cast("long").alias("amp"))
+
+
+@_query(f"SELECT global_id, {_rs('4 * xi_0 + 1')} AS xi_0, {_rs('0.5 * xi_1 + 2')} AS xi_1 FROM {_points_sql(2)} WHERE global_id % 16 = 1")
+def q_affine_inputs(spark, sf_dir):
+    df = sampling.affine(_points(spark, sf_dir, 2).where("global_id % 16 = 1"), ["xi_0", "xi_1"], [1.0, 2.0], [4.0, 0.5])
+    return df.select("global_id", _r(F.col("xi_0")).alias("xi_0"), _r(F.col("xi_1")).alias("xi_1"))
+
+
+@_query("SELECT event_type, user_id % 7 AS k, count(*) AS n, count(*) FILTER (WHERE value <= 20) AS failures FROM events GROUP BY ALL")
+def q_failures_by_group(spark, sf_dir):
+    """What a failure probability is made of, by group: counts merge, in batch and in streams."""
+    df = _t(spark, sf_dir, "events").select("event_type", (F.col("user_id") % 7).alias("k"), "value")
+    return df.groupBy("event_type", "k").agg(F.count(F.lit(1)).alias("n"), F.sum((F.col("value") <= 20).cast("long")).alias("failures"))
+
+
+@_query()
+def q_lars_surrogate(spark, sf_dir):
+    """Terms and coefficients of a sparse surrogate of a quadratic model, fitted on 200 line items."""
+    df = _points(spark, sf_dir, 2, True).orderBy("global_id").limit(200).withColumn("y", evaluate("quadratic_mix", ["xi_0", "xi_1"]))
+    s = surrogate.fit_lars(df, Basis("hermite_e", 2, 3), ["xi_0", "xi_1"], "y", order="global_id")
+    return spark.createDataFrame([(int(k), round(float(c), 6)) for k, c in zip(s.active, s.coefficients)], "basis_id int, coefficient double")
+
+
+@_query()
+def q_surge_response(spark, sf_dir):
+    s = series.short_term_maxima(series.surge_response(_sea(spark, sf_dir), "hs", "tp", [(0.2, 0.1), (0.6, 1.0), (2.0, 0.1)]), 20.0)
+    return s.select("sample_id", "seed_id", _r(F.col("y_max")).alias("y_max"))
+
+
 # -- sampling: properties that hold for any seed
 
 
