@@ -12,8 +12,9 @@ from haruspex.llm import common as C
 MAX_SOURCES = 200_000
 #: Cells of the histogram in which the cut of a source's sampling order is found.
 CELLS = 8192
-#: Sampling rounds: after the first, what is left of a source's target is filled from documents of at most half that size.
-ROUNDS = 3
+#: Sampling rounds after the first: largest size of the documents that fill what is left of a source's target, as
+#: a share of that.  In the last round, the document that ends nearest to the target is the last.
+REFILL = (1.0, 0.5, 0.5, 2.0)
 
 
 def water_fill(sizes: list[float], weights: list[float], total: float, cap: float) -> list[float]:
@@ -47,8 +48,8 @@ def pareto_mix(docs: DataFrame, *, cycle=(3.0, 1.0, 2.0), share: float = 1.5, ca
     documents are taken by ascending ratio of the two while the words asked for
     aren't exceeded.  The factor ``f / (1 - f)`` is common to the source, so it
     doesn't change the order.  What then is left of the target, less than one
-    document, is filled in the same order from documents of at most half that
-    size, ``ROUNDS`` times at most.
+    document, is filled in the same order from documents that fit in it, and at
+    last by one that ends nearer to the target (``REFILL``).
 
     The order is found without sorting a source in one task: ratios are put in
     ``CELLS`` cells, sums per source and cell are aggregated map-side, and only
@@ -103,15 +104,13 @@ def _mix(docs, cycle, share, cap, size_power, seed, size, id_col, source_col, te
     ranked = by_source(narrow, plan_df, "p_source").where("rest > 0").withColumn("max_size", F.lit(1 << 62))
     rest_of = {p[0]: p[4] for p in plan}
     stops: list[DataFrame] = []
-    for _ in range(ROUNDS):
-        stop = _stops(ranked, by_source)
+    for turn in range(len(REFILL) + 1):
+        stop = _stops(ranked, by_source, nearest=turn == len(REFILL))
         rows = [(r["__source"], r["r_stop"], int(r["n_stop"]), int(r["max_size"])) for r in stop]
         stops.append(spark.createDataFrame(rows, f"s_source string, r_stop{len(stops)} double, n_stop{len(stops)} long, max_size{len(stops)} long"))
         rest_of = {r["__source"]: rest_of[r["__source"]] - r["words"] for r in stop}
-        gaps = [(k, v, int(v // 2)) for k, v in rest_of.items() if v >= 2]
-        if not gaps:
+        if turn == len(REFILL) or not (gaps := [(k, v, int(REFILL[turn] * v)) for k, v in rest_of.items() if v >= 1]):
             break
-        # the gap that the next document in order would overshoot is filled from those of at most half its size
         k = len(stops) - 1
         left = by_source(ranked.drop("rest", "max_size"), stops[k], "s_source").where((F.col("__r") > F.col(f"r_stop{k}")) | (F.col("__size") > F.col(f"max_size{k}"))).drop(f"r_stop{k}", f"n_stop{k}", f"max_size{k}")
         ranked = by_source(left, spark.createDataFrame(gaps, "g_source string, rest double, max_size long"), "g_source").where("__size <= max_size")
@@ -132,8 +131,11 @@ def _mix(docs, cycle, share, cap, size_power, seed, size, id_col, source_col, te
     return both.withColumn("copies", (F.col("whole") + F.col("__extra")).cast("int"))
 
 
-def _stops(ranked: DataFrame, by_source) -> list:
-    """For each source: where its order stops (ratio, rows taken at that ratio) and the words up to there, at most ``rest``."""
+def _stops(ranked: DataFrame, by_source, nearest: bool) -> list:
+    """For each source: where its order stops (ratio, rows taken at that ratio) and the words up to there.
+
+    They are at most ``rest``; or with ``nearest``, another document would end farther from it.
+    """
     spark = ranked.sparkSession
     x = F.col("__r") * F.col("scale")  # any monotone map of the ratio will do
     ranked = ranked.withColumn("__cell", F.least(F.floor(x / (1 + x) * CELLS), F.lit(CELLS - 1)).cast("int"))
@@ -147,7 +149,7 @@ def _stops(ranked: DataFrame, by_source) -> list:
     order = W.partitionBy("__source").orderBy("__r", F.col("__size"), F.col("__id").asc_nulls_last()).rowsBetween(W.unboundedPreceding, W.currentRow)
     near = by_source(ranked, edge, "e_source").where("__cell = e_cell").withColumn("__run", F.sum("__size").over(order) + F.col("before"))
     near = near.withColumn("__alike", F.row_number().over(W.partitionBy("__source", "__r").orderBy(F.col("__size"), F.col("__id").asc_nulls_last())))
-    took = F.col("__run") <= F.col("rest")
+    took = F.col("__run") - (F.col("__size") / 2.0 if nearest else F.lit(0.0)) <= F.col("rest")
     return near.groupBy("__source").agg(
         # none of the cell taken: everything before it is
         F.coalesce(F.max(F.when(took, F.struct("__r", F.lit(1).alias("some")))), F.min(F.struct("__r", F.lit(0).alias("some")))).alias("s"),
