@@ -29,6 +29,20 @@ def n_partitions(df: DataFrame) -> int:
     return max(C.partitions(df.sparkSession), min(size // PARTITION_BYTES, 100_000))
 
 
+def labels(df: DataFrame, n: int) -> np.ndarray:
+    """``n`` bucket numbers of which each is dealt to a partition of its own by ``repartition(n, "bucket")``.
+
+    With them, packed rows are no more than tasks times partitions.
+    """
+    of, tried = {}, 0
+    while len(of) < n:
+        more = df.sparkSession.range(tried, tried + 16 * n).select(F.col("id").cast("int").alias("b"))
+        for r in more.select("b", F.pmod(F.hash("b"), F.lit(n)).alias("p")).groupBy("p").agg(F.min("b").alias("b")).collect():
+            of.setdefault(r["p"], r["b"])
+        tried += 16 * n
+    return np.array([of[p] for p in range(n)], np.int32)
+
+
 def pack(bucket: np.ndarray, ids: np.ndarray, vals: np.ndarray) -> pa.RecordBatch:
     """Rows of one bucket each; values of an id lie together and its id is stored once."""
     order = np.lexsort((ids, bucket))

@@ -27,22 +27,22 @@ _TEXT = T.StructType([T.StructField("bucket", T.IntegerType()), T.StructField("i
 _TEXT_ARROW = pa.schema([("bucket", pa.int32()), ("ids", pa.binary()), ("lens", pa.binary()), ("text", pa.binary())])
 
 
-def _id_bucket(ids: np.ndarray, n: int) -> np.ndarray:
-    return (wg.mix(ids.astype(np.uint64) + np.uint64(0x51ED270B)) % np.uint64(n)).astype(np.int32)
+def _id_bucket(ids: np.ndarray, buckets: np.ndarray) -> np.ndarray:
+    return buckets[(wg.mix(ids.astype(np.uint64) + np.uint64(0x51ED270B)) % np.uint64(len(buckets))).astype(np.int64)]
 
 
 def _ids(batch: pa.RecordBatch, name: str) -> np.ndarray:
     return batch.column(name).cast(pa.int64()).fill_null(int(P.NULL_ID)).to_numpy(zero_copy_only=False)
 
 
-def _anchors(grams: np.ndarray, position: np.ndarray, n: int) -> tuple[np.ndarray, np.ndarray]:
+def _anchors(grams: np.ndarray, position: np.ndarray, buckets: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     """Bucket and 32-bit value of block fingerprints; the lowest bit tells reference blocks."""
-    bucket = ((grams >> np.uint64(32)) % np.uint64(n)).astype(np.int32)
+    bucket = buckets[((grams >> np.uint64(32)) % np.uint64(len(buckets))).astype(np.int64)]
     value = (grams.astype(np.uint32) & np.uint32(0xFFFFFFFE)) | (position % BLOCK == 0).astype(np.uint32)
     return bucket, value
 
 
-def pack_texts(docs: DataFrame, n: int, id_col: str, text_col: str) -> DataFrame:
+def pack_texts(docs: DataFrame, buckets: np.ndarray, id_col: str, text_col: str) -> DataFrame:
     """Compressed texts in buckets of their ids."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -53,7 +53,7 @@ def pack_texts(docs: DataFrame, n: int, id_col: str, text_col: str) -> DataFrame
         def flush() -> Iterator[pa.RecordBatch]:
             rows: dict[int, tuple[list, list, list]] = {}
             for ids, data, off in held:
-                for b, i, x, y in zip(_id_bucket(ids, n).tolist(), ids.tolist(), off[:-1].tolist(), off[1:].tolist()):
+                for b, i, x, y in zip(_id_bucket(ids, buckets).tolist(), ids.tolist(), off[:-1].tolist(), off[1:].tolist()):
                     r = rows.setdefault(b, ([], [], []))
                     r[0].append(i)
                     r[1].append(y - x)
@@ -84,7 +84,7 @@ def _texts(table: pa.Table) -> Iterator[tuple[np.ndarray, np.ndarray, np.ndarray
         yield np.frombuffer(ids, np.int64), np.frombuffer(raw, np.uint8), off
 
 
-def _probe(docs: DataFrame, n: int, id_col: str, text_col: str) -> DataFrame:
+def _probe(docs: DataFrame, buckets: np.ndarray, id_col: str, text_col: str) -> DataFrame:
     """Fingerprints of every rolling block; those at multiples of BLOCK are the index."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -97,14 +97,14 @@ def _probe(docs: DataFrame, n: int, id_col: str, text_col: str) -> DataFrame:
                 doc = grid.doc[at]
                 on = grid.counts[doc] >= WINDOW
                 g, at, doc = g[on], at[on], doc[on]
-                bucket, value = _anchors(g, at - grid.first[doc], n)
+                bucket, value = _anchors(g, at - grid.first[doc], buckets)
                 yield from out.add(bucket, ids[a:b][doc], value)
         yield from out.flush()
 
     return docs.select(F.col(id_col).alias("id"), F.col(text_col).cast("binary").alias("text")).mapInArrow(run, P.SCHEMA)
 
 
-def _hits(probes: DataFrame, n: int) -> DataFrame:
+def _hits(probes: DataFrame, buckets: np.ndarray) -> DataFrame:
     """For each document: the blocks that it shares with the index of another, or of its index with another's windows."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -124,7 +124,7 @@ def _hits(probes: DataFrame, n: int) -> DataFrame:
         order = np.lexsort((key, ids))
         key, ids = key[order], ids[order]
         one = np.concatenate([[True], (key[1:] != key[:-1]) | (ids[1:] != ids[:-1])]) if len(ids) else np.zeros(0, bool)
-        yield P.pack(_id_bucket(ids[one], n), ids[one], key[one])
+        yield P.pack(_id_bucket(ids[one], buckets), ids[one], key[one])
 
     return probes.mapInArrow(run, P.SCHEMA)
 
@@ -152,7 +152,7 @@ def _marked(lookup, ids: np.ndarray, doc: np.ndarray, key: np.ndarray) -> np.nda
     return known[doc] & (lib[at] == want) if len(lib) else np.zeros(len(doc), bool)
 
 
-def _windows(texts: DataFrame, hits: DataFrame, n: int) -> DataFrame:
+def _windows(texts: DataFrame, hits: DataFrame, buckets: np.ndarray) -> DataFrame:
     """Fingerprints of the windows around the hits."""
 
     def run(key, left: pa.Table, right: pa.Table) -> pa.Table:
@@ -163,7 +163,7 @@ def _windows(texts: DataFrame, hits: DataFrame, n: int) -> DataFrame:
             for ids, data, off in _pieces(left, lookup[0]):
                 grid = wg.WordGrid(data, off)
                 g, at = grid.grams(BLOCK)
-                bucket, value = _anchors(g, np.ones(len(g), np.int64), n)
+                bucket, value = _anchors(g, np.ones(len(g), np.int64), buckets)
                 k = bucket.astype(np.uint64) << np.uint64(32) | (value >> np.uint32(1)).astype(np.uint64) << np.uint64(1)
                 hit = np.zeros(len(grid.start) + 1, np.int64)
                 hit[at] = _marked(lookup, ids, grid.doc[at], k)
@@ -172,7 +172,7 @@ def _windows(texts: DataFrame, hits: DataFrame, n: int) -> DataFrame:
                 # a block of the window is a hit
                 on = seen[start + WINDOW - BLOCK + 1] > seen[start]
                 w, start = w[on], start[on]
-                made += out.add((w % np.uint64(n)).astype(np.int32), ids[grid.doc[start]], w)
+                made += out.add(buckets[(w % np.uint64(len(buckets))).astype(np.int64)], ids[grid.doc[start]], w)
         made += out.flush()
         return pa.Table.from_batches(made, schema=P.ARROW)
 
@@ -197,7 +197,7 @@ def _pieces(table: pa.Table, wanted: np.ndarray) -> Iterator[tuple[np.ndarray, n
             i = j
 
 
-def _later(windows: DataFrame, n: int) -> DataFrame:
+def _later(windows: DataFrame, buckets: np.ndarray) -> DataFrame:
     """For each document: its windows that a document with a smaller id has too."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -210,7 +210,7 @@ def _later(windows: DataFrame, n: int) -> DataFrame:
         least = np.repeat(ids[first], np.diff(np.append(first, len(w))))
         on = ids > least
         on[1:] &= (w[1:] != w[:-1]) | (ids[1:] != ids[:-1])
-        yield P.pack(_id_bucket(ids[on], n), ids[on], w[on])
+        yield P.pack(_id_bucket(ids[on], buckets), ids[on], w[on])
 
     return windows.mapInArrow(run, P.SCHEMA)
 
@@ -276,7 +276,7 @@ def remove_repeats(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "
     """
     C.small_batches(docs.sparkSession)
     n = P.n_partitions(docs)
-    buckets = 4 * n
+    buckets = P.labels(docs, n)
     texts = P.dealt(pack_texts(docs, buckets, id_col, text_col), n)  # read twice; the exchange is reused
     hits = P.dealt(_hits(P.dealt(_probe(docs, buckets, id_col, text_col), n), buckets), n)
     later = P.dealt(_later(P.dealt(_windows(texts, hits, buckets), n), buckets), n)
