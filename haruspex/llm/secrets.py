@@ -73,6 +73,9 @@ def lexed(text: bytes) -> list[tuple[int, int, float]]:
                 constants[m[1]] = target
             else:
                 constants[m[1]] = target
+                # a reference or a call; a bare word counts as a literal if it has a digit
+                if text[m.end() : m.end() + 1] == b"(" or not re.search(rb"\d", value):
+                    continue
         else:
             constants[m[1]] = span
         if weight and (lit := literal_weight(value)):
