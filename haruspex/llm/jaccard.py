@@ -123,7 +123,7 @@ def _filter_bits(keys: np.ndarray) -> np.ndarray:
     return (wg.mix(keys.astype(np.uint64) + _U(77)) >> _U(64 - FILTER_BITS)).astype(np.int64)
 
 
-def _index(sets: DataFrame, k: int, buckets: int, frequent: list[np.ndarray]) -> DataFrame:
+def _index(sets: DataFrame, k: int, buckets: np.ndarray, frequent: list[np.ndarray]) -> DataFrame:
     """The combinations of k tokens of those sets that hold a frequent one of each fewer."""
     frequent_b = sets.sparkSession.sparkContext.broadcast([np.packbits(f) for f in frequent])
 
@@ -144,9 +144,10 @@ def _index(sets: DataFrame, k: int, buckets: int, frequent: list[np.ndarray]) ->
     return sets.select("sid", "n", "head").mapInArrow(run, P.SCHEMA)
 
 
-def _keys(combos: np.ndarray, buckets: int) -> np.ndarray:
+def _keys(combos: np.ndarray, buckets: np.ndarray) -> np.ndarray:
     """Bucket and 40 bits of combinations, in one number."""
-    return (combos >> _U(40)) % _U(buckets) << _U(40) | combos & _U((1 << 40) - 1)
+    bucket = buckets[((combos >> _U(40)) % _U(len(buckets))).astype(np.int64)]
+    return bucket.astype(np.uint64) << _U(40) | combos & _U((1 << 40) - 1)
 
 
 _FOUND = T.StructType([T.StructField("kind", T.IntegerType()), T.StructField("a", T.LongType()), T.StructField("b", T.LongType())])
@@ -333,7 +334,7 @@ def near_components(docs: DataFrame, *, id_col: str = "doc_id", text_col: str =
     """
     spark = docs.sparkSession
     n_parts = P.n_partitions(docs)
-    buckets = 4 * n_parts
+    buckets = P.labels(docs, n_parts)
     sets = C.cut(_sets(docs, id_col, text_col))
     # head and bitmap depend on the set alone
     one = C.cut(sets.where("length(head) > 0").groupBy("sid", "n").agg(F.min("id").alias("rep"), F.first("bitmap").alias("bitmap"), F.first("head").alias("head")).where("rep IS NOT NULL"))
