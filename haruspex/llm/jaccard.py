@@ -328,7 +328,7 @@ def near_components(docs: DataFrame, *, id_col: str = "doc_id", text_col: str =
 
     * Null text or one without words: no shingles, a component of its own.
     * One or two words: the whole sequence is the one shingle.
-    * Null id: never the smallest; a component of null ids alone is null.
+    * Null id: never the smallest; such a row is linked with rows of an equal set only, and alone its component is null.
     * Repeated ids are nodes of each of their texts; other columns aren't read.
     * Empty input: empty result.
     """
@@ -371,6 +371,6 @@ def op8_near_components(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def near_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Pipeline stage: of each component the document with the smallest id stays (of rows with its id, one)."""
+    """Pipeline stage: of each component the document with the smallest id stays; rows that repeat its id stay with it."""
     first = near_components(docs.select("doc_id", "text")).where("doc_id = component_id OR component_id IS NULL").select(F.col("doc_id").alias("__k")).distinct()
     return docs.join(first, F.col("doc_id").eqNullSafe(F.col("__k")), "left_semi")
