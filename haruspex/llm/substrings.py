@@ -129,27 +129,25 @@ def _hits(probes: DataFrame, buckets: np.ndarray) -> DataFrame:
     return probes.mapInArrow(run, P.SCHEMA)
 
 
-def _lookup(rows: pa.Table) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """Ids in order, where each one's values start (and one more), and the values, in order for each id."""
-    _, ids, vals = P.unpack(rows.to_batches(), np.uint64)
-    order = np.lexsort((vals, ids))
-    ids, vals = ids[order], vals[order]
-    heads, first = np.unique(ids, return_index=True)
-    return heads, np.append(first, len(ids)), vals
-
-
-def _marked(lookup, ids: np.ndarray, doc: np.ndarray, key: np.ndarray) -> np.ndarray:
-    """Whether the document's values hold the key, entry by entry."""
-    heads, _, vals = lookup
-    owner = np.searchsorted(heads, ids)
-    owner[owner == len(heads)] = 0
-    known = (heads[owner] == ids) if len(heads) else np.zeros(len(ids), bool)
-    salt = wg.mix(heads.astype(np.uint64))
-    lib = np.sort(wg.mix(vals + np.repeat(salt, np.diff(lookup[1]))))
-    want = wg.mix(key + (salt[owner][doc] if len(heads) else np.uint64(0)))
-    at = np.searchsorted(lib, want)
-    at[at == len(lib)] = 0
-    return known[doc] & (lib[at] == want) if len(lib) else np.zeros(len(doc), bool)
+class _Lookup:
+    """Values by id: which of (id, value) are there, by one search in a sorted array."""
+
+    def __init__(self, rows: pa.Table):
+        _, ids, vals = P.unpack(rows.to_batches(), np.uint64)
+        self.heads = np.unique(ids)
+        self.known = np.sort(self._mixed(ids, vals))
+
+    @staticmethod
+    def _mixed(ids: np.ndarray, vals: np.ndarray) -> np.ndarray:
+        return wg.mix(vals + wg.mix(ids.astype(np.uint64)))
+
+    def holds(self, ids: np.ndarray, vals: np.ndarray) -> np.ndarray:
+        want = self._mixed(ids, vals)
+        if not len(self.known):
+            return np.zeros(len(want), bool)
+        at = np.searchsorted(self.known, want)
+        at[at == len(self.known)] = 0
+        return self.known[at] == want
 
 
 def _windows(texts: DataFrame, hits: DataFrame, buckets: np.ndarray) -> DataFrame:
@@ -159,14 +157,14 @@ def _windows(texts: DataFrame, hits: DataFrame, buckets: np.ndarray) -> DataFram
         out = P.Packer()
         made = []
         if right.num_rows:
-            lookup = _lookup(right)
-            for ids, data, off in _pieces(left, lookup[0]):
+            lookup = _Lookup(right)
+            for ids, data, off in _pieces(left, lookup.heads):
                 grid = wg.WordGrid(data, off)
                 g, at = grid.grams(BLOCK)
                 bucket, value = _anchors(g, np.ones(len(g), np.int64), buckets)
                 k = bucket.astype(np.uint64) << np.uint64(32) | (value >> np.uint32(1)).astype(np.uint64) << np.uint64(1)
                 hit = np.zeros(len(grid.start) + 1, np.int64)
-                hit[at] = _marked(lookup, ids, grid.doc[at], k)
+                hit[at] = lookup.holds(ids[grid.doc[at]], k)
                 seen = np.concatenate([[0], np.cumsum(hit)])
                 w, start = grid.grams(WINDOW)
                 # a block of the window is a hit
@@ -179,6 +177,15 @@ def _windows(texts: DataFrame, hits: DataFrame, buckets: np.ndarray) -> DataFram
     return texts.groupBy("bucket").cogroup(hits.groupBy("bucket")).applyInArrow(run, P.SCHEMA)
 
 
+def _runs(off: np.ndarray) -> Iterator[tuple[int, int]]:
+    """Documents a to b of a chunk's bytes at a time; a longer one by itself."""
+    a = 0
+    while a < len(off) - 1:
+        b = max(a + 1, int(np.searchsorted(off, off[a] + wg.CHUNK_BYTES, "right")) - 1)
+        yield a, b
+        a = b
+
+
 def _pieces(table: pa.Table, wanted: np.ndarray) -> Iterator[tuple[np.ndarray, np.ndarray, np.ndarray]]:
     """The wanted documents of packed rows, a chunk at a time."""
     for ids, data, off in _texts(table):
@@ -222,27 +229,31 @@ def _strip(texts: DataFrame, later: DataFrame, id_field: T.StructField, kept_tex
     def run(key, left: pa.Table, right: pa.Table) -> pa.Table:
         from pyspark.sql.pandas.types import to_arrow_schema
 
-        lookup = _lookup(right)
-        heads = set(lookup[0].tolist())
+        lookup = _Lookup(right)
         rows: list[tuple] = []
         for ids, data, off in _texts(left):
             raw = data.tobytes()
-            for i, a, b in zip(ids.tolist(), off[:-1].tolist(), off[1:].tolist()):
-                words, gone = raw[a:b].split(), 0
-                n = len(words)
-                if i in heads:
-                    grid = wg.WordGrid(data[a:b], np.array([0, b - a]))
+            for a, b in _runs(off):
+                stay, first = None, None
+                if (touched := np.isin(ids[a:b], lookup.heads)).any():
+                    grid = wg.WordGrid(data[off[a] : off[b]], off[a : b + 1] - off[a])
                     w, start = grid.grams(WINDOW)
-                    begin = start[_marked(lookup, np.array([i]), np.zeros(len(w), np.int64), w)]
-                    cover = np.zeros(n + 1, np.int64)
+                    begin = start[lookup.holds(ids[a:b][grid.doc[start]], w)]
+                    cover = np.zeros(len(grid.start) + 1, np.int64)
                     np.add.at(cover, begin, 1)
                     np.add.at(cover, begin + WINDOW, -1)
-                    stay = np.cumsum(cover[:-1]) == 0
-                    gone = n - int(stay.sum())
-                    words = list(compress(words, stay.tolist()))
-                kept = b" ".join(words)
-                row = (None if i == P.NULL_ID else i, n, gone, hashlib.sha256(kept).hexdigest())
-                rows.append((*row, kept.decode("utf-8", "replace")) if kept_text else row)
+                    stay, first = np.cumsum(cover[:-1]) == 0, grid.first
+                for k in range(a, b):
+                    words, gone = raw[off[k] : off[k + 1]].split(), 0
+                    n = len(words)
+                    if touched[k - a]:
+                        own = stay[first[k - a] : first[k - a + 1]]
+                        gone = n - int(own.sum())
+                        if gone:
+                            words = list(compress(words, own.tolist()))
+                    kept = b" ".join(words)
+                    row = (None if ids[k] == P.NULL_ID else int(ids[k]), n, gone, hashlib.sha256(kept).hexdigest())
+                    rows.append((*row, kept.decode("utf-8", "replace")) if kept_text else row)
         arrow = to_arrow_schema(schema)
         return pa.Table.from_arrays([pa.array([r[k] for r in rows], f.type) for k, f in enumerate(arrow)], schema=arrow)
 
