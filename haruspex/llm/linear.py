@@ -16,8 +16,8 @@ from haruspex.llm import wordgrid as wg
 #: Buckets of each of the four feature families: words, word pairs, character 3-grams, character 5-grams.
 BITS = 14
 FAMILIES = 4
-#: Labelled rows that training reads at most, and bytes of text among them.
-MAX_ROWS, MAX_BYTES = 3000, 24 << 20
+#: Labelled rows that training reads at most.
+MAX_ROWS = 1600
 
 
 @dataclass(frozen=True)
@@ -104,7 +104,7 @@ def sparse(grid: wg.WordGrid) -> list[tuple[np.ndarray, np.ndarray]]:
 
 
 def sample(labelled: DataFrame, label: str, id_col: str = "doc_id") -> DataFrame:
-    """At most MAX_ROWS labelled rows and MAX_BYTES of their text, balanced by class, chosen by a hash of the id."""
+    """At most MAX_ROWS labelled rows, half of each class, chosen by a hash of the id."""
     h = F.xxhash64(F.col(id_col), F.lit(99))
     counts = {r[0]: r[1] for r in labelled.where(F.col(label).isin(0, 1)).groupBy(label).count().collect()}
     half = MAX_ROWS // 2
@@ -137,8 +137,8 @@ def train(rows: list[tuple[int, int, np.ndarray, np.ndarray]], steps: int = 150,
         held = np.arange(len(rows)) % 4 == 3
     fit = ~held
     idx = np.concatenate([r[2] for r in rows])
-    val = np.concatenate([r[3] for r in rows]).astype(float)
-    row = np.repeat(np.arange(len(rows)), [len(r[2]) for r in rows])
+    val = np.concatenate([r[3] for r in rows])
+    row = np.repeat(np.arange(len(rows), dtype=np.int32), [len(r[2]) for r in rows])
     on = fit[row]
     fi, fv, fr = idx[on], val[on], row[on]
     share = np.where(y == 1, 0.5 / max(1, (y[fit] == 1).sum()), 0.5 / max(1, (y[fit] == 0).sum())) * fit
