@@ -17,7 +17,7 @@ from haruspex.llm import wordgrid as wg
 BITS = 14
 FAMILIES = 4
 #: Labelled rows that training reads at most.
-MAX_ROWS = 1600
+MAX_ROWS = 800
 
 
 @dataclass(frozen=True)
