@@ -453,11 +453,58 @@ def _variants(seed, groups=8, each=14):
     return out
 
 
-@pytest.mark.parametrize("lists", [(8, 32, 64), (1, 1, 2), (2, 2, 1)])
-def test_components_at_every_level(spark, monkeypatch, lists):
+def _indexed_components(made, lists):
+    """What the levels find, with the operator's own combinations, filters and comparison but without a cluster."""
+    buckets, sets = np.arange(4, dtype=np.int32), {}
+    for i, t in enumerate(made):
+        data = np.frombuffer(t.encode(), np.uint8)
+        sets.setdefault(tuple(jaccard.shingles(data, np.array([0, len(data)]))[0].tolist()), []).append(i)
+    tokens = {k: np.array(g, np.uint64) for k, g in enumerate(sets)}
+    masks, edges = [], set()
+    for k, limit in enumerate(lists, 1):
+        index = defaultdict(set)
+        for sid, g in tokens.items():
+            if jaccard.differing(len(g)) and all(m[jaccard._filter_bits(jaccard._keys(jaccard._combinations(g, len(g), j + 1), buckets))].any() for j, m in enumerate(masks)):
+                for c in jaccard._keys(jaccard._combinations(g, len(g), k), buckets).tolist():
+                    index[c].add(sid)
+        masks.append(np.zeros(1 << jaccard.FILTER_BITS, bool))
+        for c, m in index.items():
+            if len(m) <= limit:
+                size = lambda x: (len(tokens[x]), jaccard._bitmap(tokens[x], len(tokens[x])))
+                edges |= {(a, b) for a in m for b in m if a < b for (na, ma), (nb, mb) in [(size(a), size(b))] if jaccard._may_link(na, nb, ma, mb)}
+            elif k == len(lists):
+                edges |= {(min(m), b) for b in m}
+            else:
+                masks[-1][jaccard._filter_bits(np.array([c], np.uint64))] = True
+
+    def roots(pairs):
+        root = {x: x for x in tokens}
+        for a, b in pairs:
+            low, high = sorted((root[a], root[b]))
+            root = {x: low if r == high else r for x, r in root.items()}
+        return root
+
+    groups = defaultdict(dict)
+    for x, r in roots(edges).items():
+        groups[r][x] = tokens[x].tobytes()
+    final, rows = roots([e for g in groups.values() for e in jaccard.links(g)]), list(sets.values())
+    members = defaultdict(list)
+    for x, r in final.items():
+        members[r] += rows[x]
+    return {i: min(m) for m in members.values() for i in m}
+
+
+@pytest.mark.parametrize("lists", [(8, 32, 64), (1, 1, 2), (2, 2, 1), (1, 1, 1)])
+def test_levels_are_exact(lists):
     """Small list limits send candidates through pairs, triples and groups; the result stays exact."""
-    monkeypatch.setattr(jaccard, "LISTS", lists)
-    made = _variants(1) + ["", None, "one", "ONE", "two words", "two words", " ".join(f"z{i}" for i in range(12)), " ".join(f"z{i}" for i in range(11))]
+    for seed in range(2):
+        made = _variants(seed)
+        assert _indexed_components(made, lists) == {i: c for i, (_, c) in _components(list(enumerate(made))).items()}
+
+
+def test_components_at_every_level(spark, monkeypatch):
+    monkeypatch.setattr(jaccard, "LISTS", (1, 1, 2))
+    made = _variants(1, 5, 10) + ["", None, "one", "ONE", "two words", "two words", " ".join(f"z{i}" for i in range(12)), " ".join(f"z{i}" for i in range(11))]
     ids = random.Random(2).sample(range(5000), len(made))
     got = {r["doc_id"]: (r["n_shingles"], r["component_id"]) for r in jaccard.near_components(_docs(spark, made, ids)).collect()}
     assert got == _components(list(zip(ids, made)))
@@ -466,7 +513,7 @@ def test_components_at_every_level(spark, monkeypatch, lists):
 def test_components_of_large_groups_in_blocks(spark, monkeypatch):
     monkeypatch.setattr(jaccard, "LISTS", (1, 1, 1))
     monkeypatch.setattr(jaccard, "BLOCK", 4)
-    made = _variants(3, 4, 18)
+    made = _variants(3, 3, 14)
     got = {r["doc_id"]: (r["n_shingles"], r["component_id"]) for r in jaccard.near_components(_docs(spark, made)).collect()}
     assert got == _components(list(enumerate(made)))
 
