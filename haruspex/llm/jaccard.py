@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from collections.abc import Iterator
+from functools import lru_cache
 
 import numpy as np
 import pyarrow as pa
@@ -15,7 +16,9 @@ from haruspex.llm import graph
 from haruspex.llm import packed as P
 from haruspex.llm import wordgrid as wg
 
+#: Words of a shingle and per cent of similarity: what op 8's contract fixes, and what the pipeline's stage owes.
 SHINGLE, PERCENT = 3, 90
+STAGE_SHINGLE, STAGE_PERCENT = 5, 80
 #: Documents that share a combination of k tokens: up to so many, all their pairs are candidates;
 #: beyond, the combination is frequent and those of k + 1 tokens are indexed.
 LISTS = (8, 32, 64)
@@ -27,12 +30,12 @@ BLOCK = 2048
 _U = np.uint64
 
 
-def shingles(data: np.ndarray, off: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+def shingles(data: np.ndarray, off: np.ndarray, shingle: int = SHINGLE) -> tuple[np.ndarray, np.ndarray]:
     """Distinct shingle fingerprints, ascending in each document, and where each document's start (and one more)."""
     grid = wg.WordGrid(data, off, lower=True)
-    g, at = grid.grams(SHINGLE)
+    g, at = grid.grams(shingle)
     doc = grid.doc[at]
-    for k in range(1, SHINGLE):  # fewer words: all of them
+    for k in range(1, shingle):  # fewer words: all of them
         h, where = grid.grams(k)
         on = grid.counts[grid.doc[where]] == k
         g, doc = np.concatenate([g, h[on]]), np.concatenate([doc, grid.doc[where[on]]])
@@ -45,21 +48,33 @@ def shingles(data: np.ndarray, off: np.ndarray) -> tuple[np.ndarray, np.ndarray]
     return g, np.searchsorted(doc, np.arange(len(off)))
 
 
-def differing(n: np.ndarray | int):
+def differing(n: np.ndarray | int, percent: int = PERCENT):
     """Tokens at most in which linked sets differ, one of which has ``n``: (100 - p) / p of them."""
-    return n * (100 - PERCENT) // PERCENT
+    return n * (100 - percent) // percent
 
 
-def prefix_length(n, k: int):
+def prefix_length(n, k: int, percent: int = PERCENT):
     """Tokens of a prefix that holds k adjoining common tokens of any linked set.
 
     Among its first tokens in the order of fingerprints, linked sets' common ones
     are parted into at most d + 1 runs by the d tokens in which they differ.
     """
-    d = differing(n)
+    d = differing(n, percent)
     return d + (d + 1) * (k - 1) + 1
 
 
+@lru_cache(maxsize=1 << 16)
+def _too_few(n: int, k: int, percent: int) -> bool:
+    """Whether a set of ``n`` and a linked one can have so few tokens that the differing ones leave no run of k common ones.
+
+    d differing tokens make d + 1 runs, one of which has k tokens if the sets have k * (d + 1) together.
+    """
+    most = differing(n, percent)
+    if n >= k * (most + 1):
+        return False
+    return any(max(n, -(-100 * d // (100 - percent))) < min(k * (d + 1), n + d + 1) for d in range(1, most + 1))
+
+
 def _bitmap(tokens: np.ndarray, n: int) -> bytes:
     """Parities of the tokens' counts by bit; about one bit for a token, a power of two from 64 on."""
     bits = 1 << max(6, int(n - 1).bit_length())
@@ -74,56 +89,73 @@ def _fold(bitmap: np.ndarray, size: int) -> np.ndarray:
     return bitmap
 
 
-def _may_link(na: int, nb: int, a: bytes, b: bytes) -> bool:
+def _may_link(na: int, nb: int, a: bytes, b: bytes, percent: int = PERCENT) -> bool:
     """False only if the sets can't be linked: the bits that differ are at most the tokens that do."""
     x, y = np.frombuffer(a, np.uint8), np.frombuffer(b, np.uint8)
     size = min(len(x), len(y))
     apart = int(np.bitwise_count(_fold(x, size) ^ _fold(y, size)).sum())
-    return apart * (100 + PERCENT) <= (100 - PERCENT) * (na + nb)
+    return apart * (100 + percent) <= (100 - percent) * (na + nb)
 
 
-def linked(a: np.ndarray, b: np.ndarray) -> bool:
+def linked(a: np.ndarray, b: np.ndarray, percent: int = PERCENT) -> bool:
     common = len(a) + len(b) - len(np.union1d(a, b))
-    return 100 * common >= PERCENT * (len(a) + len(b) - common)
+    return 100 * common >= percent * (len(a) + len(b) - common)
+
+
+def _measured(data: np.ndarray, off: np.ndarray, shingle: int) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """Shingles, where each document's start, and sizes and fingerprints of the sets."""
+    g, first = shingles(data, off, shingle)
+    n = np.diff(first)
+    total = np.zeros(len(g) + 1, np.uint64)
+    np.cumsum(wg.mix(g), out=total[1:])
+    sid = wg.mix(total[first[1:]] - total[first[:-1]] + n.astype(np.uint64) * _U(0x9FB21C651E98DF25)).astype(np.int64)
+    return g, first, n.astype(np.int64), sid
+
+
+def _sets(docs: DataFrame, id_col: str, text_col: str, shingle: int) -> DataFrame:
+    """For each row: size and fingerprint of its set."""
+
+    def make(data: np.ndarray, off: np.ndarray) -> dict[str, object]:
+        _, _, n, sid = _measured(data, off, shingle)
+        return {"n": n, "sid": sid}
+
+    return C.arrow_append(docs.select(F.col(id_col).alias("id"), F.col(text_col).alias("text")), make, [T.StructField("n", T.LongType()), T.StructField("sid", T.LongType())], keep=["id"])
 
 
-def _sets(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
-    """For each row: size and fingerprint of its set, parity bitmap, and the longest prefix."""
+def _prefixes(docs: DataFrame, id_col: str, text_col: str, shingle: int, percent: int) -> DataFrame:
+    """The same with the set's parity bitmap and longest prefix; these are made anew, as on disk they would be as large as the texts."""
 
     def make(data: np.ndarray, off: np.ndarray) -> dict[str, object]:
-        g, first = shingles(data, off)
-        n = np.diff(first)
-        total = np.zeros(len(g) + 1, np.uint64)
-        np.cumsum(wg.mix(g), out=total[1:])
-        sid = wg.mix(total[first[1:]] - total[first[:-1]] + n.astype(np.uint64) * _U(0x9FB21C651E98DF25)).astype(np.int64)
+        g, first, n, sid = _measured(data, off, shingle)
         maps, heads = [], []
         for a, b, k in zip(first[:-1].tolist(), first[1:].tolist(), n.tolist()):
-            some = differing(k) > 0  # smaller sets are linked with equal ones only
+            some = differing(k, percent) > 0  # smaller sets are linked with equal ones only
             maps.append(_bitmap(g[a:b], k) if some else b"")
-            heads.append(g[a : min(b, a + prefix_length(k, len(LISTS)))].tobytes() if some else b"")
-        return {"n": n.astype(np.int64), "sid": sid, "bitmap": pa.array(maps, pa.binary()), "head": pa.array(heads, pa.binary())}
+            heads.append(g[a : min(b, a + prefix_length(k, len(LISTS), percent))].tobytes() if some else b"")
+        return {"n": n, "sid": sid, "bitmap": pa.array(maps, pa.binary()), "head": pa.array(heads, pa.binary())}
 
     fields = [T.StructField("n", T.LongType()), T.StructField("sid", T.LongType()), T.StructField("bitmap", T.BinaryType()), T.StructField("head", T.BinaryType())]
     return C.arrow_append(docs.select(F.col(id_col).alias("id"), F.col(text_col).alias("text")), make, fields, keep=["id"])
 
 
-def _combinations(head: np.ndarray, n: int, k: int) -> np.ndarray:
-    """Fingerprints of the runs of k adjoining tokens in the prefix for k."""
-    t = head[: prefix_length(n, k)]
+def _combinations(head: np.ndarray, n: int, k: int, percent: int = PERCENT) -> np.ndarray:
+    """Fingerprints of the runs of k adjoining tokens in the prefix for k; those of k - 1 too where the sets may be too small."""
+    fewer = _combinations(head, n, k - 1, percent) if k > 1 and _too_few(n, k, percent) else np.zeros(0, np.uint64)
+    t = head[: prefix_length(n, k, percent)]
     m = len(t) - k + 1
     if m <= 0:
-        return np.zeros(0, np.uint64)
+        return fewer
     acc = t[:m].copy()
     for j in range(1, k):
         acc = acc * _U(0xFF51AFD7ED558CCD) + t[j : j + m]
-    return wg.mix(acc + _U(k))
+    return np.concatenate([wg.mix(acc + _U(k)), fewer])
 
 
 def _filter_bits(keys: np.ndarray) -> np.ndarray:
     return (wg.mix(keys.astype(np.uint64) + _U(77)) >> _U(64 - FILTER_BITS)).astype(np.int64)
 
 
-def _index(sets: DataFrame, k: int, buckets: np.ndarray, frequent: list[np.ndarray]) -> DataFrame:
+def _index(sets: DataFrame, k: int, buckets: np.ndarray, frequent: list[np.ndarray], percent: int) -> DataFrame:
     """The combinations of k tokens of those sets that hold a frequent one of each fewer."""
     frequent_b = sets.sparkSession.sparkContext.broadcast([np.packbits(f) for f in frequent])
 
@@ -133,9 +165,9 @@ def _index(sets: DataFrame, k: int, buckets: np.ndarray, frequent: list[np.ndarr
         for batch in batches:
             for sid, n, head in zip(*(batch.column(i).to_pylist() for i in range(3))):
                 t = np.frombuffer(head, np.uint64)
-                if not all(m[_filter_bits(_keys(_combinations(t, n, j + 1), buckets))].any() for j, m in enumerate(masks)):
+                if not all(m[_filter_bits(_keys(_combinations(t, n, j + 1, percent), buckets))].any() for j, m in enumerate(masks)):
                     continue
-                c = _combinations(t, n, k)
+                c = _combinations(t, n, k, percent)
                 key = _keys(c, buckets)
                 value = (key & _U((1 << 40) - 1)) << _U(24) | _U(min(n, (1 << 24) - 1))
                 yield from out.add((key >> _U(40)).astype(np.int32), np.full(len(c), sid, np.int64), value)
@@ -154,7 +186,7 @@ _FOUND = T.StructType([T.StructField("kind", T.IntegerType()), T.StructField("a"
 _FOUND_ARROW = pa.schema([("kind", pa.int32()), ("a", pa.int64()), ("b", pa.int64())])
 
 
-def _candidates(rows: DataFrame, limit: int, last: bool) -> DataFrame:
+def _candidates(rows: DataFrame, limit: int, last: bool, percent: int) -> DataFrame:
     """Of each combination's sets: the pairs (kind 0), or if they are many the combination (1); at the end, links to one of them (2)."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -192,7 +224,7 @@ def _candidates(rows: DataFrame, limit: int, last: bool) -> DataFrame:
             if not on.any():
                 break
             a, b, x, y = sid[:-step][on], sid[step:][on], n[:-step][on], n[step:][on]
-            near = 100 * np.minimum(x, y) >= PERCENT * np.maximum(x, y)
+            near = 100 * np.minimum(x, y) >= percent * np.maximum(x, y)
             held.append(np.stack([a[near], b[near]], 1))
         if held:
             pairs = np.unique(np.concatenate(held), axis=0)
@@ -202,7 +234,7 @@ def _candidates(rows: DataFrame, limit: int, last: bool) -> DataFrame:
     return rows.mapInArrow(run, _FOUND)
 
 
-def _possible(pairs: DataFrame, maps: DataFrame) -> DataFrame:
+def _possible(pairs: DataFrame, maps: DataFrame, percent: int) -> DataFrame:
     """Pairs that the bitmaps don't rule out."""
     left = maps.select(F.col("sid").alias("a"), F.col("n").alias("na"), F.col("bitmap").alias("ma"))
     right = maps.select(F.col("sid").alias("b"), F.col("n").alias("nb"), F.col("bitmap").alias("mb"))
@@ -210,19 +242,19 @@ def _possible(pairs: DataFrame, maps: DataFrame) -> DataFrame:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             cols = [batch.column(i).to_pylist() for i in range(6)]
-            on = pa.array([_may_link(na, nb, ma, mb) for _, _, na, nb, ma, mb in zip(*cols)], pa.bool_())
+            on = pa.array([_may_link(na, nb, ma, mb, percent) for _, _, na, nb, ma, mb in zip(*cols)], pa.bool_())
             yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1)], names=["a", "b"]).filter(on)
 
     joined = pairs.join(left, "a").join(right, "b").select("a", "b", "na", "nb", "ma", "mb")
     return joined.mapInArrow(run, "a long, b long")
 
 
-def _size_class(n) -> F.Column:
+def _size_class(n, percent: int) -> F.Column:
     """Linked sets lie in the same class or in adjoining ones."""
-    return F.floor(F.log(n.cast("double")) / float(np.log(100 / PERCENT)) + 1e-9).cast("int")
+    return F.floor(F.log(n.cast("double")) / float(np.log(100 / percent)) + 1e-9).cast("int")
 
 
-def _dealt_groups(groups: DataFrame) -> DataFrame:
+def _dealt_groups(groups: DataFrame, percent: int) -> DataFrame:
     """``sid`` and the tasks that compare it with others of its group.
 
     A group of up to BLOCK sets is one task.  Larger ones are parted by size
@@ -232,7 +264,7 @@ def _dealt_groups(groups: DataFrame) -> DataFrame:
     counts = groups.groupBy("root").agg(F.count(F.lit(1)).alias("m"))
     sized = groups.join(counts, "root")
     small = sized.where(F.col("m") <= BLOCK).select("sid", F.concat_ws("/", F.col("root")).alias("task"))
-    large = sized.where(F.col("m") > BLOCK).withColumn("c", F.explode(F.array(_size_class(F.col("n")), _size_class(F.col("n")) - 1)))
+    large = sized.where(F.col("m") > BLOCK).withColumn("c", F.explode(F.array(_size_class(F.col("n"), percent), _size_class(F.col("n"), percent) - 1)))
     classes = large.groupBy("root", "c").agg(F.greatest(F.lit(1), F.ceil(F.count(F.lit(1)) * 2 / BLOCK)).cast("int").alias("blocks"))
     own = F.pmod(F.xxhash64("sid"), F.col("blocks")).cast("int")
     spread = large.join(classes, ["root", "c"]).withColumn("x", own).withColumn("y", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
@@ -240,15 +272,11 @@ def _dealt_groups(groups: DataFrame) -> DataFrame:
     return small.unionByName(spread)
 
 
-def _verified(docs: DataFrame, members: DataFrame, n_parts: int, id_col: str, text_col: str) -> DataFrame:
+def _verified(docs: DataFrame, members: DataFrame, n_parts: int, id_col: str, text_col: str, shingle: int, percent: int) -> DataFrame:
     """Links inside each task's sets that join them as all their links do."""
 
     def make(data: np.ndarray, off: np.ndarray) -> dict[str, object]:
-        g, first = shingles(data, off)
-        total = np.zeros(len(g) + 1, np.uint64)
-        np.cumsum(wg.mix(g), out=total[1:])
-        n = np.diff(first)
-        sid = wg.mix(total[first[1:]] - total[first[:-1]] + n.astype(np.uint64) * _U(0x9FB21C651E98DF25)).astype(np.int64)
+        g, first, _, sid = _measured(data, off, shingle)
         return {"own": sid, "set": pa.array([g[a:b].tobytes() for a, b in zip(first[:-1], first[1:])], pa.binary())}
 
     wanted = members.groupBy("rep", "sid").agg(F.collect_list("task").alias("tasks"))
@@ -260,7 +288,7 @@ def _verified(docs: DataFrame, members: DataFrame, n_parts: int, id_col: str, te
         task, held = None, {}
 
         def done() -> Iterator[pa.RecordBatch]:
-            found = links(held)
+            found = links(held, percent)
             if found:
                 yield pa.RecordBatch.from_arrays([pa.array([x for x, _ in found], pa.int64()), pa.array([y for _, y in found], pa.int64())], names=["a", "b"])
 
@@ -275,7 +303,7 @@ def _verified(docs: DataFrame, members: DataFrame, n_parts: int, id_col: str, te
     return rows.repartition(n_parts, "task").sortWithinPartitions("task").mapInArrow(run, "a long, b long")
 
 
-def links(held: dict[int, bytes]) -> list[tuple[int, int]]:
+def links(held: dict[int, bytes], percent: int = PERCENT) -> list[tuple[int, int]]:
     """Enough links between the sets to join all that their links join; every pair is linked, ruled out or already joined."""
     if len(held) < 2:
         return []
@@ -288,7 +316,7 @@ def links(held: dict[int, bytes]) -> list[tuple[int, int]]:
     out: list[tuple[int, int]] = []
     for i in range(len(sids)):
         # a set linked with the i-th, not smaller, has at most 100 / p times its tokens
-        end = int(np.searchsorted(n * PERCENT, n[i] * 100, "right"))
+        end = int(np.searchsorted(n * percent, n[i] * 100, "right"))
         if end <= i + 1:
             continue
         rest = slice(i + 1, end)
@@ -297,9 +325,9 @@ def links(held: dict[int, bytes]) -> list[tuple[int, int]]:
             continue
         js = np.flatnonzero(on) + i + 1
         apart = np.bitwise_count(maps[js] ^ maps[i]).sum(1)
-        js = js[apart * (100 + PERCENT) <= (100 - PERCENT) * (n[js] + n[i])]
+        js = js[apart * (100 + percent) <= (100 - percent) * (n[js] + n[i])]
         for j in js.tolist():
-            if root[j] != root[i] and linked(sets[i], sets[j]):
+            if root[j] != root[i] and linked(sets[i], sets[j], percent):
                 out.append((sids[i], sids[j]))
                 root[root == root[j]] = root[i]
     return out
@@ -310,12 +338,12 @@ def _bitmap_of(tokens: np.ndarray, bits: int) -> bytes:
     return np.packbits(odd.astype(np.uint8), bitorder="little").tobytes()
 
 
-def near_components(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """Each document's set size and component of links: sets of 3-word shingles whose Jaccard similarity is at least 0.9.
+def near_components(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", shingle: int = SHINGLE, percent: int = PERCENT) -> DataFrame:
+    """Each document's set size and component of links: sets of shingles of ``shingle`` words whose Jaccard similarity is at least ``percent`` / 100.
 
     Equal sets are found by fingerprint and stand for one.  In the order of token
     fingerprints, linked sets share k adjoining tokens of their prefixes
-    (``prefix_length``).  Level 1 indexes single tokens; those of few sets (up to
+    (``prefix_length``); sets too small for that are indexed by fewer.  Level 1 indexes single tokens; those of few sets (up to
     ``LISTS[0]``) give candidate pairs.  Sets that hold frequent tokens are
     indexed by combinations of two adjoining tokens of a longer prefix, those that
     hold frequent pairs by combinations of three.  Which combinations are frequent
@@ -327,7 +355,7 @@ def near_components(docs: DataFrame, *, id_col: str = "doc_id", text_col: str =
     Returns ``id, n_shingles, component_id``, one row for each input row.
 
     * Null text or one without words: no shingles, a component of its own.
-    * One or two words: the whole sequence is the one shingle.
+    * Fewer words than a shingle has: the whole sequence is the one shingle.
     * Null id: never the smallest; such a row is linked with rows of an equal set only, and alone its component is null.
     * Repeated ids are nodes of each of their texts; other columns aren't read.
     * Empty input: empty result.
@@ -335,14 +363,14 @@ def near_components(docs: DataFrame, *, id_col: str = "doc_id", text_col: str =
     spark = docs.sparkSession
     n_parts = P.n_partitions(docs)
     buckets = P.labels(docs, n_parts)
-    sets = C.cut(_sets(docs, id_col, text_col))
+    sets = C.cut(_sets(docs, id_col, text_col, shingle))
     # head and bitmap depend on the set alone
-    one = C.cut(sets.where("length(head) > 0").groupBy("sid", "n").agg(F.min("id").alias("rep"), F.first("bitmap").alias("bitmap"), F.first("head").alias("head")).where("rep IS NOT NULL"))
+    one = C.cut(_prefixes(docs, id_col, text_col, shingle, percent).where("length(head) > 0").groupBy("sid", "n").agg(F.min("id").alias("rep"), F.first("bitmap").alias("bitmap"), F.first("head").alias("head")).where("rep IS NOT NULL"))
     frequent: list[np.ndarray] = []
     found: list[DataFrame] = []
     for k, limit in enumerate(LISTS, 1):
-        rows = P.dealt(_index(one, k, buckets, frequent), n_parts)
-        level = C.cut(_candidates(rows, limit, k == len(LISTS)))
+        rows = P.dealt(_index(one, k, buckets, frequent, percent), n_parts)
+        level = C.cut(_candidates(rows, limit, k == len(LISTS), percent))
         found.append(level)
         if k < len(LISTS):
             # positions of a filter of fixed size, so at most 2 ** FILTER_BITS
@@ -356,11 +384,11 @@ def near_components(docs: DataFrame, *, id_col: str = "doc_id", text_col: str =
     for f in found[1:]:
         every = every.unionByName(f)
     pairs = every.where("kind = 0").select("a", "b").distinct()
-    edges = _possible(pairs, one.select("sid", "n", "bitmap")).unionByName(every.where("kind = 2").select("a", "b"))
+    edges = _possible(pairs, one.select("sid", "n", "bitmap"), percent).unionByName(every.where("kind = 2").select("a", "b"))
     groups = graph.components(edges).join(one.select(F.col("sid").alias("node"), "n", "rep"), "node").withColumnRenamed("node", "sid")
     groups = C.cut(groups)
-    members = _dealt_groups(groups).join(groups.select("sid", "rep"), "sid")
-    joined = graph.components(_verified(docs, members, n_parts, id_col, text_col))
+    members = _dealt_groups(groups, percent).join(groups.select("sid", "rep"), "sid")
+    joined = graph.components(_verified(docs, members, n_parts, id_col, text_col, shingle, percent))
     labelled = sets.select("id", "n", "sid").join(joined.select(F.col("node").alias("sid"), "root"), "sid", "left").withColumn("root", F.coalesce("root", "sid"))
     least = labelled.where("n > 0").groupBy("root").agg(F.min("id").alias("least"))
     return labelled.join(least, "root", "left").select(F.col("id").alias(id_col), F.col("n").alias("n_shingles"), F.when(F.col("n") > 0, F.col("least")).otherwise(F.col("id")).alias("component_id"))
@@ -371,6 +399,6 @@ def op8_near_components(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def near_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Pipeline stage: of each component the document with the smallest id stays; rows that repeat its id stay with it."""
-    first = near_components(docs.select("doc_id", "text")).where("doc_id = component_id OR component_id IS NULL").select(F.col("doc_id").alias("__k")).distinct()
+    """Pipeline stage: of each component of sets of 5-word shingles at a similarity of 0.8 the document with the smallest id stays; rows that repeat its id stay with it."""
+    first = near_components(docs.select("doc_id", "text"), shingle=STAGE_SHINGLE, percent=STAGE_PERCENT).where("doc_id = component_id OR component_id IS NULL").select(F.col("doc_id").alias("__k")).distinct()
     return docs.join(first, F.col("doc_id").eqNullSafe(F.col("__k")), "left_semi")

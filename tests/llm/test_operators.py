@@ -562,3 +562,44 @@ def test_prefixes_hold_adjoining_common_tokens():
                 t = sorted(s)[: jaccard.prefix_length(len(s), k)]
                 runs.append({tuple(t[i : i + k]) for i in range(len(t) - k + 1)})
             assert runs[0] & runs[1]
+
+
+def _stage_shingles(t):
+    w = WORD.findall((t or "").translate(LOW))
+    return frozenset(tuple(w[i : i + 5]) for i in range(len(w) - 4)) if len(w) > 4 else frozenset([tuple(w)] if w else [])
+
+
+def _stage_kept(made):
+    sets, root = [_stage_shingles(t) for t in made], list(range(len(made)))
+    for i, a in enumerate(sets):
+        for j, b in enumerate(sets[:i]):
+            if a and b and 100 * len(a & b) >= 80 * len(a | b):
+                low, high = sorted((root[i], root[j]))
+                root = [low if r == high else r for r in root]
+    return {i for i, r in enumerate(root) if r == i}
+
+
+def test_near_stage_keeps_one_of_texts_that_reach_five_words_and_80_percent(spark, sf_dir):
+    w = [f"s{i}" for i in range(200)]
+    made = [" ".join(w), " ".join(w + [f"t{i}" for i in range(30)])]  # 196 of 226 shingles in common
+    for k in range(12):  # four shingles, and those with one more
+        v = [f"v{k}x{i}" for i in range(9)]
+        made += [" ".join(v[:8]), " ".join(v), " ".join([*v[:8], "else"])]
+    made += _variants(4, 4, 8) + ["a b c d", "A B c d", "a b c", "", None]
+    kept = {r["doc_id"] for r in jaccard.near_stage(spark, _docs(spark, made), sf_dir).collect()}
+    assert kept == _stage_kept(made) and 1 not in kept
+
+
+def test_prefixes_hold_adjoining_common_tokens_at_80_percent():
+    rng = random.Random(10)
+    for _ in range(3000):
+        n = rng.choice([rng.randint(4, 12), rng.randint(4, 90)])
+        a = set(rng.sample(range(10_000), n))
+        b = set(a)
+        for _ in range(rng.randint(1, jaccard.differing(n, 80))):
+            b = b - {rng.choice(sorted(b))} if rng.random() < 0.5 else b | {rng.randint(0, 10_000)}
+        if 100 * len(a & b) < 80 * len(a | b):
+            continue
+        for k in (1, 2, 3):
+            x, y = (set(jaccard._combinations(np.array(sorted(s)[: jaccard.prefix_length(len(s), 3, 80)], np.uint64), len(s), k, 80).tolist()) for s in (a, b))
+            assert x & y
