@@ -12,6 +12,7 @@ from haruspex.llm import common as C
 #: A word in lower-cased text, and the same before lower-casing; and what separates words.
 WORD = r"[^\x00-\x2F\x3A-\x60\x7B-\x7F]+"
 RAW_WORD = r"[^\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]+"
+RAW_BREAK = r"[\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]+"
 BREAK = r"[\x00-\x2F\x3A-\x60\x7B-\x7F]+"
 
 #: Phrase and label.
@@ -146,7 +147,7 @@ def _rules() -> tuple[Rule, ...]:
 RULES = _rules()
 
 #: A text must hold one of the rules' keywords (or a base phrase's words) to be looked at.
-GATE = r"(?i)licen[cs]|copyright|rights?[^a-z]{1,9}(?:are[^a-z]{1,9})?reserved|public[^a-z]{1,9}(?:license|domain)|(?<![a-z0-9])(?:cc0?|gpl|lgpl|agpl|gfdl|wtfpl)(?![a-z])|creative|creativecommons|permission|warrant|redistribut|unencumbered|confidential|proprietary|unauthorized|commercial|endorse|altered|apache|[al]?gplv?[123]"
+GATE = rf"(?i)licen[cs]|copyright|rights{RAW_BREAK}(?:are{RAW_BREAK})?reserved|public{RAW_BREAK}(?:license|domain)|(?<![a-z0-9])(?:cc0?|gpl|lgpl|agpl|gfdl|wtfpl)(?![a-z])|creative|creativecommons|permission|warrant|redistribut|unencumbered|confidential|proprietary|unauthorized|commercial|endorse|altered|apache|[al]?gplv?[123]"
 
 
 def _literal(rules: tuple[Rule, ...]) -> str:

@@ -287,6 +287,13 @@ def test_every_rule_can_match(spark):
     assert rows.where(F.regexp_like(F.lit(" zzz "), F.col("rx"))).count() == 0  # all compile; none matches nothing
 
 
+def test_license_base_places_with_any_run_of_separators(spark):
+    made = ["All rights\n" + " " * 12 + "reserved.", "ALL RIGHTS\n * \n * \n *      reserved", "all" + "-" * 50 + "rights" + "\t" * 50 + "reserved"]
+    out = licenses.license_scan(_docs(spark, made)).toPandas().set_index("doc_id")
+    for i, t in enumerate(made):
+        assert (len(re.findall("\\w+", t)), out.loc[i].n_base, out.loc[i].first_word, out.loc[i].last_word, out.loc[i].base_labels) == _license_base(t) == (3, 1, 0, 0, "reserved")
+
+
 # -- chat
 
 
