@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import re
 from dataclasses import dataclass
 
 from pyspark.sql import DataFrame, SparkSession
@@ -130,13 +131,13 @@ def _rules() -> tuple[Rule, ...]:
     add("ncsa", 2, 0.8, "ncsa", "(?:university of illinois )?ncsa open source licen[cs]e")
     add("ruby", 2, 0.6, "ruby", "ruby licen[cs]e")
     add("beerware", 2, 0.6, "beer", "beer ?ware licen[cs]e")
-    add("as-is", 1, 0.4, "warranty", "provided as is without (?:any )?(?:express or implied )?warrant(?:y|ies)")
+    add("as-is", 1, 0.4, "warrant", "provided as is without (?:any )?(?:express or implied )?warrant(?:y|ies)")
     add("proprietary", 3, 0.8, "confidential", "proprietary and confidential", "confidential and proprietary")
     add("proprietary", 2, 0.7, "proprietary", "proprietary licen[cs]e")
     add("proprietary", 2, 0.7, "unauthorized", "unauthorized (?:copying|reproduction|distribution)(?: \\S+){0,8} prohibited")
     add("eula", 2, 0.7, "end", "end user licen[cs]e agreement")
     add("non-commercial", 2, 0.7, "commercial", "(?:for )?non ?commercial (?:use|purposes) only")
-    add("no-redistribution", 2, 0.7, "redistribut", "(?:may|must) not be (?:redistributed|reproduced|copied)(?: \\S+){0,4} without(?: \\S+){0,4} permission")
+    add("no-redistribution", 2, 0.7, "permission", "(?:may|must) not be (?:redistributed|reproduced|copied)(?: \\S+){0,4} without(?: \\S+){0,4} permission")
     add("reserved", 2, 0.7, "reserved", "all rights (?:are )?reserved", "some rights reserved")
     add("copyright", 1, 0.4, "copyright", "copyright(?: c)? (?:19|20)[0-9]{2}(?: (?:19|20)[0-9]{2})?(?: by)?(?: \\S+){1,4}")
     add("permission", 1, 0.4, "permission", "(?:used|reprinted|reproduced) (?:with|by) permission")
@@ -146,8 +147,27 @@ def _rules() -> tuple[Rule, ...]:
 
 RULES = _rules()
 
-#: A text must hold one of the rules' keywords (or a base phrase's words) to be looked at.
-GATE = rf"(?i)licen[cs]|copyright|rights{RAW_BREAK}(?:are{RAW_BREAK})?reserved|public{RAW_BREAK}(?:license|domain)|(?<![a-z0-9])(?:cc0?|gpl|lgpl|agpl|gfdl|wtfpl)(?![a-z])|creative|creativecommons|permission|warrant|redistribut|unencumbered|confidential|proprietary|unauthorized|commercial|endorse|altered|apache|[al]?gplv?[123]"
+
+def _mark(rule: Rule) -> str:
+    """What a raw text must hold for the rule to match: its keyword, or words that its pattern can't do without and that are rarer."""
+    need, before = rule.pattern, ""
+    while need != before:  # what lies outside of groups is in every match
+        before, need = need, re.sub(r"\((?:\?[:!])?[^()]*\)(?:\?|\{\d+,\d+\}\??)?", "~", need)
+    if "licen" in need:
+        return "licen"
+    if re.search("rights ~?reserved", need):
+        return rf"rights{RAW_BREAK}(?:are{RAW_BREAK})?reserved"
+    if "public domain" in need:
+        return rf"public{RAW_BREAK}domain"
+    if need.startswith("cc "):
+        return f"(?<!{RAW_WORD[:-1]})cc(?!{RAW_WORD[:-1]})"
+    return rule.keyword
+
+
+def gate(rules: tuple[Rule, ...]) -> str:
+    """Matches any raw text in which a rule or a base phrase can match."""
+    base = tuple(Rule(label, 1, 0.0, phrase.split()[-1], phrase) for phrase, label in BASE)
+    return "(?i)" + "|".join(sorted({_mark(r) for r in (*base, *rules)}))
 
 
 def _literal(rules: tuple[Rule, ...]) -> str:
@@ -175,7 +195,7 @@ def license_scan(docs: DataFrame, *, text: str = "text", keep: list[str] | None
     raw = F.coalesce(F.col(f"`{text}`").cast("string"), F.lit(""))
     upper = "ABCDEFGHIJKLMNOPQRSTUVWXYZ"
     norm = F.concat(F.lit(" "), F.trim(F.regexp_replace(F.translate(raw, upper, upper.lower()), BREAK, " ")), F.lit(" "))
-    df = docs.select(*[F.col(f"`{c}`") for c in cols], F.regexp_count(raw, F.lit(RAW_WORD)).cast("long").alias("n_words"), F.when(raw.rlike(GATE), norm).alias("__norm"))
+    df = docs.select(*[F.col(f"`{c}`") for c in cols], F.regexp_count(raw, F.lit(RAW_WORD)).cast("long").alias("n_words"), F.when(raw.rlike(gate(rules)), norm).alias("__norm"))
 
     places, firsts, lasts, base = [], [], [], []
     for phrase, label in BASE:

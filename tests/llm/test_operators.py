@@ -294,6 +294,53 @@ def test_license_base_places_with_any_run_of_separators(spark):
         assert (len(re.findall("\\w+", t)), out.loc[i].n_base, out.loc[i].first_word, out.loc[i].last_word, out.loc[i].base_labels) == _license_base(t) == (3, 1, 0, 0, "reserved")
 
 
+def _samples(pattern):
+    """Texts that a rule's pattern matches: each alternative and repeat in turn, others at their first and least."""
+    from re import _constants as K
+    from re import _parser
+
+    def of(node):
+        op, arg = node
+        if op is K.LITERAL:
+            return [chr(arg)]
+        if op is K.IN:
+            first = arg[0]
+            return [" x"[first == (K.CATEGORY, K.CATEGORY_NOT_SPACE)] if first[0] is K.CATEGORY else chr(first[1] if first[0] is K.LITERAL else first[1][0])]
+        if op is K.SUBPATTERN:
+            return run(arg[3])
+        if op is K.BRANCH:
+            return [x for branch in arg[1] for x in run(branch)]
+        if op in (K.MAX_REPEAT, K.MIN_REPEAT):
+            return list(dict.fromkeys(x * n for n in (arg[0], min(arg[1], arg[0] + 1)) for x in run(arg[2])))
+        assert op is K.ASSERT_NOT, op
+        return [""]
+
+    def run(nodes):
+        parts = [of(n) for n in nodes]
+        least = [p[0] for p in parts]
+        return list(dict.fromkeys("".join(least[:i] + [x] + least[i + 1 :]) for i, p in enumerate(parts or [[""]]) for x in (p if parts else [""]))) or [""]
+
+    return run(_parser.parse(pattern))
+
+
+def test_gate_and_keywords_pass_every_rule():
+    gate = re.compile(licenses.gate(licenses.RULES))
+    for r in licenses.RULES:
+        for t in _samples(r.pattern):
+            if re.search(r.pattern, t):
+                assert r.keyword in t and all(gate.search(raw) for raw in (t, t.upper(), t.replace(" ", "\n" + " " * 12 + "* "))), (r, t)
+
+
+def test_rules_fire_through_the_scan(spark):
+    verbs = [f"It {m} not be {v} in print without our prior permission" for m in ("may", "must") for v in ("redistributed", "reproduced", "copied")]
+    cases = {t: "no-redistribution" for t in verbs}
+    cases |= {"BSD 3-Clause": "bsd-3-clause", "BSD-2-Clause": "bsd-2-clause", "three clause BSD": "bsd-3-clause", "Public" + " " * 20 + "Domain": "public-domain", "provided as is without warranties": "as-is", "GPL 3": "gpl-3.0"}
+    cases |= {max(_samples(r.pattern), key=len): None for r in licenses.RULES if re.search(r.pattern, max(_samples(r.pattern), key=len)) and "\\+" not in r.pattern}
+    out = licenses.license_scan(_docs(spark, list(cases))).toPandas().set_index("doc_id")
+    for i, (t, label) in enumerate(cases.items()):
+        assert out.loc[i].score > 0 and (label is None or label in out.loc[i].labels.split(",")), (t, label, out.loc[i].labels)
+
+
 # -- chat
 
 
