@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import hashlib
 import re
+from collections import deque
 from collections.abc import Callable, Iterator
 
 import pyarrow as pa
@@ -16,8 +17,8 @@ from haruspex.llm import common as C
 Turn = tuple[str, str]  # role, text
 Template = Callable[[list[Turn]], str]
 
-#: Turns that are rendered before a turn to find its span.  Conversations up to that
-#: length are rendered from their start; in longer ones, a window of so many turns is.
+#: Turns that are rendered before a turn to find its span, if the template is declared
+#: turn-local; for any other, all turns from the conversation's start are.
 CONTEXT = 64
 
 END = "</turn>"
@@ -59,20 +60,29 @@ class RewritesHistory(ValueError):
     """A template's rendering of more turns doesn't start with its rendering of fewer."""
 
 
-def turn_spans(turns: Iterator[Turn], template: Template, context: int = CONTEXT) -> Iterator[tuple[Turn, str, tuple[int, int]]]:
+def turn_spans(turns: Iterator[Turn], template: Template, context: int | None = None) -> Iterator[tuple[Turn, str, tuple[int, int]]]:
     """Each turn with the characters that it adds to the output, and where its escaped text lies in them.
 
     Renders the turns so far, without and with the new one; what the second
     output has beyond the first is the turn's span.  If the second doesn't start
     with the first, the template rewrites history.  The text's place is found by
     rendering the turn with other texts and comparing.
+
+    ``context`` is for templates whose output is each turn's own, in order: no
+    more than so many turns are rendered before one.  A window that renders
+    otherwise than its turns' spans shows that the template isn't such.
     """
     past: list[Turn] = []
+    spans: deque[str] = deque(maxlen=context)
     before = template([])
+    if context is not None and before:
+        raise RewritesHistory("a turn-local template renders nothing for no turns")
     for role, text in turns:
-        if len(past) > context:
+        if context is not None and len(past) > context:
             past = past[-context:]
             before = template(past)
+            if before != "".join(spans):
+                raise RewritesHistory("the template isn't turn-local")
         now = template([*past, (role, text)])
         if not now.startswith(before):
             raise RewritesHistory(f"turn {len(past)} changes what was rendered before")
@@ -83,6 +93,8 @@ def turn_spans(turns: Iterator[Turn], template: Template, context: int = CONTEXT
         tail = len(none) - a
         if now[:a] != none[:a] or (tail and now[-tail:] != none[a:]):
             raise RewritesHistory(f"turn {len(past)}: what surrounds the text depends on it")
+        if context is not None:
+            spans.append(now[len(before) :])
         yield (role, text), now[len(before) :], (a - len(before), len(now) - tail - len(before))
         past.append((role, text))
         before = now
@@ -112,18 +124,22 @@ _FIELDS = [
 ]
 
 
-def format_conversations(turns: DataFrame, template: Template = default_template) -> DataFrame:
+def format_conversations(turns: DataFrame, template: Template = default_template, turn_local: bool | None = None) -> DataFrame:
     """One row for each conversation, read back from its formatted output.
 
     Rows are dealt by conversation and sorted by turn, and each task streams
-    through its rows: it holds ``CONTEXT`` turns, never a whole conversation.  A
-    digest over a conversation is sequential, so one conversation is one task's.
+    through its rows.  For a template declared ``turn_local`` (by default only
+    ``default_template`` is) it holds ``CONTEXT`` turns, never a whole
+    conversation; for others it renders all prefixes, in memory and time that
+    grow with the conversation and with its square.  A digest over a conversation
+    is sequential, so one conversation is one task's.
 
     * Null text or role: empty.  Null turn: after the others.  Null conversation: one of its own.
     * Equal turn numbers: by role, then text, both by code point; repeated rows are repeated turns.
     * Other columns aren't read.  Empty input: empty result.
     """
     C.small_batches(turns.sparkSession)
+    context = CONTEXT if (template is default_template if turn_local is None else turn_local) else None
     key = turns.schema["conv_id"].dataType
     schema = T.StructType([T.StructField("conv_id", key)] + [T.StructField(n, t) for n, t in _FIELDS])
 
@@ -141,7 +157,7 @@ def format_conversations(turns: DataFrame, template: Template = default_template
         pack = lambda: pa.RecordBatch.from_arrays([pa.array([r[i] for r in out], arrow.field(i).type) for i in range(len(arrow))], schema=arrow)
         for conv, of in groupby(rows(), key=lambda r: r[0]):
             d = _Digest()
-            for _, span, where in turn_spans(((r, t) for _, r, t in of), template):
+            for _, span, where in turn_spans(((r, t) for _, r, t in of), template, context):
                 d.add(span, where)
             out.append((conv, d.n, d.turns.hexdigest(), d.loss_chars, d.loss.hexdigest(), d.chars))
             if len(out) >= 1000:

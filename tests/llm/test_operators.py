@@ -373,6 +373,26 @@ def test_templates_that_rewrite_history_are_detected():
             list(chat.turn_spans(iter([("user", "hello there"), ("assistant", "general"), ("user", "x")]), bad))
 
 
+def test_long_conversations_are_rendered_from_their_start():
+    turns = [("system", "s")] + [(("user", "assistant")[k % 2], f"t{k}") for k in range(149)]
+    numbered = lambda ts: "".join(f"[{k}]{r}:{t}|" for k, (r, t) in enumerate(ts))
+
+    def starts(ts):
+        if ts and ts[0][0] != "system":
+            raise ValueError("the first turn must be the system's")
+        return chat.default_template(ts)
+
+    for template in (numbered, starts, chat.default_template):
+        assert "".join(span for _, span, _ in chat.turn_spans(iter(turns), template)) == template(turns)
+    truncated = lambda ts: chat.default_template(ts[-100:])
+    with pytest.raises(chat.RewritesHistory):
+        list(chat.turn_spans(iter(turns), truncated))
+    local = list(chat.turn_spans(iter(turns), chat.default_template, chat.CONTEXT))
+    assert local == list(chat.turn_spans(iter(turns), chat.default_template))
+    with pytest.raises(chat.RewritesHistory):  # declared so, but isn't
+        list(chat.turn_spans(iter(turns), numbered, chat.CONTEXT))
+
+
 # -- decontamination
 
 
