@@ -678,7 +678,7 @@ def q_sea_states(spark, sf_dir):
 
 
 def _sea(spark, sf_dir) -> DataFrame:
-    return geometry.seed_cross(_t(spark, sf_dir, "supplier").where("s_suppkey <= 10").select(F.col("s_suppkey").alias("sample_id"), (2.0 + F.col("s_suppkey") % 5).alias("hs"), (8.0 + F.col("s_suppkey") % 4).alias("tp")), [1, 2])
+    return geometry.seed_cross(_t(spark, sf_dir, "supplier").select(F.col("s_suppkey").alias("sample_id"), (2.0 + F.col("s_suppkey") % 5).alias("hs"), (8.0 + F.col("s_suppkey") % 4).alias("tp")), [1, 2])
 
 
 @_query()

@@ -33,3 +33,10 @@ def test_query(spark, sf_dir, duck, name):
 def test_query_without_sql_repeats(spark, sf_dir, name):
     a, b = (catalogue.QUERIES[name](spark, sf_dir).toPandas() for _ in range(2))
     assert len(a) and _rows(a, sorted(a.columns)) == _rows(b, sorted(b.columns))
+
+
+@pytest.mark.parametrize("name", ["linear_oscillator", "duffing_oscillator", "surge_response"])
+def test_sea_queries_read_every_supplier(spark, name):
+    sf = "/root/testdata/sf0.01"
+    want = {(r[0], k) for r in spark.read.parquet(f"{sf}/supplier.parquet").select("s_suppkey").collect() for k in (1, 2)}
+    assert len(want) > 20 and {(r["sample_id"], r["seed_id"]) for r in catalogue.QUERIES[name](spark, sf).collect()} == want
