@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import re
 import tempfile
 from collections.abc import Callable, Iterator
 
@@ -33,18 +34,55 @@ def small_batches(spark: SparkSession) -> None:
 
 
 def cut(df: DataFrame) -> DataFrame:
-    """Compute ``df`` once and cut its lineage with a reliable checkpoint.
-
-    The checkpoint lies in the folder that ``spark.checkpoint.dir`` names, which
-    all executors share.  Only where neither that setting nor a checkpoint folder
-    is given, as in local tests, a temporary folder is used.
-    """
+    """Compute ``df`` once and cut its lineage with a reliable checkpoint in the shared folder."""
     sc = df.sparkSession.sparkContext
     if sc._jsc.sc().getCheckpointDir().isEmpty():
-        sc.setCheckpointDir(df.sparkSession.conf.get("spark.checkpoint.dir", None) or tempfile.mkdtemp(prefix="checkpoint-"))
+        sc.setCheckpointDir(shared_folder(df.sparkSession))
     return df.checkpoint()
 
 
+def shared_folder(spark: SparkSession) -> str:
+    """The folder that ``spark.checkpoint.dir`` names, which all executors share.
+
+    Where it is unset, a local master gets a temporary folder, as in tests; any
+    other raises, as its executors wouldn't see such a folder.
+    """
+    named = spark.conf.get("spark.checkpoint.dir", None)
+    if named:
+        return named
+    if not re.match(r"local(\[|$)", spark.sparkContext.master):
+        raise RuntimeError("spark.checkpoint.dir must name a folder that all executors share")
+    return tempfile.mkdtemp(prefix="checkpoint-")
+
+
+def bitmap(positions: DataFrame, bits: int) -> np.ndarray:
+    """``2 ** bits`` bits, eight to a byte from the lowest, with those of the column ``p`` set; the executors make it up by pieces."""
+    size = 1 << bits
+    rows = positions.select(F.col("p").cast("long").alias("p")).groupBy(F.expr("p div 32768").alias("k")).agg(F.bitmap_construct_agg(F.expr("p % 32768")).alias("m"))
+    out = np.zeros(max(size // 8, 4096), np.uint8)
+    for r in rows.collect():
+        out[r["k"] * 4096 : (r["k"] + 1) * 4096] = np.frombuffer(bytes(r["m"]), np.uint8)
+    return out[: size // 8]
+
+
+#: Bits of the filter that ``marked`` sends to the executors.
+MARK_BITS = 24
+
+
+def marked(df: DataFrame, key: str, keys: DataFrame) -> DataFrame:
+    """``df`` with ``marked``: true for each row whose ``key`` is in ``keys``, and for few others; null keys aren't.
+
+    The filter has ``2 ** MARK_BITS`` bits whatever the number of keys (2 MB, in
+    512 rows at most), so it may be broadcast.  With very many keys most rows are
+    marked, which costs their joins but changes no result.
+    """
+    at = F.pmod(F.xxhash64(F.col(key)), F.lit(1 << MARK_BITS))
+    made = keys.select(at.alias("p")).groupBy(F.expr("p div 32768").alias("__k")).agg(F.bitmap_construct_agg(F.expr("p % 32768")).alias("__m"))
+    rows = df.withColumn("__p", at).withColumn("__k", F.expr("__p div 32768")).join(F.broadcast(made), "__k", "left")
+    bit = F.expr("shiftright(CAST(conv(hex(substring(__m, CAST((__p % 32768) div 8 AS INT) + 1, 1)), 16, 10) AS INT), CAST(__p % 8 AS INT)) & 1 = 1")
+    return rows.withColumn("marked", F.coalesce(bit & F.col(key).isNotNull(), F.lit(False))).drop("__k", "__m", "__p")
+
+
 def partitions(spark: SparkSession) -> int:
     return int(spark.conf.get("spark.sql.shuffle.partitions"))
 

@@ -3,13 +3,13 @@
 from __future__ import annotations
 
 from collections.abc import Iterator
-from functools import lru_cache
 
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
+from pyspark.sql.window import Window as W
 
 from haruspex.llm import common as C
 from haruspex.llm import graph
@@ -19,13 +19,17 @@ from haruspex.llm import wordgrid as wg
 #: Words of a shingle and per cent of similarity: what op 8's contract fixes, and what the pipeline's stage owes.
 SHINGLE, PERCENT = 3, 90
 STAGE_SHINGLE, STAGE_PERCENT = 5, 80
-#: Documents that share a combination of k tokens: up to so many, all their pairs are candidates;
-#: beyond, the combination is frequent and those of k + 1 tokens are indexed.
-LISTS = (8, 32, 64)
-#: Bits of the filter that tells frequent combinations, whatever their number; a false positive only indexes more.
+#: Least similarity for which combinations of three tokens are sure to exist in every prefix.
+LEAST_PERCENT = 75
+#: Sets that share a signature of level k: up to so many, all their pairs are candidates; beyond, the
+#: signature is frequent and the next level extends its sets' prefixes.
+LISTS = (8, 16, 32)
+#: Bits of the filter that tells frequent signatures, whatever their number; a false positive only indexes more.
 FILTER_BITS = 24
-#: Documents of a candidate group that one task compares with each other.
-BLOCK = 2048
+#: Sets of a block; one task compares two blocks at most.
+BLOCK = 1024
+#: Signatures that a task holds before it packs them, and sets that it remembers so as not to index copies again.
+FLUSH, SEEN = 1 << 20, 1 << 20
 
 _U = np.uint64
 
@@ -49,39 +53,85 @@ def shingles(data: np.ndarray, off: np.ndarray, shingle: int = SHINGLE) -> tuple
 
 
 def differing(n: np.ndarray | int, percent: int = PERCENT):
-    """Tokens at most in which linked sets differ, one of which has ``n``: (100 - p) / p of them."""
-    return n * (100 - percent) // percent
+    """Tokens at most of a set of ``n`` that a linked one lacks."""
+    return n * (100 - percent) // 100
 
 
-def prefix_length(n, k: int, percent: int = PERCENT):
-    """Tokens of a prefix that holds k adjoining common tokens of any linked set.
+def pairable(n: np.ndarray | int, percent: int = PERCENT):
+    """Whether a set of ``n`` tokens can be linked with one that isn't equal; if so, one with a token more is the nearest."""
+    return n * (100 - percent) >= percent
 
-    Among its first tokens in the order of fingerprints, linked sets' common ones
-    are parted into at most d + 1 runs by the d tokens in which they differ.
-    """
-    d = differing(n, percent)
-    return d + (d + 1) * (k - 1) + 1
 
+def _single(tokens: np.ndarray) -> np.ndarray:
+    return wg.mix(tokens + _U(1))
 
-@lru_cache(maxsize=1 << 16)
-def _too_few(n: int, k: int, percent: int) -> bool:
-    """Whether a set of ``n`` and a linked one can have so few tokens that the differing ones leave no run of k common ones.
 
-    d differing tokens make d + 1 runs, one of which has k tokens if the sets have k * (d + 1) together.
+def _combined(common: np.ndarray, need: int, k: int, size: int) -> np.ndarray:
+    """k-combinations inside the groups of a prefix of ``common`` that ``need`` - 1 missing tokens can't break.
+
+    Tokens fall into groups by hash, about eight of each a set's tokens; ``size``
+    (a bit length) fixes how many groups there are.  A group of c tokens keeps a
+    whole combination until c - k + 1 of them are missing.
     """
-    most = differing(n, percent)
-    if n >= k * (most + 1):
-        return False
-    return any(max(n, -(-100 * d // (100 - percent))) < min(k * (d + 1), n + d + 1) for d in range(1, most + 1))
+    groups = _U(max(1, (1 << size) // 16))
+    g = (wg.mix(common ^ _U(0x5851F42D4C957F2D)) % groups).astype(np.int64)
+    order = np.argsort(g, kind="stable")
+    first = np.flatnonzero(np.diff(g[order], prepend=-1))
+    nth = np.empty(len(g), np.int64)
+    nth[order] = np.arange(len(g)) - np.repeat(first, np.diff(np.append(first, len(g))))
+    end = int(np.searchsorted(np.cumsum(nth >= k - 1), need)) + 1
+    order = order[order < end]
+    g, t = g[order], common[order]
+    out = []
+    for far in range(k - 1, len(t)):
+        same = g[far:] == g[:-far]
+        if not same.any():
+            break
+        left, right = t[:-far][same], t[far:][same]
+        if k == 2:
+            out.append(wg.mix((left * _U(0xFF51AFD7ED558CCD) + right) ^ _U(2)))
+        else:
+            for near in range(1, far):
+                middle = t[near : len(t) - far + near][same]
+                out.append(wg.mix(((left * _U(0xFF51AFD7ED558CCD) + middle) * _U(0xFF51AFD7ED558CCD) + right) ^ _U(3)))
+    return np.unique(np.concatenate(out)) if out else np.zeros(0, np.uint64)
 
 
-def _bitmap(tokens: np.ndarray, n: int) -> bytes:
-    """Parities of the tokens' counts by bit; about one bit for a token, a power of two from 64 on."""
-    bits = 1 << max(6, int(n - 1).bit_length())
+def signatures(tokens: np.ndarray, k: int, frequent: np.ndarray, percent: int = PERCENT) -> np.ndarray:
+    """Signatures of level k of a set, at least one of which any linked set has too.
+
+    In an order that all sets share, rare tokens come first, then frequent ones,
+    both by fingerprint.  Rare tokens are signatures by themselves; of frequent
+    ones combinations of k are.  The prefix is extended until d missing tokens,
+    as many as a linked set may lack, leave one signature whole.  Of two linked
+    sets, the one whose prefix ends first has a whole signature of common tokens,
+    which then lies in the other's prefix too.
+    """
+    n = len(tokens)
+    d = differing(n, percent)
+    if k == 1:
+        return _single(tokens[: d + 1])
+    rare = tokens[~frequent][: d + 1]
+    need = d + 1 - len(rare)
+    if need <= 0:
+        return _single(rare)
+    # a linked set may be larger: its number of groups counts too
+    sizes = range(int(n).bit_length(), int(n * 100 // percent).bit_length() + 1)
+    made = [_combined(tokens[frequent], need, k, s) for s in sizes]
+    return np.concatenate([_single(rare), made[0] if len(made) == 1 else np.unique(np.concatenate(made))])
+
+
+def _bitmap(tokens: np.ndarray, bits: int) -> bytes:
+    """Parities of the tokens' counts by bit."""
     odd = np.bincount((tokens & _U(bits - 1)).astype(np.int64), minlength=bits) & 1
     return np.packbits(odd.astype(np.uint8), bitorder="little").tobytes()
 
 
+def _width(n: int) -> int:
+    """Bits of a set's bitmap: about one for a token, a power of two from 64 on."""
+    return 1 << max(6, int(n - 1).bit_length())
+
+
 def _fold(bitmap: np.ndarray, size: int) -> np.ndarray:
     while len(bitmap) > size:
         half = len(bitmap) // 2
@@ -112,74 +162,126 @@ def _measured(data: np.ndarray, off: np.ndarray, shingle: int) -> tuple[np.ndarr
     return g, first, n.astype(np.int64), sid
 
 
-def _sets(docs: DataFrame, id_col: str, text_col: str, shingle: int) -> DataFrame:
-    """For each row: size and fingerprint of its set."""
+def _sets(docs: DataFrame, shingle: int, percent: int) -> DataFrame:
+    """For each row: size, fingerprint and parity bitmap of its set; no bitmap where only equal sets are linked."""
 
     def make(data: np.ndarray, off: np.ndarray) -> dict[str, object]:
-        _, _, n, sid = _measured(data, off, shingle)
-        return {"n": n, "sid": sid}
+        g, first, n, sid = _measured(data, off, shingle)
+        maps = [_bitmap(g[a:b], _width(b - a)) if m else b"" for a, b, m in zip(first[:-1].tolist(), first[1:].tolist(), pairable(n, percent).tolist())]
+        return {"n": n, "sid": sid, "bitmap": pa.array(maps, pa.binary())}
 
-    return C.arrow_append(docs.select(F.col(id_col).alias("id"), F.col(text_col).alias("text")), make, [T.StructField("n", T.LongType()), T.StructField("sid", T.LongType())], keep=["id"])
+    fields = [T.StructField("n", T.LongType()), T.StructField("sid", T.LongType()), T.StructField("bitmap", T.BinaryType())]
+    return C.arrow_append(docs, make, fields, keep=["id"])
 
 
-def _prefixes(docs: DataFrame, id_col: str, text_col: str, shingle: int, percent: int) -> DataFrame:
-    """The same with the set's parity bitmap and longest prefix; these are made anew, as on disk they would be as large as the texts."""
+def _filter_bits(keys: np.ndarray) -> np.ndarray:
+    return (wg.mix(keys.astype(np.uint64) + _U(77)) >> _U(64 - FILTER_BITS)).astype(np.int64)
 
-    def make(data: np.ndarray, off: np.ndarray) -> dict[str, object]:
-        g, first, n, sid = _measured(data, off, shingle)
-        maps, heads = [], []
-        for a, b, k in zip(first[:-1].tolist(), first[1:].tolist(), n.tolist()):
-            some = differing(k, percent) > 0  # smaller sets are linked with equal ones only
-            maps.append(_bitmap(g[a:b], k) if some else b"")
-            heads.append(g[a : min(b, a + prefix_length(k, len(LISTS), percent))].tobytes() if some else b"")
-        return {"n": n, "sid": sid, "bitmap": pa.array(maps, pa.binary()), "head": pa.array(heads, pa.binary())}
-
-    fields = [T.StructField("n", T.LongType()), T.StructField("sid", T.LongType()), T.StructField("bitmap", T.BinaryType()), T.StructField("head", T.BinaryType())]
-    return C.arrow_append(docs.select(F.col(id_col).alias("id"), F.col(text_col).alias("text")), make, fields, keep=["id"])
-
-
-def _combinations(head: np.ndarray, n: int, k: int, percent: int = PERCENT) -> np.ndarray:
-    """Fingerprints of the runs of k adjoining tokens in the prefix for k; those of k - 1 too where the sets may be too small."""
-    fewer = _combinations(head, n, k - 1, percent) if k > 1 and _too_few(n, k, percent) else np.zeros(0, np.uint64)
-    t = head[: prefix_length(n, k, percent)]
-    m = len(t) - k + 1
-    if m <= 0:
-        return fewer
-    acc = t[:m].copy()
-    for j in range(1, k):
-        acc = acc * _U(0xFF51AFD7ED558CCD) + t[j : j + m]
-    return np.concatenate([wg.mix(acc + _U(k)), fewer])
 
+def _keys(found: np.ndarray, buckets: np.ndarray) -> np.ndarray:
+    """Bucket and 40 bits of signatures, in one number."""
+    bucket = buckets[((found >> _U(40)) % _U(len(buckets))).astype(np.int64)]
+    return bucket.astype(np.uint64) << _U(40) | found & _U((1 << 40) - 1)
 
-def _filter_bits(keys: np.ndarray) -> np.ndarray:
-    return (wg.mix(keys.astype(np.uint64) + _U(77)) >> _U(64 - FILTER_BITS)).astype(np.int64)
 
+class _Lists:
+    """Collects (signature key, set, size); a flush sends no more of a key's sets than tell that it is frequent.
+
+    On the last level the sets of a frequent key are tied to its smallest one
+    before the others are left out.  So a key gets a bounded number of rows from
+    each flush, whatever the number of its sets.
+    """
+
+    def __init__(self, limit: int, last: bool, spread: int) -> None:
+        self.limit, self.last, self.spread = limit, last, spread
+        self.held: list[tuple[np.ndarray, np.ndarray, np.ndarray]] = []
+        self.n = 0
 
-def _index(sets: DataFrame, k: int, buckets: np.ndarray, frequent: list[np.ndarray], percent: int) -> DataFrame:
-    """The combinations of k tokens of those sets that hold a frequent one of each fewer."""
-    frequent_b = sets.sparkSession.sparkContext.broadcast([np.packbits(f) for f in frequent])
+    def add(self, key: np.ndarray, sid: np.ndarray, size: np.ndarray) -> Iterator[pa.RecordBatch]:
+        self.held.append((key, sid, size))
+        self.n += len(key)
+        if self.n >= FLUSH:
+            yield from self.flush()
+
+    def flush(self) -> Iterator[pa.RecordBatch]:
+        if not self.n:
+            return
+        key, sid, size = _distinct(*(np.concatenate(x) for x in zip(*self.held)))
+        self.held, self.n = [], 0
+        first, count = _runs(key)
+        nth = np.arange(len(key)) - np.repeat(first, count)
+        if self.last:
+            ties = _ties(sid, first, count, self.limit)
+            if len(ties):
+                # the sign tells them from a bucket's rows
+                spread = (wg.mix(ties[:, 0].astype(np.uint64)) % _U(self.spread)).astype(np.int32)
+                yield P.pack(-1 - spread, ties[:, 0], ties[:, 1].astype(np.uint64))
+        on = nth <= self.limit
+        value = (key[on] & _U((1 << 40) - 1)) << _U(24) | np.minimum(size[on], (1 << 24) - 1).astype(np.uint64)
+        yield P.pack((key[on] >> _U(40)).astype(np.int32), sid[on], value)
+
+
+def _distinct(key: np.ndarray, sid: np.ndarray, size: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    order = np.lexsort((sid, key))
+    key, sid, size = key[order], sid[order], size[order]
+    one = np.ones(len(key), bool)
+    one[1:] = (key[1:] != key[:-1]) | (sid[1:] != sid[:-1])
+    return key[one], sid[one], size[one]
+
+
+def _runs(key: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Where runs of equal keys start, and their lengths."""
+    first = np.flatnonzero(np.concatenate([[True], key[1:] != key[:-1]])) if len(key) else np.zeros(0, np.int64)
+    return first, np.diff(np.append(first, len(key)))
+
+
+def _ties(sid: np.ndarray, first: np.ndarray, count: np.ndarray, limit: int) -> np.ndarray:
+    """Distinct (smallest set, other set) of the runs that are longer than the limit."""
+    lead = np.repeat(sid[first], count)
+    on = np.repeat(count > limit, count) & (lead != sid)
+    return np.unique(np.stack([lead[on], sid[on]], 1), axis=0)
+
+
+def _index(docs: DataFrame, k: int, buckets: np.ndarray, hot: list[np.ndarray], shingle: int, percent: int) -> DataFrame:
+    """Packed signatures of level k, of the sets that have a frequent one on each level before."""
+    last = k == len(LISTS)
+    limit = LISTS[k - 1]
+    hot_b = docs.sparkSession.sparkContext.broadcast(hot)  # at most two filters of 2 ** FILTER_BITS bits
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        masks = [np.unpackbits(f).astype(bool) for f in frequent_b.value]
-        out = P.Packer()
+        masks = [np.unpackbits(f, bitorder="little").astype(bool) for f in hot_b.value]
+        out, seen = _Lists(limit, last, len(buckets)), set()
         for batch in batches:
-            for sid, n, head in zip(*(batch.column(i).to_pylist() for i in range(3))):
-                t = np.frombuffer(head, np.uint64)
-                if not all(m[_filter_bits(_keys(_combinations(t, n, j + 1, percent), buckets))].any() for j, m in enumerate(masks)):
+            for _, _, data, off in wg.chunks(batch, "text"):
+                g, first, n, sid = _measured(data, off, shingle)
+                d = differing(n, percent)
+                new = pairable(n, percent)
+                for i, s in enumerate(sid.tolist()):
+                    if new[i] and s in seen:
+                        new[i] = False
+                    seen.add(s)
+                if len(seen) > SEEN:
+                    seen.clear()
+                doc = np.repeat(np.arange(len(n)), n)
+                head = (np.arange(len(g)) - np.repeat(first[:-1], n) <= d[doc]) & new[doc]
+                if k == 1:
+                    yield from out.add(_keys(_single(g[head]), buckets), sid[doc[head]], n[doc[head]])
                     continue
-                c = _combinations(t, n, k, percent)
-                key = _keys(c, buckets)
-                value = (key & _U((1 << 40) - 1)) << _U(24) | _U(min(n, (1 << 24) - 1))
-                yield from out.add((key >> _U(40)).astype(np.int32), np.full(len(c), sid, np.int64), value)
+                bits = _filter_bits(_keys(_single(g), buckets))
+                frequent = masks[0][bits]
+                for i in np.unique(doc[head & frequent]).tolist():
+                    a, b = first[i], first[i + 1]
+                    if k > 2:
+                        before = _keys(signatures(g[a:b], 2, frequent[a:b], percent), buckets)
+                        if not masks[1][_filter_bits(before)].any():
+                            continue
+                    known = frequent[a:b] | masks[1][bits[a:b]] if k > 2 else frequent[a:b]
+                    key = _keys(signatures(g[a:b], k, known, percent), buckets)
+                    yield from out.add(key, np.full(len(key), sid[i]), np.full(len(key), n[i]))
         yield from out.flush()
 
-    return sets.select("sid", "n", "head").mapInArrow(run, P.SCHEMA)
-
-
-def _keys(combos: np.ndarray, buckets: np.ndarray) -> np.ndarray:
-    """Bucket and 40 bits of combinations, in one number."""
-    bucket = buckets[((combos >> _U(40)) % _U(len(buckets))).astype(np.int64)]
-    return bucket.astype(np.uint64) << _U(40) | combos & _U((1 << 40) - 1)
+    C.small_batches(docs.sparkSession)
+    return docs.select(F.col("text").cast("binary").alias("text")).mapInArrow(run, P.SCHEMA)
 
 
 _FOUND = T.StructType([T.StructField("kind", T.IntegerType()), T.StructField("a", T.LongType()), T.StructField("b", T.LongType())])
@@ -187,143 +289,188 @@ _FOUND_ARROW = pa.schema([("kind", pa.int32()), ("a", pa.int64()), ("b", pa.int6
 
 
 def _candidates(rows: DataFrame, limit: int, last: bool, percent: int) -> DataFrame:
-    """Of each combination's sets: the pairs (kind 0), or if they are many the combination (1); at the end, links to one of them (2)."""
+    """Of each signature's sets: the pairs (kind 0), or if they are many the signature (1); at the end, ties to one of them (2)."""
+
+    def rows_of(kind: int, a: np.ndarray, b: np.ndarray) -> Iterator[pa.RecordBatch]:
+        for i in range(0, len(a), 100_000):
+            x, y = np.ascontiguousarray(a[i : i + 100_000]), np.ascontiguousarray(b[i : i + 100_000])
+            yield pa.RecordBatch.from_arrays([pa.array(np.full(len(x), kind, np.int32)), pa.array(x), pa.array(y)], schema=_FOUND_ARROW)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        bucket, sid, value = P.unpack(batches, np.uint64)
-        if not len(sid):
+        held = []
+        for batch in batches:
+            bucket, sid, value = P.unpack([batch], np.uint64)
+            tie = bucket < 0
+            yield from rows_of(2, sid[tie], value[tie].astype(np.int64))
+            held.append((bucket[~tie].astype(np.uint64) << _U(40) | value[~tie] >> _U(24), sid[~tie], (value[~tie] & _U((1 << 24) - 1)).astype(np.int64)))
+        if not held:
             return
-        key = bucket.astype(np.uint64) << _U(40) | value >> _U(24)
-        n = (value & _U((1 << 24) - 1)).astype(np.int64)
-        order = np.lexsort((sid, key))
-        key, sid, n = key[order], sid[order], n[order]
-        one = np.ones(len(key), bool)
-        one[1:] = (key[1:] != key[:-1]) | (sid[1:] != sid[:-1])
-        key, sid, n = key[one], sid[one], n[one]
-        first = np.flatnonzero(np.concatenate([[True], key[1:] != key[:-1]]))
-        size = np.diff(np.append(first, len(key)))
-        many = np.repeat(size > limit, size)
-
-        def rows_of(kind: int, a: np.ndarray, b: np.ndarray) -> pa.RecordBatch:
-            return pa.RecordBatch.from_arrays([pa.array(np.full(len(a), kind, np.int32)), pa.array(a), pa.array(b)], schema=_FOUND_ARROW)
-
+        key, sid, n = _distinct(*(np.concatenate(x) for x in zip(*held)))
+        held.clear()
+        first, size = _runs(key)
         if last:
-            lead = np.repeat(sid[first], size)
-            on = many & (lead != sid)
-            yield rows_of(2, lead[on], sid[on])
+            ties = _ties(sid, first, size, limit)
+            yield from rows_of(2, ties[:, 0], ties[:, 1])
         else:
             hot = first[size > limit]
-            yield rows_of(1, _filter_bits(key[hot]), np.zeros(len(hot), np.int64))
-        few = ~many & np.repeat(size > 1, size)
+            yield from rows_of(1, _filter_bits(key[hot]), np.zeros(len(hot), np.int64))
+        few = np.repeat((size > 1) & (size <= limit), size)
         key, sid, n = key[few], sid[few], n[few]
-        held = []
-        for step in range(1, limit):
-            if step >= len(key):
-                break
+        made = []
+        for step in range(1, min(limit, len(key))):
             on = key[step:] == key[:-step]
             if not on.any():
                 break
             a, b, x, y = sid[:-step][on], sid[step:][on], n[:-step][on], n[step:][on]
             near = 100 * np.minimum(x, y) >= percent * np.maximum(x, y)
-            held.append(np.stack([a[near], b[near]], 1))
-        if held:
-            pairs = np.unique(np.concatenate(held), axis=0)
-            for i in range(0, len(pairs), 100_000):
-                yield rows_of(0, np.ascontiguousarray(pairs[i : i + 100_000, 0]), np.ascontiguousarray(pairs[i : i + 100_000, 1]))
+            made.append(np.stack([a[near], b[near]], 1))
+        if made:
+            pairs = np.unique(np.concatenate(made), axis=0)
+            yield from rows_of(0, pairs[:, 0], pairs[:, 1])
 
     return rows.mapInArrow(run, _FOUND)
 
 
-def _possible(pairs: DataFrame, maps: DataFrame, percent: int) -> DataFrame:
+def _possible(pairs: DataFrame, one: DataFrame, percent: int) -> DataFrame:
     """Pairs that the bitmaps don't rule out."""
-    left = maps.select(F.col("sid").alias("a"), F.col("n").alias("na"), F.col("bitmap").alias("ma"))
-    right = maps.select(F.col("sid").alias("b"), F.col("n").alias("nb"), F.col("bitmap").alias("mb"))
+    left = one.select(F.col("sid").alias("a"), F.col("n").alias("na"), F.col("bitmap").alias("ma"))
+    right = one.select(F.col("sid").alias("b"), F.col("n").alias("nb"), F.col("bitmap").alias("mb"))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            cols = [batch.column(i).to_pylist() for i in range(6)]
-            on = pa.array([_may_link(na, nb, ma, mb, percent) for _, _, na, nb, ma, mb in zip(*cols)], pa.bool_())
+            cols = [batch.column(i).to_pylist() for i in range(2, 6)]
+            on = pa.array([_may_link(na, nb, ma, mb, percent) for na, nb, ma, mb in zip(*cols)], pa.bool_())
             yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1)], names=["a", "b"]).filter(on)
 
     joined = pairs.join(left, "a").join(right, "b").select("a", "b", "na", "nb", "ma", "mb")
     return joined.mapInArrow(run, "a long, b long")
 
 
+#: Roles of a set in a task: compared with all, with the task's lead, or leading; those of one ``side`` count as joined.
+ALL, MEMBER, LEAD = 0, 1, 2
+
+
+def _near_tasks(pairs: DataFrame) -> DataFrame:
+    """``sid, task, role, side`` that bring each pair together.
+
+    Both sets of a pair meet at the smaller of their smallest neighbours, so the
+    sets of a clique meet once.  A meeting of more than BLOCK sets is parted again by pair.
+    """
+    both = pairs.unionByName(pairs.select(F.col("b").alias("a"), F.col("a").alias("b")))
+    least = both.groupBy("a").agg(F.min("b").alias("m")).select(F.col("a").alias("s"), F.least("a", "m").alias("m"))
+    met = pairs.join(least.select(F.col("s").alias("a"), F.col("m").alias("x")), "a").join(least.select(F.col("s").alias("b"), F.col("m").alias("y")), "b")
+    met = met.select("a", "b", F.least("x", "y").alias("t"))
+    crowd = met.groupBy("t").agg(F.count(F.lit(1)).alias("m"))
+    met = met.join(crowd, "t")
+    few = met.where(F.col("m") <= BLOCK).select(F.concat_ws("/", F.lit("p"), "t").alias("task"), F.explode(F.array("a", "b")).alias("sid")).distinct()
+    many = met.where(F.col("m") > BLOCK).select(F.concat_ws("/", F.lit("q"), "a", F.pmod(F.xxhash64("b"), F.ceil(F.col("m") / BLOCK))).alias("task"), "a", "b")
+    led = many.select("task", F.col("b").alias("sid"), F.lit(MEMBER).alias("role")).unionByName(many.select("task", F.col("a").alias("sid"), F.lit(LEAD).alias("role"))).distinct()
+    return few.withColumn("role", F.lit(ALL)).unionByName(led).withColumn("side", F.lit(None).cast("long"))
+
+
+def _star_tasks(ties: DataFrame) -> DataFrame:
+    """The same for ties: each set meets its lead, BLOCK sets to a task."""
+    size = ties.groupBy("a").agg(F.ceil(F.count(F.lit(1)) / BLOCK).cast("int").alias("blocks"))
+    # one row for each lead
+    dealt = ties.join(size, "a").select("b", F.concat_ws("/", F.lit("s"), "a", F.pmod(F.xxhash64("b"), F.col("blocks"))).alias("task"))
+    leads = size.select(F.col("a").alias("sid"), F.explode(F.transform(F.sequence(F.lit(0), F.col("blocks") - 1), lambda i: F.concat_ws("/", F.lit("s"), F.col("a"), i))).alias("task"))
+    rows = dealt.select(F.col("b").alias("sid"), "task", F.lit(MEMBER).alias("role")).unionByName(leads.withColumn("role", F.lit(LEAD)))
+    return rows.withColumn("side", F.lit(None).cast("long"))
+
+
 def _size_class(n, percent: int) -> F.Column:
     """Linked sets lie in the same class or in adjoining ones."""
     return F.floor(F.log(n.cast("double")) / float(np.log(100 / percent)) + 1e-9).cast("int")
 
 
-def _dealt_groups(groups: DataFrame, percent: int) -> DataFrame:
-    """``sid`` and the tasks that compare it with others of its group.
+def _across_tasks(groups: DataFrame, percent: int) -> DataFrame:
+    """The same for ``grp, sid, n, side``: sets of a group meet unless they are of one side already or too different in size.
 
-    A group of up to BLOCK sets is one task.  Larger ones are parted by size
-    class (each class with the next), those by hash into blocks; each pair of
-    blocks is a task, so tasks stay bounded whatever the group.
+    In a group's size class, a side of at least BLOCK / 2 sets has blocks of its
+    own, which don't meet each other; the other sides share blocks.
     """
-    counts = groups.groupBy("root").agg(F.count(F.lit(1)).alias("m"))
-    sized = groups.join(counts, "root")
-    small = sized.where(F.col("m") <= BLOCK).select("sid", F.concat_ws("/", F.col("root")).alias("task"))
-    large = sized.where(F.col("m") > BLOCK).withColumn("c", F.explode(F.array(_size_class(F.col("n"), percent), _size_class(F.col("n"), percent) - 1)))
-    classes = large.groupBy("root", "c").agg(F.greatest(F.lit(1), F.ceil(F.count(F.lit(1)) * 2 / BLOCK)).cast("int").alias("blocks"))
-    own = F.pmod(F.xxhash64("sid"), F.col("blocks")).cast("int")
-    spread = large.join(classes, ["root", "c"]).withColumn("x", own).withColumn("y", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
-    spread = spread.where("blocks = 1 OR x <> y").select("sid", F.concat_ws("/", "root", "c", F.least("x", "y"), F.greatest("x", "y")).alias("task"))
-    return small.unionByName(spread)
+    sized = groups.withColumn("c", F.explode(F.array(_size_class(F.col("n"), percent), _size_class(F.col("n"), percent) - 1)))
+    counts = sized.groupBy("grp", "c", "side").agg(F.count(F.lit(1)).alias("m"))
+    owned = counts.withColumn("owner", F.when(F.col("m") >= BLOCK / 2, F.col("side").cast("string")).otherwise("shared"))
+    blocks = owned.groupBy("grp", "c", "owner").agg(F.ceil(F.sum("m") / BLOCK).cast("int").alias("blocks"))
+    placed = sized.join(owned.select("grp", "c", "side", "owner"), ["grp", "c", "side"]).join(blocks, ["grp", "c", "owner"])
+    placed = placed.select("grp", "c", "sid", "side", F.concat_ws("/", "owner", F.pmod(F.xxhash64("sid"), F.col("blocks"))).alias("block"))
+    parts = blocks.select("grp", "c", "owner", F.explode(F.transform(F.sequence(F.lit(0), F.col("blocks") - 1), lambda i: F.concat_ws("/", "owner", i))).alias("block"))
+    others = parts.select("grp", "c", F.col("owner").alias("owner2"), F.col("block").alias("block2"))
+    meet = parts.join(others, ["grp", "c"]).where("block <= block2 AND (owner <> owner2 OR owner = 'shared')")
+    meet = meet.select("grp", "c", F.concat_ws("/", F.lit("x"), "grp", "c", "block", "block2").alias("task"), F.explode(F.array_distinct(F.array("block", "block2"))).alias("block"))
+    return placed.join(meet, ["grp", "c", "block"]).select("sid", "task", F.lit(ALL).alias("role"), "side")
 
 
-def _verified(docs: DataFrame, members: DataFrame, n_parts: int, id_col: str, text_col: str, shingle: int, percent: int) -> DataFrame:
-    """Links inside each task's sets that join them as all their links do."""
+_LINK = "ra long, a long, rb long, b long"
 
-    def make(data: np.ndarray, off: np.ndarray) -> dict[str, object]:
-        g, first, _, sid = _measured(data, off, shingle)
-        return {"own": sid, "set": pa.array([g[a:b].tobytes() for a, b in zip(first[:-1], first[1:])], pa.binary())}
 
-    wanted = members.groupBy("rep", "sid").agg(F.collect_list("task").alias("tasks"))
-    texts = docs.select(F.col(id_col).alias("rep"), F.col(text_col).alias("text")).join(wanted, "rep")
-    sets = C.arrow_append(texts, make, [T.StructField("own", T.LongType()), T.StructField("set", T.BinaryType())], keep=["sid", "tasks"])
-    rows = sets.where("own = sid").select(F.explode("tasks").alias("task"), "sid", "set")
+def _verified(docs: DataFrame, one: DataFrame, tasks: DataFrame, n_parts: int, shingle: int, percent: int) -> DataFrame:
+    """Links that join each task's sets as all their links do, as (smallest id, set) of both ends."""
+    wanted = tasks.groupBy("sid").agg(F.collect_list(F.struct("task", "role", "side")).alias("tasks")).join(one.select("sid", "rep"), "sid")
+    wanted = C.cut(wanted)
+    texts = C.marked(docs, "id", wanted.where("rep IS NOT NULL").select(F.col("rep").alias("id"))).where("marked OR id IS NULL").drop("marked")
+    sent = texts.join(wanted.withColumnRenamed("rep", "id"), "id")
+    if not wanted.where("rep IS NULL").isEmpty():  # sets of rows without an id are known by their texts alone
+
+        def make(data: np.ndarray, off: np.ndarray) -> dict[str, object]:
+            return {"sid": _measured(data, off, shingle)[3]}
+
+        nameless = C.arrow_append(texts.where("id IS NULL"), make, [T.StructField("sid", T.LongType())], keep=["id", "text"]).groupBy("sid").agg(F.min("text").alias("text"))
+        sent = sent.unionByName(nameless.join(wanted.where("rep IS NULL").withColumnRenamed("rep", "id"), "sid").select(*sent.columns))
+    rows = sent.select(F.explode("tasks").alias("t"), "id", "sid", F.col("text").cast("binary").alias("text")).select("t.task", "t.role", "t.side", "id", "sid", "text")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         task, held = None, {}
 
         def done() -> Iterator[pa.RecordBatch]:
-            found = links(held, percent)
-            if found:
-                yield pa.RecordBatch.from_arrays([pa.array([x for x, _ in found], pa.int64()), pa.array([y for _, y in found], pa.int64())], names=["a", "b"])
+            made = [(held[x][0], x, held[y][0], y) for x, y in compared({s: h[1:] for s, h in held.items()}, percent)]
+            if made:
+                yield pa.RecordBatch.from_arrays([pa.array(c, pa.int64()) for c in zip(*made)], names=["ra", "a", "rb", "b"])
 
         for batch in batches:
-            for t, sid, s in zip(*(batch.column(i).to_pylist() for i in range(3))):
-                if t != task:
-                    yield from done()
-                    task, held = t, {}
-                held[sid] = s
+            names, roles, sides, ids, sids = (batch.column(i).to_pylist() for i in range(5))
+            for a, b, data, off in wg.chunks(batch, "text"):
+                g, first, _, own = _measured(data, off, shingle)
+                for i in range(a, b):
+                    if names[i] != task:
+                        yield from done()
+                        task, held = names[i], {}
+                    if own[i - a] == sids[i]:  # of an id's several texts, the set's
+                        held[sids[i]] = (ids[i], g[first[i - a] : first[i - a + 1]].copy(), roles[i], sides[i])
         yield from done()
 
-    return rows.repartition(n_parts, "task").sortWithinPartitions("task").mapInArrow(run, "a long, b long")
+    return rows.repartition(n_parts, "task").sortWithinPartitions("task").mapInArrow(run, _LINK)
 
 
-def links(held: dict[int, bytes], percent: int = PERCENT) -> list[tuple[int, int]]:
+def compared(held: dict[int, tuple[np.ndarray, int, int | None]], percent: int = PERCENT) -> list[tuple[int, int]]:
+    """Links between a task's sets: with its leads, or if it has none enough of them to join all that their links join."""
+    leads = [s for s, (_, role, _) in held.items() if role == LEAD]
+    if not leads:
+        return links({s: g for s, (g, _, _) in held.items()}, percent, {s: side for s, (_, _, side) in held.items()})
+    return [(lead, s) for lead in leads for s, (g, role, _) in held.items() if role != LEAD and linked(held[lead][0], g, percent)]
+
+
+def links(held: dict[int, np.ndarray], percent: int = PERCENT, sides: dict[int, int | None] | None = None) -> list[tuple[int, int]]:
     """Enough links between the sets to join all that their links join; every pair is linked, ruled out or already joined."""
     if len(held) < 2:
         return []
     sids = sorted(held, key=lambda s: (len(held[s]), s))
-    sets = [np.frombuffer(held[s], np.uint64) for s in sids]
+    sets = [held[s] for s in sids]
     n = np.array([len(s) for s in sets])
     width = min(1 << max(6, int(np.median(n)).bit_length()), 1 << 13)
-    maps = np.stack([np.frombuffer(_bitmap_of(s, width), np.uint64) for s in sets])
-    root = np.arange(len(sids))
+    maps = np.stack([np.frombuffer(_bitmap(s, width), np.uint64) for s in sets])
+    number, sides = {}, sides or {}
+    root = np.array([number.setdefault(("own", s) if sides.get(s) is None else sides[s], i) for i, s in enumerate(sids)])
     out: list[tuple[int, int]] = []
     for i in range(len(sids)):
         # a set linked with the i-th, not smaller, has at most 100 / p times its tokens
         end = int(np.searchsorted(n * percent, n[i] * 100, "right"))
         if end <= i + 1:
             continue
-        rest = slice(i + 1, end)
-        on = root[rest] != root[i]
-        if not on.any():
+        js = np.flatnonzero(root[i + 1 : end] != root[i]) + i + 1
+        if not len(js):
             continue
-        js = np.flatnonzero(on) + i + 1
         apart = np.bitwise_count(maps[js] ^ maps[i]).sum(1)
         js = js[apart * (100 + percent) <= (100 - percent) * (n[js] + n[i])]
         for j in js.tolist():
@@ -333,65 +480,92 @@ def links(held: dict[int, bytes], percent: int = PERCENT) -> list[tuple[int, int
     return out
 
 
-def _bitmap_of(tokens: np.ndarray, bits: int) -> bytes:
-    odd = np.bincount((tokens & _U(bits - 1)).astype(np.int64), minlength=bits) & 1
-    return np.packbits(odd.astype(np.uint8), bitorder="little").tobytes()
+def _node(rep: str, sid: str) -> F.Column:
+    """A set as a node: nodes are ordered by smallest id, null last."""
+    return F.struct(F.col(rep).isNull().alias("none"), F.col(rep).alias("rep"), F.col(sid).alias("sid"))
+
+
+def _joined(found: DataFrame) -> DataFrame:
+    """``sid``, and ``root_rep, root_sid`` of the node of the smallest id that it is joined with."""
+    nodes = graph.components(found.select(_node("ra", "a").alias("a"), _node("rb", "b").alias("b")))
+    return nodes.select(F.col("node.sid").alias("sid"), F.col("root.rep").alias("root_rep"), F.col("root.sid").alias("root_sid"))
+
+
+def _labelled(docs: DataFrame, shingle: int, percent: int) -> DataFrame:
+    """``id, n, sid, root_rep, root_sid`` of each row of ``docs(id, text)``."""
+    if not LEAST_PERCENT <= percent <= 100:
+        raise ValueError(f"similarity from {LEAST_PERCENT} to 100 %")
+    sets = C.cut(_sets(docs, shingle, percent))
+    n_parts = P.n_partitions(docs.sparkSession, 8 * (sets.agg(F.sum("n")).first()[0] or 0))
+    buckets = P.labels(docs, n_parts)
+    reps = sets.groupBy("sid", "n").agg(F.min("id").alias("rep"), F.first("bitmap").alias("bitmap"))
+    one = C.cut(reps.where("length(bitmap) > 0"))
+    hot: list[np.ndarray] = []
+    levels: list[DataFrame] = []
+    for k, limit in enumerate(LISTS, 1):
+        rows = P.dealt(_index(docs, k, buckets, hot, shingle, percent), n_parts)
+        levels.append(C.cut(_candidates(rows, limit, k == len(LISTS), percent)))
+        if k < len(LISTS):
+            bits = C.bitmap(levels[-1].where("kind = 1").select(F.col("a").alias("p")), FILTER_BITS)
+            if not bits.any():
+                break
+            hot.append(bits)
+    every = levels[0]
+    for more in levels[1:]:
+        every = every.unionByName(more)
+    pairs = C.cut(_possible(every.where("kind = 0").select("a", "b").distinct(), one, percent))
+    ties = every.where("kind = 2").select("a", "b").distinct()
+    tasks = _near_tasks(pairs)
+    tied = len(levels) == len(LISTS) and not ties.isEmpty()
+    if tied:
+        ties = C.cut(ties)
+        tasks = tasks.unionByName(_star_tasks(_possible(ties, one, percent)))
+    found = C.cut(_verified(docs, one, tasks, n_parts, shingle, percent))
+    joined = _joined(found)
+    if tied:
+        # sets that are tied but not joined yet
+        groups = graph.components(ties).select(F.col("node").alias("sid"), F.col("root").alias("grp"))
+        sided = groups.join(joined, "sid", "left").join(one.select("sid", "n"), "sid").select("grp", "sid", "n", F.coalesce("root_sid", "sid").alias("side"))
+        sided = C.cut(sided)
+        open_ = sided.groupBy("grp").agg(F.min("side").alias("x"), F.max("side").alias("y")).where("x <> y").select("grp")
+        rest = sided.join(open_, "grp")
+        if not rest.isEmpty():
+            more = _verified(docs, one, _across_tasks(rest, percent), n_parts, shingle, percent)
+            joined = _joined(found.unionByName(more))
+    known = reps.select("sid", "rep").join(joined, "sid", "left").select("sid", F.when(F.col("root_sid").isNull(), F.col("rep")).otherwise(F.col("root_rep")).alias("root_rep"), F.coalesce("root_sid", "sid").alias("root_sid"))
+    return sets.select("id", "n", "sid").join(known, "sid")
 
 
 def near_components(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", shingle: int = SHINGLE, percent: int = PERCENT) -> DataFrame:
     """Each document's set size and component of links: sets of shingles of ``shingle`` words whose Jaccard similarity is at least ``percent`` / 100.
 
-    Equal sets are found by fingerprint and stand for one.  In the order of token
-    fingerprints, linked sets share k adjoining tokens of their prefixes
-    (``prefix_length``); sets too small for that are indexed by fewer.  Level 1 indexes single tokens; those of few sets (up to
-    ``LISTS[0]``) give candidate pairs.  Sets that hold frequent tokens are
-    indexed by combinations of two adjoining tokens of a longer prefix, those that
-    hold frequent pairs by combinations of three.  Which combinations are frequent
-    goes to the executors as a filter of fixed size.  Pairs that parity bitmaps
-    rule out are dropped; the others, and sets of a triple that is frequent still,
-    make up groups, whose sets are then compared exactly, a bounded block to a
-    task.  A pair that is already joined through others isn't compared.
-
-    Returns ``id, n_shingles, component_id``, one row for each input row.
+    1. Equal sets are found by fingerprint and stand for one.
+    2. Level 1 indexes the tokens of each set's prefix.  A token of few sets (up
+       to ``LISTS[0]``) gives all their pairs as candidates; others are frequent.
+    3. Sets with a frequent token get a prefix in which rare tokens come first;
+       those are indexed by themselves, and where they don't suffice the prefix is
+       extended by frequent ones, of which combinations of two are indexed; on
+       level 3, combinations of three (``signatures``).  Which signatures are
+       frequent goes to the executors as a filter of fixed size.
+    4. Pairs that parity bitmaps rule out are dropped; the others are compared
+       exactly.  Sets of a triple that is frequent still are compared with the
+       smallest of them; those that aren't joined then are compared with all sets
+       of their group that are of another component, in blocks.
+
+    A flush of a task sends a bounded number of rows for a signature, so no
+    task's input grows with a frequent one.  Only step 4's last part can grow with
+    a square: in the sets that share a frequent triple but belong to different components.
+
+    Returns ``id, n_shingles, component_id``, one row for each input row.  Ids are whole numbers.
 
     * Null text or one without words: no shingles, a component of its own.
     * Fewer words than a shingle has: the whole sequence is the one shingle.
-    * Null id: never the smallest; such a row is linked with rows of an equal set only, and alone its component is null.
+    * Null id: never the smallest; in a component without any id the result is null.
     * Repeated ids are nodes of each of their texts; other columns aren't read.
     * Empty input: empty result.
     """
-    spark = docs.sparkSession
-    n_parts = P.n_partitions(docs)
-    buckets = P.labels(docs, n_parts)
-    sets = C.cut(_sets(docs, id_col, text_col, shingle))
-    # head and bitmap depend on the set alone
-    one = C.cut(_prefixes(docs, id_col, text_col, shingle, percent).where("length(head) > 0").groupBy("sid", "n").agg(F.min("id").alias("rep"), F.first("bitmap").alias("bitmap"), F.first("head").alias("head")).where("rep IS NOT NULL"))
-    frequent: list[np.ndarray] = []
-    found: list[DataFrame] = []
-    for k, limit in enumerate(LISTS, 1):
-        rows = P.dealt(_index(one, k, buckets, frequent, percent), n_parts)
-        level = C.cut(_candidates(rows, limit, k == len(LISTS), percent))
-        found.append(level)
-        if k < len(LISTS):
-            # positions of a filter of fixed size, so at most 2 ** FILTER_BITS
-            hot = level.where("kind = 1").select(F.col("a").cast("int").alias("p")).distinct().toArrow().column(0).to_numpy()
-            if not len(hot):
-                break
-            mask = np.zeros(1 << FILTER_BITS, bool)
-            mask[hot] = True
-            frequent.append(mask)
-    every = found[0]
-    for f in found[1:]:
-        every = every.unionByName(f)
-    pairs = every.where("kind = 0").select("a", "b").distinct()
-    edges = _possible(pairs, one.select("sid", "n", "bitmap"), percent).unionByName(every.where("kind = 2").select("a", "b"))
-    groups = graph.components(edges).join(one.select(F.col("sid").alias("node"), "n", "rep"), "node").withColumnRenamed("node", "sid")
-    groups = C.cut(groups)
-    members = _dealt_groups(groups, percent).join(groups.select("sid", "rep"), "sid")
-    joined = graph.components(_verified(docs, members, n_parts, id_col, text_col, shingle, percent))
-    labelled = sets.select("id", "n", "sid").join(joined.select(F.col("node").alias("sid"), "root"), "sid", "left").withColumn("root", F.coalesce("root", "sid"))
-    least = labelled.where("n > 0").groupBy("root").agg(F.min("id").alias("least"))
-    return labelled.join(least, "root", "left").select(F.col("id").alias(id_col), F.col("n").alias("n_shingles"), F.when(F.col("n") > 0, F.col("least")).otherwise(F.col("id")).alias("component_id"))
+    rows = _labelled(docs.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).alias("text")), shingle, percent)
+    return rows.select(F.col("id").alias(id_col), F.col("n").alias("n_shingles"), F.when(F.col("n") > 0, F.col("root_rep")).otherwise(F.col("id")).alias("component_id"))
 
 
 def op8_near_components(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -399,6 +573,30 @@ def op8_near_components(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def near_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Pipeline stage: of each component of sets of 5-word shingles at a similarity of 0.8 the document with the smallest id stays; rows that repeat its id stay with it."""
-    first = near_components(docs.select("doc_id", "text"), shingle=STAGE_SHINGLE, percent=STAGE_PERCENT).where("doc_id = component_id OR component_id IS NULL").select(F.col("doc_id").alias("__k")).distinct()
-    return docs.join(first, F.col("doc_id").eqNullSafe(F.col("__k")), "left_semi")
+    """Pipeline stage: one document of each component of sets of 5-word shingles at a similarity of 0.8 stays, that of the smallest id.
+
+    Rows whose id is kept and not repeated stay as they are read; only the others
+    (dropped, repeated and null ids, told by a filter of fixed size) are joined
+    with the verdicts.
+
+    * Null or empty text: linked with nothing, stays.
+    * Rows that repeat the smallest id with the same set, or that all lack an id: one stays.
+    * Other columns are carried along; empty input: empty result.
+    """
+    if not docs.columns:
+        return docs
+    small = docs.select(F.col("doc_id").cast("long").alias("id"), "text")
+    rows = C.cut(_labelled(small, STAGE_SHINGLE, STAGE_PERCENT).select("id", "n", "sid", (F.col("id").eqNullSafe(F.col("root_rep")) & (F.col("sid") == F.col("root_sid"))).alias("best")))
+    bad = rows.where("id IS NOT NULL").groupBy("id").agg(F.count(F.lit(1)).alias("m"), F.min(F.expr("best OR n = 0")).alias("stays")).where("m > 1 OR NOT stays").select("id")
+    told = C.marked(docs.withColumn("__id", F.col("doc_id").cast("long")), "__id", bad.withColumnRenamed("id", "__id"))
+    sure = told.where("NOT marked AND __id IS NOT NULL").select(*docs.columns)
+
+    def make(data: np.ndarray, off: np.ndarray) -> dict[str, object]:
+        _, _, n, sid = _measured(data, off, STAGE_SHINGLE)
+        return {"__n": n, "__sid": sid}
+
+    doubt = C.arrow_append(told.where("marked OR __id IS NULL"), make, [T.StructField("__n", T.LongType()), T.StructField("__sid", T.LongType())], keep=[*docs.columns, "__id"])
+    best = rows.where("best AND n > 0").select(F.col("id").alias("__best"), F.col("sid").alias("__sid")).distinct()
+    chosen = doubt.where("__n > 0").join(best, "__sid").where(F.col("__id").eqNullSafe(F.col("__best")))
+    chosen = chosen.withColumn("__nth", F.row_number().over(W.partitionBy("__sid").orderBy("__id"))).where("__nth = 1")
+    return sure.unionByName(doubt.where("__n = 0").select(*docs.columns)).unionByName(chosen.select(*docs.columns))

@@ -6,7 +6,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -17,16 +17,19 @@ ARROW = pa.schema([("bucket", pa.int32()), ("ids", pa.binary()), ("counts", pa.b
 
 #: Values that a task holds before it packs them.
 FLUSH = 1 << 20
-#: Estimated bytes of input for each shuffle partition at most.
+#: Bytes of input for each shuffle partition at most.
 PARTITION_BYTES = 64 << 20
 #: Stands for a null id: larger than any other.
 NULL_ID = np.iinfo(np.int64).max
 
 
-def n_partitions(df: DataFrame) -> int:
-    """The session's shuffle partitions; more where the optimizer's size estimate asks for them."""
-    size = int(str(df._jdf.queryExecution().optimizedPlan().stats().sizeInBytes()))
-    return max(C.partitions(df.sparkSession), min(size // PARTITION_BYTES, 100_000))
+def n_partitions(spark: SparkSession, size: int) -> int:
+    """The session's shuffle partitions; more where ``size`` bytes, as measured, ask for them."""
+    return max(C.partitions(spark), min(size // PARTITION_BYTES, 100_000))
+
+
+def text_bytes(docs: DataFrame, text: str) -> int:
+    return docs.agg(F.sum(F.octet_length(F.col(f"`{text}`")))).first()[0] or 0
 
 
 def labels(df: DataFrame, n: int) -> np.ndarray:
@@ -52,7 +55,7 @@ def pack(bucket: np.ndarray, ids: np.ndarray, vals: np.ndarray) -> pa.RecordBatc
     at = np.flatnonzero(new)
     count = np.diff(np.append(at, len(ids))).astype(np.uint32)
     heads, owner = ids[at], bucket[at]
-    cut = np.flatnonzero(np.diff(owner, prepend=-1)) if len(owner) else np.zeros(0, np.int64)
+    cut = np.flatnonzero(np.diff(owner, prepend=owner[0] - 1)) if len(owner) else np.zeros(0, np.int64)
     end = np.append(cut[1:], len(owner))
     rows: list[list] = [[], [], [], []]
     for a, b in zip(cut.tolist(), end.tolist()):

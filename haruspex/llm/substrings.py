@@ -286,7 +286,7 @@ def remove_repeats(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "
     * Empty input: empty result.
     """
     C.small_batches(docs.sparkSession)
-    n = P.n_partitions(docs)
+    n = P.n_partitions(docs.sparkSession, P.text_bytes(docs, text_col))
     buckets = P.labels(docs, n)
     texts = P.dealt(pack_texts(docs, buckets, id_col, text_col), n)  # read twice; the exchange is reused
     hits = P.dealt(_hits(P.dealt(_probe(docs, buckets, id_col, text_col), n), buckets), n)

@@ -11,7 +11,7 @@ import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
-from haruspex.llm import chat, compression, decontaminate, graph, jaccard, licenses, linear, mixing, queries, rules, secrets, sharding, substrings
+from haruspex.llm import chat, common, compression, decontaminate, graph, jaccard, licenses, linear, mixing, queries, rules, secrets, sharding, substrings
 from haruspex.llm import wordgrid as wg
 
 WORD = re.compile(r"[^\x20\x09-\x0D]+")
@@ -527,57 +527,57 @@ def _variants(seed, groups=8, each=14):
     return out
 
 
-def _indexed_components(made, lists):
-    """What the levels find, with the operator's own combinations, filters and comparison but without a cluster."""
-    buckets, sets = np.arange(4, dtype=np.int32), {}
-    for i, t in enumerate(made):
-        data = np.frombuffer(t.encode(), np.uint8)
-        sets.setdefault(tuple(jaccard.shingles(data, np.array([0, len(data)]))[0].tolist()), []).append(i)
-    tokens = {k: np.array(g, np.uint64) for k, g in enumerate(sets)}
-    masks, edges = [], set()
-    for k, limit in enumerate(lists, 1):
-        index = defaultdict(set)
-        for sid, g in tokens.items():
-            if jaccard.differing(len(g)) and all(m[jaccard._filter_bits(jaccard._keys(jaccard._combinations(g, len(g), j + 1), buckets))].any() for j, m in enumerate(masks)):
-                for c in jaccard._keys(jaccard._combinations(g, len(g), k), buckets).tolist():
-                    index[c].add(sid)
-        masks.append(np.zeros(1 << jaccard.FILTER_BITS, bool))
-        for c, m in index.items():
-            if len(m) <= limit:
-                size = lambda x: (len(tokens[x]), jaccard._bitmap(tokens[x], len(tokens[x])))
-                edges |= {(a, b) for a in m for b in m if a < b for (na, ma), (nb, mb) in [(size(a), size(b))] if jaccard._may_link(na, nb, ma, mb)}
-            elif k == len(lists):
-                edges |= {(min(m), b) for b in m}
-            else:
-                masks[-1][jaccard._filter_bits(np.array([c], np.uint64))] = True
-
-    def roots(pairs):
-        root = {x: x for x in tokens}
-        for a, b in pairs:
-            low, high = sorted((root[a], root[b]))
-            root = {x: low if r == high else r for x, r in root.items()}
-        return root
-
-    groups = defaultdict(dict)
-    for x, r in roots(edges).items():
-        groups[r][x] = tokens[x].tobytes()
-    final, rows = roots([e for g in groups.values() for e in jaccard.links(g)]), list(sets.values())
-    members = defaultdict(list)
-    for x, r in final.items():
-        members[r] += rows[x]
-    return {i: min(m) for m in members.values() for i in m}
-
-
-@pytest.mark.parametrize("lists", [(8, 32, 64), (1, 1, 2), (2, 2, 1), (1, 1, 1)])
-def test_levels_are_exact(lists):
-    """Small list limits send candidates through pairs, triples and groups; the result stays exact."""
-    for seed in range(2):
-        made = _variants(seed)
-        assert _indexed_components(made, lists) == {i: c for i, (_, c) in _components(list(enumerate(made))).items()}
+def _brute_linked(a, b, percent=90):
+    return 100 * len(a & b) >= percent * len(a | b)
+
+
+@pytest.mark.parametrize("percent", [75, 80, 90])
+@pytest.mark.parametrize("k", [1, 2, 3])
+def test_linked_sets_share_a_signature(k, percent):
+    rng = random.Random(100 * k + percent)
+    for _ in range(400):
+        n = rng.choice([3, 4, 5, 7, 8, 9, 10, 15, 16, 31, 33, 64, 130, 500])
+        a = set(rng.sample(range(1, 4000), n))
+        b, d = set(a), jaccard.differing(n, percent)
+        for t in rng.sample(sorted(a), rng.randint(0, d)):
+            b.discard(t)
+        for _ in range(rng.randint(0, d + 1)):
+            if _brute_linked(a, b | {x := rng.randint(1, 4000)}, percent):
+                b.add(x)
+        share = rng.choice([0.0, 0.3, 0.7, 0.95, 1.0])
+        frequent = {t for t in a | b if rng.random() < share}
+        if not _brute_linked(a, b, percent) or a == b:
+            continue
+        made = []
+        assert jaccard.pairable(len(a), percent) and jaccard.pairable(len(b), percent)
+        for s in (a, b):
+            t = np.array(sorted(s), np.uint64)
+            made.append(set(jaccard.signatures(t, k, np.isin(t, list(frequent)), percent).tolist()))
+        assert made[0] & made[1], (n, len(b), share)
+
+
+def test_frequent_keys_send_bounded_rows(monkeypatch):
+    sid = np.arange(1000, dtype=np.int64)
+    rows = jaccard._Lists(8, True, 4)
+    list(rows.add(np.full(1000, 5, np.uint64), sid, np.full(1000, 40)))
+    from haruspex.llm import packed
+
+    bucket, ids, value = packed.unpack(list(rows.flush()), np.uint64)
+    assert (bucket >= 0).sum() == 9  # one more than the limit
+    assert set(value[bucket < 0].tolist()) == set(range(1, 1000)) and set(ids[bucket < 0].tolist()) == {0}
+
+
+def test_marked_rows(spark):
+    keys = spark.range(0, 3000, 3).select((F.col("id") * 7919).alias("id"))
+    rows = spark.range(3000).select((F.col("id") * 7919).alias("id")).unionByName(spark.sql("SELECT CAST(NULL AS LONG) AS id"))
+    got = common.marked(rows, "id", keys).withColumn("is", F.col("id") % (3 * 7919) == 0)
+    assert got.where("is AND NOT marked").count() == 0 and got.where("NOT is AND marked").count() <= 5
+    assert got.where("id IS NULL AND NOT marked").count() == 1
+    assert common.marked(rows, "id", keys.limit(0)).where("marked").count() == 0
 
 
 def test_components_at_every_level(spark, monkeypatch):
-    monkeypatch.setattr(jaccard, "LISTS", (1, 1, 2))
+    monkeypatch.setattr(jaccard, "LISTS", (2, 2, 3))
     made = _variants(1, 5, 10) + ["", None, "one", "ONE", "two words", "two words", " ".join(f"z{i}" for i in range(12)), " ".join(f"z{i}" for i in range(11))]
     ids = random.Random(2).sample(range(5000), len(made))
     got = {r["doc_id"]: (r["n_shingles"], r["component_id"]) for r in jaccard.near_components(_docs(spark, made, ids)).collect()}
@@ -616,28 +616,6 @@ def test_graph_components(spark):
     assert got == {x: find(x) for x in parent if any(x in e and e[0] != e[1] for e in edges)}
 
 
-def test_prefixes_hold_adjoining_common_tokens():
-    """The bound behind the index: any linked sets share a run of k tokens inside both prefixes."""
-    rng = random.Random(8)
-    for _ in range(300):
-        n = rng.randint(9, 120)
-        a = set(rng.sample(range(10_000), n))
-        b = set(a)
-        for _ in range(rng.randint(0, jaccard.differing(n))):
-            if rng.random() < 0.5 and len(b) > 1:
-                b.discard(rng.choice(sorted(b)))
-            else:
-                b.add(rng.randint(0, 10_000))
-        if a == b or 100 * len(a & b) < 90 * len(a | b):
-            continue
-        for k in (1, 2, 3):
-            runs = []
-            for s in (a, b):
-                t = sorted(s)[: jaccard.prefix_length(len(s), k)]
-                runs.append({tuple(t[i : i + k]) for i in range(len(t) - k + 1)})
-            assert runs[0] & runs[1]
-
-
 def _stage_shingles(t):
     w = WORD.findall((t or "").translate(LOW))
     return frozenset(tuple(w[i : i + 5]) for i in range(len(w) - 4)) if len(w) > 4 else frozenset([tuple(w)] if w else [])
@@ -662,18 +640,3 @@ def test_near_stage_keeps_one_of_texts_that_reach_five_words_and_80_percent(spar
     made += _variants(4, 4, 8) + ["a b c d", "A B c d", "a b c", "", None]
     kept = {r["doc_id"] for r in jaccard.near_stage(spark, _docs(spark, made), sf_dir).collect()}
     assert kept == _stage_kept(made) and 1 not in kept
-
-
-def test_prefixes_hold_adjoining_common_tokens_at_80_percent():
-    rng = random.Random(10)
-    for _ in range(3000):
-        n = rng.choice([rng.randint(4, 12), rng.randint(4, 90)])
-        a = set(rng.sample(range(10_000), n))
-        b = set(a)
-        for _ in range(rng.randint(1, jaccard.differing(n, 80))):
-            b = b - {rng.choice(sorted(b))} if rng.random() < 0.5 else b | {rng.randint(0, 10_000)}
-        if 100 * len(a & b) < 80 * len(a | b):
-            continue
-        for k in (1, 2, 3):
-            x, y = (set(jaccard._combinations(np.array(sorted(s)[: jaccard.prefix_length(len(s), 3, 80)], np.uint64), len(s), k, 80).tolist()) for s in (a, b))
-            assert x & y
