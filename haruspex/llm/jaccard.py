@@ -30,6 +30,8 @@ FILTER_BITS = 24
 BLOCK = 1024
 #: Signatures that a task holds before it packs them, and sets that it remembers so as not to index copies again.
 FLUSH, SEEN = 1 << 20, 1 << 20
+#: Rows from which the rows of one set are spread over SALTS tasks where they are joined.
+MANY, SALTS = 512, 64
 
 _U = np.uint64
 
@@ -402,11 +404,8 @@ def _across_tasks(groups: DataFrame, percent: int) -> DataFrame:
     return placed.join(meet, ["grp", "c", "block"]).select("sid", "task", F.lit(ALL).alias("role"), "side")
 
 
-_LINK = "ra long, a long, rb long, b long"
-
-
 def _verified(docs: DataFrame, one: DataFrame, tasks: DataFrame, n_parts: int, shingle: int, percent: int) -> DataFrame:
-    """Links that join each task's sets as all their links do, as (smallest id, set) of both ends."""
+    """Links that join each task's sets as all their links do; ``a`` and ``b`` are nodes."""
     wanted = tasks.groupBy("sid").agg(F.collect_list(F.struct("task", "role", "side")).alias("tasks")).join(one.select("sid", "rep"), "sid")
     wanted = C.cut(wanted)
     texts = C.marked(docs, "id", wanted.where("rep IS NOT NULL").select(F.col("rep").alias("id"))).where("marked OR id IS NULL").drop("marked")
@@ -424,9 +423,10 @@ def _verified(docs: DataFrame, one: DataFrame, tasks: DataFrame, n_parts: int, s
         task, held = None, {}
 
         def done() -> Iterator[pa.RecordBatch]:
-            made = [(held[x][0], x, held[y][0], y) for x, y in compared({s: h[1:] for s, h in held.items()}, percent)]
+            made = compared({s: h[1:] for s, h in held.items()}, percent)
             if made:
-                yield pa.RecordBatch.from_arrays([pa.array(c, pa.int64()) for c in zip(*made)], names=["ra", "a", "rb", "b"])
+                node = {s: s if h[0] is None else h[0] for s, h in held.items()}
+                yield pa.RecordBatch.from_arrays([pa.array([node[x[k]] for x in made], pa.int64()) for k in (0, 1)], names=["a", "b"])
 
         for batch in batches:
             names, roles, sides, ids, sids = (batch.column(i).to_pylist() for i in range(5))
@@ -440,7 +440,7 @@ def _verified(docs: DataFrame, one: DataFrame, tasks: DataFrame, n_parts: int, s
                         held[sids[i]] = (ids[i], g[first[i - a] : first[i - a + 1]].copy(), roles[i], sides[i])
         yield from done()
 
-    return rows.repartition(n_parts, "task").sortWithinPartitions("task").mapInArrow(run, _LINK)
+    return rows.repartition(n_parts, "task").sortWithinPartitions("task").mapInArrow(run, "a long, b long")
 
 
 def compared(held: dict[int, tuple[np.ndarray, int, int | None]], percent: int = PERCENT) -> list[tuple[int, int]]:
@@ -480,26 +480,29 @@ def links(held: dict[int, np.ndarray], percent: int = PERCENT, sides: dict[int,
     return out
 
 
-def _node(rep: str, sid: str) -> F.Column:
-    """A set as a node: nodes are ordered by smallest id, null last."""
-    return F.struct(F.col(rep).isNull().alias("none"), F.col(rep).alias("rep"), F.col(sid).alias("sid"))
-
-
-def _joined(found: DataFrame) -> DataFrame:
-    """``sid``, and ``root_rep, root_sid`` of the node of the smallest id that it is joined with."""
-    nodes = graph.components(found.select(_node("ra", "a").alias("a"), _node("rb", "b").alias("b")))
-    return nodes.select(F.col("node.sid").alias("sid"), F.col("root.rep").alias("root_rep"), F.col("root.sid").alias("root_sid"))
+def _by_set(rows: DataFrame, known: DataFrame, many: DataFrame) -> DataFrame:
+    """``rows`` with the columns of ``known(sid, ...)``; the rows of sets among ``many`` are spread over SALTS tasks."""
+    salt = F.pmod(F.xxhash64("id"), F.lit(SALTS)).cast("int")
+    left = C.marked(rows, "sid", many).withColumn("salt", F.when(F.col("marked"), salt).otherwise(0)).drop("marked")
+    right = C.marked(known, "sid", many).withColumn("salt", F.explode(F.sequence(F.lit(0), F.when(F.col("marked"), SALTS - 1).otherwise(0)))).drop("marked")
+    return left.join(right, ["sid", "salt"]).drop("salt")
 
 
 def _labelled(docs: DataFrame, shingle: int, percent: int) -> DataFrame:
-    """``id, n, sid, root_rep, root_sid`` of each row of ``docs(id, text)``."""
+    """``id, n, sid``, and ``node, root, least`` of its set, of each row of ``docs(id, text)``.
+
+    A set's node is the smallest id that has it, so rows of one id are one node
+    and a component's root is its smallest id.  Sets of rows without ids are nodes
+    by fingerprint; only where there are any, a component's smallest id is looked for.
+    """
     if not LEAST_PERCENT <= percent <= 100:
         raise ValueError(f"similarity from {LEAST_PERCENT} to 100 %")
     sets = C.cut(_sets(docs, shingle, percent))
     n_parts = P.n_partitions(docs.sparkSession, 8 * (sets.agg(F.sum("n")).first()[0] or 0))
     buckets = P.labels(docs, n_parts)
-    reps = sets.groupBy("sid", "n").agg(F.min("id").alias("rep"), F.first("bitmap").alias("bitmap"))
-    one = C.cut(reps.where("length(bitmap) > 0"))
+    reps = sets.groupBy("sid", "n").agg(F.min("id").alias("rep"), F.first("bitmap").alias("bitmap"), F.count(F.lit(1)).alias("rows"))
+    reps = C.cut(reps.withColumn("node", F.coalesce("rep", "sid")))
+    one = reps.where("length(bitmap) > 0")
     hot: list[np.ndarray] = []
     levels: list[DataFrame] = []
     for k, limit in enumerate(LISTS, 1):
@@ -521,19 +524,23 @@ def _labelled(docs: DataFrame, shingle: int, percent: int) -> DataFrame:
         ties = C.cut(ties)
         tasks = tasks.unionByName(_star_tasks(_possible(ties, one, percent)))
     found = C.cut(_verified(docs, one, tasks, n_parts, shingle, percent))
-    joined = _joined(found)
+    joined = graph.components(found)
     if tied:
         # sets that are tied but not joined yet
         groups = graph.components(ties).select(F.col("node").alias("sid"), F.col("root").alias("grp"))
-        sided = groups.join(joined, "sid", "left").join(one.select("sid", "n"), "sid").select("grp", "sid", "n", F.coalesce("root_sid", "sid").alias("side"))
+        sided = groups.join(one.select("sid", "n", "node"), "sid").join(joined, "node", "left").select("grp", "sid", "n", F.coalesce("root", "node").alias("side"))
         sided = C.cut(sided)
-        open_ = sided.groupBy("grp").agg(F.min("side").alias("x"), F.max("side").alias("y")).where("x <> y").select("grp")
-        rest = sided.join(open_, "grp")
+        several = sided.groupBy("grp").agg(F.min("side").alias("x"), F.max("side").alias("y")).where("x <> y").select("grp")
+        rest = sided.join(several, "grp")
         if not rest.isEmpty():
-            more = _verified(docs, one, _across_tasks(rest, percent), n_parts, shingle, percent)
-            joined = _joined(found.unionByName(more))
-    known = reps.select("sid", "rep").join(joined, "sid", "left").select("sid", F.when(F.col("root_sid").isNull(), F.col("rep")).otherwise(F.col("root_rep")).alias("root_rep"), F.coalesce("root_sid", "sid").alias("root_sid"))
-    return sets.select("id", "n", "sid").join(known, "sid")
+            joined = graph.components(found.unionByName(_verified(docs, one, _across_tasks(rest, percent), n_parts, shingle, percent)))
+    known = reps.select("sid", "rep", "node", "rows").join(joined, "node", "left").withColumn("root", F.coalesce("root", "node"))
+    if reps.where("rep IS NULL").isEmpty():
+        known = known.withColumn("least", F.col("root"))
+    else:
+        known = known.join(known.groupBy("root").agg(F.min("rep").alias("least")), "root")
+    many = reps.where(F.col("rows") >= MANY).select("sid")
+    return _by_set(sets.select("id", "n", "sid"), known.select("sid", "node", "root", "least"), many)
 
 
 def near_components(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", shingle: int = SHINGLE, percent: int = PERCENT) -> DataFrame:
@@ -561,11 +568,11 @@ def near_components(docs: DataFrame, *, id_col: str = "doc_id", text_col: str =
     * Null text or one without words: no shingles, a component of its own.
     * Fewer words than a shingle has: the whole sequence is the one shingle.
     * Null id: never the smallest; in a component without any id the result is null.
-    * Repeated ids are nodes of each of their texts; other columns aren't read.
+    * Rows of one id are one node: what links one of them links all.  Other columns aren't read.
     * Empty input: empty result.
     """
     rows = _labelled(docs.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).alias("text")), shingle, percent)
-    return rows.select(F.col("id").alias(id_col), F.col("n").alias("n_shingles"), F.when(F.col("n") > 0, F.col("root_rep")).otherwise(F.col("id")).alias("component_id"))
+    return rows.select(F.col("id").alias(id_col), F.col("n").alias("n_shingles"), F.when(F.col("n") > 0, F.col("least")).otherwise(F.col("id")).alias("component_id"))
 
 
 def op8_near_components(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -580,15 +587,13 @@ def near_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     with the verdicts.
 
     * Null or empty text: linked with nothing, stays.
-    * Rows that repeat the smallest id with the same set, or that all lack an id: one stays.
+    * Of the rows of one id, and of those of one set that lack an id, one stays.
     * Other columns are carried along; empty input: empty result.
     """
-    if not docs.columns:
-        return docs
     small = docs.select(F.col("doc_id").cast("long").alias("id"), "text")
-    rows = C.cut(_labelled(small, STAGE_SHINGLE, STAGE_PERCENT).select("id", "n", "sid", (F.col("id").eqNullSafe(F.col("root_rep")) & (F.col("sid") == F.col("root_sid"))).alias("best")))
-    bad = rows.where("id IS NOT NULL").groupBy("id").agg(F.count(F.lit(1)).alias("m"), F.min(F.expr("best OR n = 0")).alias("stays")).where("m > 1 OR NOT stays").select("id")
-    told = C.marked(docs.withColumn("__id", F.col("doc_id").cast("long")), "__id", bad.withColumnRenamed("id", "__id"))
+    rows = C.cut(_labelled(small, STAGE_SHINGLE, STAGE_PERCENT).where("n > 0").select("id", "sid", F.expr("id <=> least AND (id IS NOT NULL OR sid = root)").alias("best")))
+    named = rows.where("id IS NOT NULL").groupBy("id").agg(F.count(F.lit(1)).alias("m"), F.max("best").alias("best"))
+    told = C.marked(docs.withColumn("__id", F.col("doc_id").cast("long")), "__id", named.where("m > 1 OR NOT best").select(F.col("id").alias("__id")))
     sure = told.where("NOT marked AND __id IS NOT NULL").select(*docs.columns)
 
     def make(data: np.ndarray, off: np.ndarray) -> dict[str, object]:
@@ -596,7 +601,7 @@ def near_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
         return {"__n": n, "__sid": sid}
 
     doubt = C.arrow_append(told.where("marked OR __id IS NULL"), make, [T.StructField("__n", T.LongType()), T.StructField("__sid", T.LongType())], keep=[*docs.columns, "__id"])
-    best = rows.where("best AND n > 0").select(F.col("id").alias("__best"), F.col("sid").alias("__sid")).distinct()
-    chosen = doubt.where("__n > 0").join(best, "__sid").where(F.col("__id").eqNullSafe(F.col("__best")))
-    chosen = chosen.withColumn("__nth", F.row_number().over(W.partitionBy("__sid").orderBy("__id"))).where("__nth = 1")
+    by_id = doubt.where("__n > 0 AND __id IS NOT NULL").join(named.where("best").select(F.col("id").alias("__id")), "__id", "left_semi")
+    by_set = doubt.where("__n > 0 AND __id IS NULL").join(rows.where("best AND id IS NULL").select(F.col("sid").alias("__sid")).distinct(), "__sid", "left_semi")
+    chosen = by_id.unionByName(by_set).withColumn("__nth", F.row_number().over(W.partitionBy(F.coalesce("__id", "__sid")).orderBy("__id", "__sid"))).where("__nth = 1")
     return sure.unionByName(doubt.where("__n = 0").select(*docs.columns)).unionByName(chosen.select(*docs.columns))

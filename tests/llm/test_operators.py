@@ -597,6 +597,21 @@ def test_components_odd_rows(spark):
     out = jaccard.near_components(_docs(spark, [t, t, t, None, ""], [3, None, 3, 9, None])).toPandas()
     assert len(out) == 5 and out[out.n_shingles > 0].component_id.eq(3).all()
     assert jaccard.near_components(_docs(spark, [])).count() == 0
+    u = t.replace("q29", "other")  # linked at 90 %: 27 of 29 shingles
+    out = jaccard.near_components(_docs(spark, [t + " q31", u + " q31", t, t, "", t], [None, None, 7, 7, 7, 2]).withColumn("n_shingles", F.lit("x"))).toPandas()
+    assert sorted(out[out.n_shingles > 0].component_id) == [2] * 5 and out[out.n_shingles == 0].component_id.tolist() == [7]
+    lost = jaccard.near_components(_docs(spark, [t, t, "a b"], [None, None, None])).toPandas()
+    assert lost.component_id.isna().all()
+
+
+def test_near_stage_odd_rows(spark, sf_dir):
+    t = " ".join(f"q{i}" for i in range(30))
+    made, ids = [t, t, t, "x y", "", None, "", t + " more", t + " more", "z z z"], [5, 5, None, None, None, 9, 9, 9, 5, None]
+    left = jaccard.near_stage(spark, _docs(spark, made, ids), sf_dir)
+    assert left.columns == _docs(spark, []).columns
+    got = sorted((r["doc_id"] is None, r["doc_id"] or 0, r["text"] or "") for r in left.collect())
+    assert [g for g in got if g[2] not in (t, t + " more")] == [(False, 9, ""), (False, 9, ""), (True, 0, ""), (True, 0, "x y"), (True, 0, "z z z")]
+    assert len([g for g in got if g[2] in (t, t + " more")]) == 1 and jaccard.near_stage(spark, _docs(spark, []), sf_dir).count() == 0
 
 
 def test_graph_components(spark):
