@@ -50,9 +50,13 @@ def _families(grid: wg.WordGrid):
 
 
 def _span_sums(values: np.ndarray, first: np.ndarray, last: np.ndarray) -> np.ndarray:
-    sums = np.zeros(len(values) + 1)
-    np.cumsum(values, out=sums[1:])
-    return sums[np.maximum(last, first)] - sums[first]
+    """Sums of the spans, each by itself: a document's doesn't depend on the others of its chunk."""
+    out = np.zeros(len(first))
+    on = np.flatnonzero(last > first)
+    if len(on):
+        edges = np.stack([first[on], last[on]], 1).ravel()
+        out[on] = np.add.reduceat(np.append(values, 0).astype(np.float64), edges)[::2]
+    return out
 
 
 def margins(grid: wg.WordGrid, weights: np.ndarray, bias: float) -> np.ndarray:
@@ -123,30 +127,54 @@ def features(rows: DataFrame, label: str, text: str = "text", id_col: str = "doc
 
     df = C.arrow_append(rows, make, [T.StructField("ids", T.BinaryType()), T.StructField("vals", T.BinaryType())], text, keep=[id_col, label])
     got = df.collect()
-    return [(r[id_col], int(r[label]), np.frombuffer(r["ids"], np.int32), np.frombuffer(r["vals"], np.float32)) for r in sorted(got, key=lambda r: (r[id_col] is None, r[id_col] or 0, r[label]))]
+    return [(r[id_col], int(r[label]), np.frombuffer(r["ids"], np.int32), np.frombuffer(r["vals"], np.float32)) for r in sorted(got, key=lambda r: (r[id_col] is None, r[id_col] or 0, r[label], r["ids"]))]
+
+
+#: Parts of the labelled rows; each is scored by a model of the others for the calibration.
+FOLDS = 2
 
 
 def train(rows: list[tuple[int, int, np.ndarray, np.ndarray]], steps: int = 150, l2: float = 1e-5) -> Model:
-    """L2-regularised logistic regression by full-batch Adam on 3/4 of the rows; Platt scaling on the others."""
+    """L2-regularised logistic regression of all rows; Platt scaling on margins that models of the other folds give.
+
+    A row's fold is its place among its class in the order of mixed ids, so every
+    fold has its share of a rare class.  Ids may be any whole numbers or null.
+    """
     y = np.array([r[1] for r in rows], float)
     if len(rows) == 0 or y.min() == y.max():
         p = 0.5 if len(rows) == 0 else (len(rows) * y.mean() + 1) / (len(rows) + 2)
         return Model(np.zeros(FAMILIES << BITS), 0.0, 1.0, float(np.log(p / (1 - p))))
-    held = np.array([(int(wg.mix(np.array([r[0] or 0], np.uint64))[0]) & 3) == 3 for r in rows])
-    if len(set(y[held])) < 2 or len(set(y[~held])) < 2:
-        held = np.arange(len(rows)) % 4 == 3
-    fit = ~held
+    mixed = wg.mix(np.array([int(r[0] or 0) & 0xFFFFFFFFFFFFFFFF for r in rows], np.uint64))
+    fold = np.zeros(len(rows), np.int64)
+    for k in (0, 1):
+        own = np.flatnonzero(y == k)
+        fold[own[np.argsort(mixed[own], kind="stable")]] = np.arange(len(own)) % FOLDS
     idx = np.concatenate([r[2] for r in rows])
     val = np.concatenate([r[3] for r in rows])
     row = np.repeat(np.arange(len(rows), dtype=np.int32), [len(r[2]) for r in rows])
+    # models in columns: one for each fold, of the others' rows, and one of all rows
+    fit = np.concatenate([fold[:, None] != np.arange(FOLDS), np.ones((len(rows), 1), bool)], axis=1)
+    seen = np.array([len(set(y[fit[:, k]])) == 2 for k in range(FOLDS + 1)])
+    z = np.stack([_fit(idx, val, row, y, fit[:, k], steps, l2) if seen[k] else np.zeros((FAMILIES << BITS) + 1) for k in range(FOLDS + 1)], 1)
+    w, bias = z[:-1], z[-1]
+    margin = np.array([np.bincount(row, val * w[idx, k], len(rows)) + bias[k] for k in range(FOLDS)])
+    held = margin[fold, np.arange(len(rows))]
+    on = seen[fold]
+    calibration = platt(held[on], y[on]) if len(set(y[on])) == 2 else (1.0, 0.0)
+    return Model(w[:, FOLDS].copy(), float(bias[FOLDS]), *calibration)
+
+
+def _fit(idx: np.ndarray, val: np.ndarray, row: np.ndarray, y: np.ndarray, fit: np.ndarray, steps: int, l2: float) -> np.ndarray:
+    """Weights and, last, the bias; full-batch Adam, classes of equal weight."""
     on = fit[row]
     fi, fv, fr = idx[on], val[on], row[on]
+    known, fi = np.unique(fi, return_inverse=True)
     share = np.where(y == 1, 0.5 / max(1, (y[fit] == 1).sum()), 0.5 / max(1, (y[fit] == 0).sum())) * fit
-    size = FAMILIES << BITS
+    size = len(known)
     w, b = np.zeros(size), 0.0
     m, v, mb, vb = np.zeros(size), np.zeros(size), 0.0, 0.0
     for t in range(1, steps + 1):
-        z = np.bincount(fr, fv * w[fi], len(rows)) + b
+        z = np.bincount(fr, fv * w[fi], len(y)) + b
         err = (1 / (1 + np.exp(-np.clip(z, -40, 40))) - y) * share
         g, gb = np.bincount(fi, fv * err[fr], size) + l2 * w, err.sum()
         m, v = 0.9 * m + 0.1 * g, 0.999 * v + 0.001 * g * g
@@ -155,8 +183,9 @@ def train(rows: list[tuple[int, int, np.ndarray, np.ndarray]], steps: int = 150,
         c1, c2 = 1 - 0.9**t, 1 - 0.999**t
         w -= lr * (m / c1) / (np.sqrt(v / c2) + 1e-9)
         b -= lr * (mb / c1) / (np.sqrt(vb / c2) + 1e-9)
-    z = np.bincount(row, val * w[idx], len(rows)) + b
-    return Model(w, b, *platt(z[held], y[held]))
+    out = np.zeros((FAMILIES << BITS) + 1)
+    out[known], out[-1] = w, b
+    return out
 
 
 def platt(z: np.ndarray, y: np.ndarray) -> tuple[float, float]:
