@@ -12,9 +12,10 @@ from haruspex.llm import common as C
 MAX_SOURCES = 200_000
 #: Cells of the histogram in which the cut of a source's sampling order is found.
 CELLS = 8192
-#: Sampling rounds after the first: largest size of the documents that fill what is left of a source's target, as
-#: a share of that.  In the last round, the document that ends nearest to the target is the last.
-REFILL = (1.0, 0.5, 0.5, 2.0)
+#: Last places of a sample, each of which goes to the document that ends nearest to the target.
+LAST = 4
+#: Size classes for each doubling, over which a source's inclusion probabilities are scaled.
+FINE = 32
 
 
 def water_fill(sizes: list[float], weights: list[float], total: float, cap: float) -> list[float]:
@@ -38,134 +39,160 @@ def source_targets(sizes: list[tuple[str | None, int]], cycle=(3.0, 1.0, 2.0), s
     return [(k, s, t) for (k, s), t in zip(rows, targets)]
 
 
-def pareto_mix(docs: DataFrame, *, cycle=(3.0, 1.0, 2.0), share: float = 1.5, cap: float = 2.0, size_power: float = 0.5, seed: int = 20260801, size=None, id_col: str = "doc_id", source_col: str = "source", text_col: str = "text", carry: bool = False) -> DataFrame:
+def pareto_mix(docs: DataFrame, *, cycle=(3.0, 1.0, 2.0), share: float = 1.5, cap: float = 2.0, seed: int = 20260801, size=None, id_col: str = "doc_id", source_col: str = "source", text_col: str = "text", carry: bool = False) -> DataFrame:
     """Copies of each document in a mixture whose sources meet target sizes.
 
     A source whose target is m times its size first gets floor(m) certain whole
-    copies of every document.  The rest is a Pareto order sample: a document's
-    inclusion odds are ``f / (1 - f) * size ** size_power`` with f the fraction
-    left of m, its random odds ``u / (1 - u)`` come from a hash of its id, and
-    documents are taken by ascending ratio of the two while the words asked for
-    aren't exceeded.  The factor ``f / (1 - f)`` is common to the source, so it
-    doesn't change the order.  What then is left of the target, less than one
-    document, is filled in the same order from documents that fit in it, and at
-    last by one that ends nearer to the target (``REFILL``).
-
-    The order is found without sorting a source in one task: ratios are put in
-    ``CELLS`` cells, sums per source and cell are aggregated map-side, and only
-    the rows of the cell in which the target lies are ranked.
-
-    Returns ``id, size, source_size, target, taken, copies`` (and with ``carry``
-    also the input's other columns, which give way to these on a name clash).
+    copies of every document.  The words left of its target are a Pareto order
+    sample of its documents:
+
+    * Inclusion probabilities are proportional to size, ``min(1, c * size)``, with
+      c such that the words expected are those left (solved over size classes).
+      Their sum is the expected number of documents.
+    * Random odds ``u / (1 - u)`` come from a hash of id, source and text.  Documents
+      are taken by ascending ratio of random odds to inclusion odds; those of probability 1 come first.
+    * The sample's size is the number of documents whose words come up to what is
+      left; its last places (up to ``LAST``, one in all but small sources) go to the documents that end nearest to it.
+
+    No source is sorted in one task: ratios are put in ``CELLS`` cells, sums by
+    source and cell are aggregated map-side, and only the cell in which the cut
+    lies is ranked.  Equal rows are one entry there, with their number.
+
+    Returns ``id, size, source_size, target, taken, copies, inclusion`` (of the
+    sampled copy; and with ``carry`` also the input's other columns, which give way to these on a name clash).
 
     * Null text: size 0; it is copied floor(m) times and takes no words.
     * Null source: a source of its own, last in order.
-    * Null, equal or repeated ids: ties are ranked by size and source; equal rows are sampled singly.
+    * Null or repeated ids: drawn by text; equal rows are one draw, of which so many are taken as fit.
     * Empty input: empty result.
     """
-    both = _mix(docs, cycle, share, cap, size_power, seed, size, id_col, source_col, text_col, carry)
-    made = ["size", "source_size", "target", "taken", "copies"]
-    out = [F.col("__size").alias("size"), "source_size", "target", (F.col("copies") * F.col("__size")).cast("long").alias("taken"), "copies"]
+    made = ["size", "source_size", "target", "taken", "copies", "inclusion"]
+    both = _mix(docs, cycle, share, cap, seed, size, id_col, source_col, text_col, carry)
+    out = [F.col("__size").alias("size"), "source_size", "target", (F.col("copies") * F.col("__size")).cast("long").alias("taken"), "copies", F.col("__p").alias("inclusion")]
     if carry:
         return both.select(*[F.col(f"__row.`{c}`").alias(c) for c in docs.columns if c not in made], *out)
     return both.select(F.col("__id").alias(id_col), *out)
 
 
-def _mix(docs, cycle, share, cap, size_power, seed, size, id_col, source_col, text_col, carry) -> DataFrame:
+def _mix(docs, cycle, share, cap, seed, size, id_col, source_col, text_col, carry) -> DataFrame:
     spark = docs.sparkSession
+    # 53 bits of a hash, never 0 or 1
+    u = (F.shiftrightunsigned(F.xxhash64(F.col(id_col).cast("string"), F.col(source_col).cast("string"), F.col(text_col), F.lit(seed)), 11).cast("double") + 0.5) / float(1 << 53)
     full = docs.select(
         *([F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("__row")] if carry else []),
         F.col(id_col).alias("__id"),
         F.col(source_col).cast("string").alias("__source"),
         (C.word_count(F.col(text_col)) if size is None else size).alias("__size"),
+        u.alias("__u"),
     )
-    # 53 bits of a hash, never 0 or 1
-    u = (F.shiftrightunsigned(F.xxhash64(F.coalesce(F.col("__id").cast("string"), F.lit("")), F.coalesce(F.col("__source"), F.lit("")), F.lit(seed)), 11).cast("double") + 0.5) / float(1 << 53)
-    ratio = (u / (1 - u)) / F.pow(F.greatest(F.col("__size"), F.lit(1)).cast("double"), F.lit(size_power))
-    full = full.withColumn("__r", ratio)
-    narrow = C.cut(full.select("__id", "__source", "__size", "__r"))
-    found = narrow.groupBy("__source").agg(F.sum("__size").alias("s"), F.count(F.lit(1)).alias("n")).limit(MAX_SOURCES + 1).collect()
+    narrow = C.cut(full.drop("__row"))
+    bin_ = F.when(F.col("__size") > 0, F.floor(F.log2(F.col("__size").cast("double")) * FINE)).otherwise(-1).cast("int")
+    bins = C.cut(narrow.groupBy("__source", bin_.alias("__bin")).agg(F.sum("__size").alias("words"), F.count(F.lit(1)).alias("n")))
+    found = bins.groupBy("__source").agg(F.sum("words").alias("s")).limit(MAX_SOURCES + 1).collect()
     if len(found) > MAX_SOURCES:
         raise ValueError(f"more than {MAX_SOURCES} sources")
-    stats = {r["__source"]: r for r in found}
     plan = []
-    for source, s, target in source_targets([(k, int(r["s"])) for k, r in stats.items()], cycle, share, cap):
+    for source, s, target in source_targets([(r["__source"], int(r["s"])) for r in found], cycle, share, cap):
         whole = int(min(target // s, cap)) if s else 0
         rest = target - whole * s
         if s and s - rest < 0.5:  # rounding: one more whole copy
             whole, rest = whole + 1, 0.0
-        plan.append((source, s, float(target), whole, float(rest), float(max(1.0, s / max(1, stats[source]["n"])) ** size_power)))
-    plan_df = spark.createDataFrame(plan, "p_source string, source_size long, target double, whole int, rest double, scale double")
-
-    def by_source(df: DataFrame, small: DataFrame, key: str, how: str = "inner") -> DataFrame:
-        """Joins a table of one row per source, at most MAX_SOURCES."""
-        return df.join(F.broadcast(small), df["__source"].eqNullSafe(small[key]), how).drop(key)
-
-    ranked = by_source(narrow, plan_df, "p_source").where("rest > 0").withColumn("max_size", F.lit(1 << 62))
-    rest_of = {p[0]: p[4] for p in plan}
-    stops: list[DataFrame] = []
-    for turn in range(len(REFILL) + 1):
-        stop = _stops(ranked, by_source, nearest=turn == len(REFILL))
-        rows = [(r["__source"], r["r_stop"], int(r["n_stop"]), int(r["max_size"])) for r in stop]
-        stops.append(spark.createDataFrame(rows, f"s_source string, r_stop{len(stops)} double, n_stop{len(stops)} long, max_size{len(stops)} long"))
-        rest_of = {r["__source"]: rest_of[r["__source"]] - r["words"] for r in stop}
-        if turn == len(REFILL) or not (gaps := [(k, v, int(REFILL[turn] * v)) for k, v in rest_of.items() if v >= 1]):
+        plan.append((source, s, float(target), whole, float(rest)))
+    scale = {r["__source"]: r["c"] for r in _scales(_by_source(bins, _table(spark, [(p[0], p[4]) for p in plan], "rest double"))).collect()}
+    plan = [(*p, float(scale.get(p[0]) or 0.0)) for p in plan]
+    kinds = "source_size long, target double, whole int, rest double, c double"
+    ranked = _ratios(_by_source(narrow, _table(spark, plan, kinds))).where("__r IS NOT NULL")
+    cuts = {r["__source"]: r for r in _cuts(ranked)}
+    # the last places
+    gap = {k: rest - cuts[k]["words"] for k, _, _, _, rest, _ in plan if k in cuts}
+    last: dict[str | None, list[float]] = {k: [] for k in gap}
+    for _ in range(LAST):
+        open_ = [(k, float(g), cuts[k]["r_part"], int(cuts[k]["left"]), last[k]) for k, g in gap.items() if abs(g) >= 1]
+        later = _by_source(ranked, _table(spark, open_, "gap double, r_part double, left long, last array<double>"))
+        later = later.where("(__r > r_part OR (__r = r_part AND left > 0)) AND NOT array_contains(last, __r)")
+        best = later.groupBy("__source").agg(F.min(F.struct(F.abs(F.col("__size") - F.col("gap")).alias("off"), "__r", "__size")).alias("m"), F.first("gap").alias("gap"))
+        best = best.where("m.off < abs(gap)").select("__source", "m.__r", "m.__size").collect() if open_ else []
+        for r in best:
+            last[r["__source"]].append(r["__r"])
+            gap[r["__source"]] -= r["__size"]
+        if not best:
             break
-        k = len(stops) - 1
-        left = by_source(ranked.drop("rest", "max_size"), stops[k], "s_source").where((F.col("__r") > F.col(f"r_stop{k}")) | (F.col("__size") > F.col(f"max_size{k}"))).drop(f"r_stop{k}", f"n_stop{k}", f"max_size{k}")
-        ranked = by_source(left, spark.createDataFrame(gaps, "g_source string, rest double, max_size long"), "g_source").where("__size <= max_size")
-    whole = by_source(full if carry else narrow, plan_df, "p_source")
-    picked, tied = F.lit(False), F.lit(False)
-    for k, stop in enumerate(stops):
-        whole = by_source(whole, stop, "s_source", "left")
-        fits = (F.col("rest") > 0) & F.coalesce(F.col("__size") <= F.col(f"max_size{k}"), F.lit(False))
-        picked = picked | (fits & F.coalesce(F.col("__r") < F.col(f"r_stop{k}"), F.lit(False)))
-        tied = tied | (fits & F.coalesce(F.col("__r") == F.col(f"r_stop{k}"), F.lit(False)))
-    whole = whole.withColumn("__picked", picked).withColumn("__tied", tied & ~picked)
-    alike = W.partitionBy("__source", "__r").orderBy("__size", F.col("__id").asc_nulls_last())
-    quota = F.lit(0).cast("long")
-    for k in reversed(range(len(stops))):
-        quota = F.when(F.col("__r") == F.col(f"r_stop{k}"), F.col(f"n_stop{k}")).otherwise(quota)
-    ties = whole.where("__tied").withColumn("__extra", F.when(F.row_number().over(alike) <= quota, 1).otherwise(0))
-    both = whole.where("NOT __tied").withColumn("__extra", F.col("__picked").cast("int")).unionByName(ties)
-    return both.withColumn("copies", (F.col("whole") + F.col("__extra")).cast("int"))
-
-
-def _stops(ranked: DataFrame, by_source, nearest: bool) -> list:
-    """For each source: where its order stops (ratio, rows taken at that ratio) and the words up to there.
-
-    They are at most ``rest``; or with ``nearest``, another document would end farther from it.
+    final = [(*p, cuts[p[0]]["r_part"], int(cuts[p[0]]["k_part"]), last[p[0]]) if p[0] in cuts else (*p, None, 0, []) for p in plan]
+    rows = _ratios(_by_source(full if carry else narrow, _table(spark, final, kinds + ", r_part double, k_part long, last array<double>")))
+    one_more = F.array_contains(F.col("last"), F.col("__r")).cast("long")
+    # rows of equal ratios are numbered by partition first, so that not one task numbers them
+    rows = rows.withColumn("__quota", F.when(F.col("__r") == F.col("r_part"), F.col("k_part") + one_more).when(one_more == 1, one_more))
+    sure = rows.where("__quota IS NULL").withColumn("__extra", F.coalesce(F.col("__r") < F.col("r_part"), F.lit(False)).cast("int"))
+    alike = rows.where("__quota IS NOT NULL").withColumn("__in", F.spark_partition_id())
+    local = alike.withColumn("__nth", F.row_number().over(W.partitionBy("__source", "__r", "__in").orderBy("__id")))
+    counts = alike.groupBy("__source", "__r", "__in").agg(F.count(F.lit(1)).alias("m"))
+    before = counts.withColumn("__before", F.sum("m").over(W.partitionBy("__source", "__r").orderBy("__in")) - F.col("m")).select(F.col("__source").alias("b_source"), F.col("__r").alias("b_r"), F.col("__in").alias("b_in"), "__before")
+    local = local.join(before, F.col("__source").eqNullSafe(F.col("b_source")) & (F.col("__r") == F.col("b_r")) & (F.col("__in") == F.col("b_in")))
+    local = local.withColumn("__extra", (F.col("__nth") + F.col("__before") <= F.col("__quota")).cast("int")).select(*sure.columns)
+    return sure.unionByName(local).withColumn("copies", (F.col("whole") + F.col("__extra")).cast("int"))
+
+
+def _table(spark: SparkSession, rows: list[tuple], rest: str) -> DataFrame:
+    """One row for each source, at most MAX_SOURCES."""
+    return spark.createDataFrame(rows, f"p_source string, {rest}")
+
+
+def _by_source(df: DataFrame, table: DataFrame) -> DataFrame:
+    return df.join(F.broadcast(table), df["__source"].eqNullSafe(table["p_source"])).drop("p_source")
+
+
+def _ratios(rows: DataFrame) -> DataFrame:
+    """With the inclusion probability ``__p``, and ``__r``, the ratio of random odds to inclusion odds; null where nothing is sampled."""
+    p = F.when((F.col("rest") > 0) & (F.col("__size") > 0), F.least(F.lit(1.0), F.col("c") * F.col("__size")))
+    rows = rows.withColumn("__p", F.coalesce(p, F.lit(0.0)))
+    ratio = F.when(F.col("__p") >= 1, F.lit(0.0)).when(F.col("__p") > 0, F.col("__u") / (1 - F.col("__u")) * (1 - F.col("__p")) / F.col("__p"))
+    return rows.withColumn("__r", ratio)
+
+
+def _scales(bins: DataFrame) -> DataFrame:
+    """``__source, c``: with certain documents in the classes of larger sizes, the scale that leaves ``rest`` expected words.
+
+    A source's classes are few (``FINE`` for each doubling), so a window may take them.
     """
+    mean = F.col("words") / F.col("n")
+    down = W.partitionBy("__source").orderBy(F.col("__bin").desc())
+    rows = bins.where("rest > 0 AND words > 0").withColumn("mean", mean).withColumn("square", F.col("words") * mean)
+    before = F.sum("words").over(down) - F.col("words")
+    below = F.sum("square").over(W.partitionBy("__source").orderBy("__bin"))
+    rows = rows.withColumn("c", (F.col("rest") - before) / below)
+    # of the classes from which on nothing is certain, the one of the largest sizes
+    return rows.where((F.col("c") * F.col("mean") < 1) | (F.col("c") <= 0)).groupBy("__source").agg(F.max_by("c", "__bin").alias("c"))
+
+
+def _cuts(ranked: DataFrame) -> list:
+    """For each source: the ratio below which all rows are taken, how many of that ratio (and how many are left), and the words of both."""
     spark = ranked.sparkSession
-    x = F.col("__r") * F.col("scale")  # any monotone map of the ratio will do
-    ranked = ranked.withColumn("__cell", F.least(F.floor(x / (1 + x) * CELLS), F.lit(CELLS - 1)).cast("int"))
-    upto = W.partitionBy("__source").orderBy("__cell").rowsBetween(W.unboundedPreceding, W.currentRow)
+    ranked = ranked.withColumn("__cell", F.least(F.floor(F.col("__r") / (1 + F.col("__r")) * CELLS), F.lit(CELLS - 1)).cast("int"))
+    upto = W.partitionBy("__source").orderBy("__cell")
     cells = ranked.groupBy("__source", "__cell").agg(F.sum("__size").alias("cs"), F.first("rest").alias("rest")).withColumn("run", F.sum("cs").over(upto))
     ends = cells.groupBy("__source").agg(
         F.min(F.when(F.col("run") > F.col("rest"), F.struct("__cell", (F.col("run") - F.col("cs")).alias("before")))).alias("e"),
         F.max(F.struct("__cell", (F.col("run") - F.col("cs")).alias("before"))).alias("all"),
     ).select("__source", F.coalesce("e", "all").alias("e")).select("__source", "e.__cell", "e.before").collect()
-    edge = spark.createDataFrame([(r["__source"], r["__cell"], int(r["before"])) for r in ends], "e_source string, e_cell int, before long")
-    order = W.partitionBy("__source").orderBy("__r", F.col("__size"), F.col("__id").asc_nulls_last()).rowsBetween(W.unboundedPreceding, W.currentRow)
-    near = by_source(ranked, edge, "e_source").where("__cell = e_cell").withColumn("__run", F.sum("__size").over(order) + F.col("before"))
-    near = near.withColumn("__alike", F.row_number().over(W.partitionBy("__source", "__r").orderBy(F.col("__size"), F.col("__id").asc_nulls_last())))
-    took = F.col("__run") - (F.col("__size") / 2.0 if nearest else F.lit(0.0)) <= F.col("rest")
-    return near.groupBy("__source").agg(
-        # none of the cell taken: everything before it is
-        F.coalesce(F.max(F.when(took, F.struct("__r", F.lit(1).alias("some")))), F.min(F.struct("__r", F.lit(0).alias("some")))).alias("s"),
-        F.coalesce(F.max(F.when(took, F.col("__run"))), F.max("before")).alias("words"),
-        F.max("max_size").alias("max_size"),
-        F.max_by("__alike", F.when(took, F.struct("__r", "__alike"))).alias("k"),
-    ).select("__source", F.col("s.__r").alias("r_stop"), F.when(F.col("s.some") == 1, F.col("k")).otherwise(0).alias("n_stop"), "words", "max_size").collect()
+    edge = _table(spark, [(r["__source"], r["__cell"], int(r["before"])) for r in ends], "e_cell int, before long")
+    near = _by_source(ranked, edge).where("__cell = e_cell").groupBy("__source", "__r", "before", "rest").agg(F.sum("__size").alias("words"), F.count(F.lit(1)).alias("m"))
+    near = near.withColumn("run", F.sum("words").over(W.partitionBy("__source").orderBy("__r")) - F.col("words") + F.col("before"))
+    fits = F.least(F.col("m"), F.floor((F.col("rest") - F.col("run")) * F.col("m") / F.col("words"))).cast("long")
+    near = near.withColumn("k", F.when(F.col("run") <= F.col("rest"), fits))
+    part = F.max(F.when(F.col("k").isNotNull(), F.struct("__r", F.col("k").alias("k_part"), (F.col("m") - F.col("k")).alias("left"), (F.col("run") + F.col("k") * F.col("words") / F.col("m")).alias("words"))))
+    return near.groupBy("__source").agg(part.alias("p")).select("__source", F.col("p.__r").alias("r_part"), "p.k_part", "p.left", "p.words").collect()
 
 
 def op1_pareto_mix(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = C.load(spark, sf_dir, "documents").select("doc_id", "source", "text")
-    return pareto_mix(docs).select("doc_id", "size", "source_size", "target", "taken", "copies")
+    return pareto_mix(docs).select("doc_id", "size", "source_size", "target", "taken", "copies", "inclusion")
 
 
 def mix_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Pipeline stage: each document as often as the mixture takes it."""
-    mixed = _mix(docs, (3.0, 1.0, 2.0), 1.5, 2.0, 0.5, 20260801, None, "doc_id", "source", "text", True).where("copies > 0")
+    """Pipeline stage: each document as often as the mixture takes it, none up to twice.
+
+    Nulls, ties, repeated rows, empty input: as in ``pareto_mix``.  All columns are carried along, whatever their names.
+    """
+    mixed = _mix(docs, (3.0, 1.0, 2.0), 1.5, 2.0, 20260801, None, "doc_id", "source", "text", True).where("copies > 0")
     rows = mixed.withColumn("__copy", F.explode(F.sequence(F.lit(1), F.col("copies"))))
     return rows.select(*[F.col(f"__row.`{c}`").alias(c) for c in docs.columns])

@@ -95,14 +95,28 @@ def test_mix_odd_rows(spark):
     assert len(out) == 33 and out.taken.le(2 * out["size"]).all()
     assert mixing.pareto_mix(docs.limit(0)).count() == 0
     clash = mixing.pareto_mix(docs.withColumn("size", F.lit("mine")).withColumn("copies", F.lit(9)), carry=True)
-    assert sorted(clash.columns) == sorted(["doc_id", "text", "lang", "source", "n_chars", "size", "source_size", "target", "taken", "copies"]) and clash.count() == 33
+    assert sorted(clash.columns) == sorted(["doc_id", "text", "lang", "source", "n_chars", "size", "source_size", "target", "taken", "copies", "inclusion"]) and clash.count() == 33
 
 
-def test_larger_odds_are_taken_more_often(spark):
-    docs = _docs(spark, ["w " * 4] * 300 + ["w " * 64] * 300, list(range(600)), ["a"] * 600)
-    out = mixing.pareto_mix(docs, share=0.5).toPandas()
-    short, long_ = out[out["size"] == 4], out[out["size"] == 64]
-    assert (long_.taken > 0).mean() > (short.taken > 0).mean() + 0.1
+def test_inclusion_frequencies_are_the_probabilities(spark):
+    sizes = [4] * 40 + [16] * 40 + [64] * 20 + [400] * 2
+    docs = _docs(spark, ["w " * k for k in sizes], list(range(len(sizes))), ["a"] * len(sizes)).cache()
+    runs = [mixing.pareto_mix(docs, share=0.5, seed=k).toPandas().sort_values("doc_id") for k in range(12)]
+    p = runs[0].inclusion.to_numpy()
+    often = np.mean([(r.taken > 0).to_numpy() for r in runs], axis=0)
+    n = np.array(sizes)
+    assert ((p * n).sum() - 0.5 * n.sum()) ** 2 <= (0.02 * n.sum()) ** 2 and (p[n == 400] == 1).all() and p[n == 4][0] * 4 == pytest.approx(p[n == 16][0])
+    for k in (4, 16, 64, 400):
+        on = n == k
+        assert abs(often[on].mean() - p[on].mean()) < 4 * np.sqrt(p[on].mean() / (12 * on.sum())) + 0.02
+    assert all(abs(r.taken.sum() - 0.5 * n.sum()) <= 12 for r in runs)
+    assert len({tuple(r.taken) for r in runs}) > 9  # seeds differ
+
+
+def test_equal_rows_are_one_draw(spark):
+    docs = _docs(spark, ["a b c d"] * 500 + ["e f"] * 20, [None] * 500 + list(range(20)), ["s"] * 520)
+    out = mixing.pareto_mix(docs.repartition(7), share=0.5).toPandas()
+    assert len(out) == 520 and abs(out.taken.sum() - out.target.iloc[0]) <= 1
 
 
 # -- sharding
@@ -176,6 +190,31 @@ def test_rules_separate_labelled_rows(spark):
 # -- compression score
 
 
+def test_rules_with_any_ids_and_clashing_columns(spark):
+    good = [" ".join(f"plain{(i * k) % 31} word{k % 7}" for k in range(40)) for i in range(1, 25)]
+    bad = [" ".join(f"$${k * i}%% ##{k}" for k in range(30)) for i in range(1, 9)]
+    ids = [-k - 1 for k in range(len(good) + len(bad))]
+    docs = _docs(spark, good + bad + [None, ""], ids + [None, 7]).withColumn("kept", F.lit("mine"))
+    labels = spark.createDataFrame([(i, int(k < len(good))) for k, i in enumerate(ids)] + [(None, 1), (99, 0)], "doc_id long, quality int")
+    out = rules.quality_rules(docs, rules.train(docs, labels)).toPandas().set_index("doc_id")
+    assert out.loc[ids[: len(good)]].kept.all() and not out.loc[ids[len(good) :]].kept.any() and not out.loc[7].kept
+    assert out.columns.tolist().count("kept") == 1
+    none = rules.quality_rules(docs.limit(0), rules.train(docs.limit(0), labels.limit(0)))
+    assert none.count() == 0
+
+
+def test_margins_do_not_depend_on_the_chunk():
+    rng = np.random.default_rng(3)
+    w = rng.normal(size=linear.FAMILIES << linear.BITS)
+    made = [t.encode() for t in ODD]
+
+    def score(part):
+        off = np.cumsum([0] + [len(p) for p in part])
+        return linear.margins(wg.WordGrid(np.frombuffer(b"".join(part), np.uint8), off), w, 0.5)
+
+    assert score(made).tolist() == [score([t])[0] for t in made]
+
+
 def test_compression_score(spark):
     sf = "/root/testdata/sf0.01"
     docs, labels = spark.read.parquet(f"{sf}/documents.parquet"), spark.read.parquet(f"{sf}/labels.parquet")
