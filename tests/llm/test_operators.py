@@ -109,7 +109,7 @@ def test_inclusion_frequencies_are_the_probabilities(spark):
     for k in (4, 16, 64, 400):
         on = n == k
         assert abs(often[on].mean() - p[on].mean()) < 4 * np.sqrt(p[on].mean() / (12 * on.sum())) + 0.02
-    assert all(abs(r.taken.sum() - 0.5 * n.sum()) <= 12 for r in runs)
+    assert all(abs(r.taken.sum() - 0.5 * n.sum()) <= 32 for r in runs)
     assert len({tuple(r.taken) for r in runs}) > 9  # seeds differ
 
 
