@@ -5,6 +5,7 @@ from __future__ import annotations
 import hashlib
 import math
 import re
+from collections import Counter
 
 import numpy as np
 import pyarrow as pa
@@ -12,6 +13,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import types as T
 
 from haruspex.llm import common as C
+from haruspex.llm import lexer
 
 KINDS = ("assign", "access", "hex", "literal")
 ASSIGN = re.compile(rb"""(password|passwd|secret|token|api_?key)["']?\x20*[:=]\x20*["']?([A-Za-z0-9+/_.=-]+)""", re.I)
@@ -22,8 +24,6 @@ _ASSIGN_WORDS = (b"password", b"passwd", b"secret", b"token", b"apikey", b"api_k
 _HEX = np.zeros(256, bool)
 _HEX[[*range(0x30, 0x3A), *range(0x61, 0x67)]] = True
 
-#: name, then a separator of assignments, then a quoted literal or a bare one; names start at a boundary only.
-PAIR = re.compile(rb"""(?<![\w$.\-])([A-Za-z_$][\w$.\-]*)["']?[\x20\t]*(?::=|=>|=(?!=)|:)[\x20\t]*(?:"([^"\n]*)"|'([^'\n]*)'|([^\s"',;(){}\[\]<>]+))""")
 #: What a target's name says about its value; the first that matches counts.
 NAME_WEIGHTS = (
     (re.compile(r"pass(?:word|wd|phrase)|^pwd$|[_.\-]pwd$"), 0.6),
@@ -34,8 +34,6 @@ NAME_WEIGHTS = (
 _GATE = (b"pass", b"pwd", b"secret", b"token", b"key", b"credential", b"authorization", b"connection")
 PLACEHOLDER = re.compile(rb"(?i)^(?:\$\{.*|\{\{.*|<.*|%.*%|x{3,}|\*{3,}|\.{3,}|(?:your|my|the|some|enter|insert)[_\- ].*|change[_\-]?me|example.*|placeholder.*|dummy.*|none|null|nil|true|false|undefined|todo|test)$")
 THRESHOLD = 0.75
-#: Steps along which a constant is followed to its literal.
-DEPTH = 8
 
 
 def name_weight(name: bytes) -> float:
@@ -48,43 +46,27 @@ def literal_weight(value: bytes) -> float:
     """How much a literal looks like a secret, 0 to 0.4: its length and the entropy of its bytes."""
     if len(value) < MIN_ASSIGN or PLACEHOLDER.match(value):
         return 0.0
-    head = value[:256]
-    entropy = -sum(c / len(head) * math.log2(c / len(head)) for c in map(head.count, set(head)))
+    entropy = -sum(c / len(value) * math.log2(c / len(value)) for c in Counter(value).values())
     spaces = 0.15 if b" " in value else 0.0
     return max(0.0, min(0.2, len(value) / 100) + min(0.25, entropy / 16) - spaces)
 
 
 def lexed(text: bytes) -> list[tuple[int, int, float]]:
-    """(start, end, score) of literals that reach a sensitively named target, directly or through constants."""
-    constants: dict[bytes, tuple[int, int] | bytes] = {}
+    """(start, end, score) of literals that reach a sensitively named target, directly or through constants.
+
+    A literal joined from pieces is scored as a whole; each piece is a span.
+    """
     found: dict[tuple[int, int], float] = {}
-    for m in PAIR.finditer(text):
-        k = next(i for i in (2, 3, 4) if m[i] is not None)
-        span, value = m.span(k), m[k]
-        weight = name_weight(m[1])
-        if k == 4 and re.fullmatch(rb"[A-Za-z_$][\w$.]*", value):  # may name a constant
-            target: tuple[int, int] | bytes = value
-            for _ in range(DEPTH):
-                if not isinstance(target, bytes) or target not in constants:
-                    break
-                target = constants[target]
-            if isinstance(target, tuple):
-                span, value = target, text[target[0] : target[1]]
-                constants[m[1]] = target
-            else:
-                constants[m[1]] = target
-                # a reference or a call; a bare word counts as a literal if it has a digit
-                if text[m.end() : m.end() + 1] == b"(" or not re.search(rb"\d", value):
-                    continue
-        else:
-            constants[m[1]] = span
-        if weight and (lit := literal_weight(value)):
-            found[span] = max(found.get(span, 0.0), weight + lit)
-    return [(a, b, s) for (a, b), s in found.items() if s >= THRESHOLD]
+    for name, pieces in lexer.pairs(text):
+        weight = name_weight(name)
+        if weight and (lit := literal_weight(b"".join(v for _, _, v in pieces))):
+            for a, b, _ in pieces:
+                found[a, b] = max(found.get((a, b), 0.0), weight + lit)
+    return [(a, b, s) for (a, b), s in found.items() if s >= THRESHOLD and a < b]
 
 
 def spans(text: bytes, hexes: list[tuple[int, int]]) -> list[tuple[str, int, int]]:
-    """(kind, start, end) in bytes; a lexed literal is added where no base span overlaps it."""
+    """(kind, start, end) in bytes: the base spans and the lexed literals."""
     low = text.lower()
     out: list[tuple[str, int, int]] = []
     if any(w in low for w in _ASSIGN_WORDS):
@@ -93,12 +75,7 @@ def spans(text: bytes, hexes: list[tuple[int, int]]) -> list[tuple[str, int, int
         out += [("access", *m.span()) for m in ACCESS.finditer(text) if len(m[0]) >= MIN_ACCESS]
     out += [("hex", a, b) for a, b in hexes]
     if any(w in low for w in _GATE):
-        base = sorted((a, b) for _, a, b in out)
-        starts, top = np.array([a for a, _ in base], np.int64), np.maximum.accumulate(np.array([b for _, b in base], np.int64)) if base else np.zeros(0, np.int64)
-        for a, b, _ in lexed(text):
-            i = int(np.searchsorted(starts, b))  # those before i start before b
-            if a < b and (i == 0 or top[i - 1] <= a):
-                out.append(("literal", a, b))
+        out += [("literal", a, b) for a, b, _ in lexed(text)]
     return sorted(out, key=lambda s: (s[1], KINDS.index(s[0]), s[2]))
 
 
@@ -124,13 +101,13 @@ def secret_scan(docs: DataFrame, *, text: str = "text", keep: list[str] | None =
     """``docs`` with counts of the base kinds, ``base_sha256`` and ``spans``.
 
     Spans are ``kind:start:end`` in code points, end exclusive, by start and then
-    by kind.  The kind ``literal`` is the lexer's: a literal assigned to a
-    sensitively named target, or to a constant that such a target is assigned,
-    scored by name, length and entropy; it is added where no base span overlaps.
+    by kind.  The kind ``literal`` is the lexer's (``lexer.pairs``): a literal assigned
+    to a sensitively named target, or to a constant that such a target is assigned
+    in its scope, scored by name, length and entropy.  It may lie inside a base span, which stays.
 
     * Null text counts as empty: no spans, the digest of nothing.
     * Repeated rows are scanned alike; input columns named like a new one give way.
-    * Empty input: empty result.  Names start at word boundaries only, so a very long word is read once.
+    * Empty input: empty result.  Columns not named in ``keep`` aren't read.
     """
 
     def make(data: np.ndarray, off: np.ndarray) -> dict[str, object]:
