@@ -140,6 +140,9 @@ def test_shards(spark, documents, texts):
         b = texts[r.doc_id].encode()
         assert r.size == len(b) + 16 and r.text_crc32 == zlib.crc32(b)
     _check_shards(out, texts, 40)
+    groups = out.groupby("text_crc32")
+    whole = groups["size"].sum() <= out["size"].sum() / 40
+    assert groups.shard.nunique()[whole].max() == 1
     again = sharding.shard(documents.repartition(3), 40).toPandas().set_index("doc_id").loc[out.doc_id]
     assert (again.shard.to_numpy() == out.shard.to_numpy()).all()
 
@@ -150,6 +153,14 @@ def test_shards_of_one_hot_text(spark):
     assert len(out) == 6020
     _check_shards(out, None, 12)
     assert sharding.shard(docs.limit(0), 12).count() == 0
+    many = sharding.shard(_docs(spark, [f"t{i % 40} " * (i % 40 + 1) for i in range(2000)] + [f"own {i}" for i in range(2000)]), 10).toPandas()
+    assert many.groupby(["text_crc32", "size"]).shard.nunique().max() == 1  # no group is larger than a share
+    _check_shards(many, None, 10)
+    mixed = docs.repartition(6).withColumn("__n", F.rand()).sort("__n").drop("__n")
+    moved = sharding.shard(mixed, 12, carry=True).toPandas()
+    assert len(moved) == 6020 and moved.text.isna().sum() == 20 and (moved.text == "the same text").sum() == 3000
+    assert ((moved.text.fillna("").str.len() + 16) == moved["size"]).all()
+    _check_shards(moved, None, 12)
     carried = sharding.shard(docs.withColumn("shard", F.lit("x")), 3, carry=True)
     assert carried.count() == 6020 and "text" in carried.columns and carried.schema["shard"].dataType.simpleString() == "int"
 
