@@ -107,8 +107,7 @@ class _Digest:
         self.turns, self.loss = hashlib.sha256(), hashlib.sha256()
         self.n = self.loss_chars = self.chars = 0
 
-    def add(self, span: str, where: tuple[int, int]) -> None:
-        role, text = parse_turn(span)
+    def add(self, role: str, text: str, span: str, where: tuple[int, int]) -> None:
         self.n += 1
         self.chars += len(span)
         self.turns.update(f"{role}\n{text}\n".encode("utf-8", "surrogatepass"))
@@ -119,12 +118,12 @@ class _Digest:
 
 
 _FIELDS = [
-    ("n_turns", T.LongType()), ("turns_sha256", T.StringType()), ("loss_chars", T.LongType()),
+    ("rewrites", T.BooleanType()), ("n_turns", T.LongType()), ("turns_sha256", T.StringType()), ("loss_chars", T.LongType()),
     ("loss_sha256", T.StringType()), ("formatted_chars", T.LongType()),
 ]
 
 
-def format_conversations(turns: DataFrame, template: Template = default_template, turn_local: bool | None = None) -> DataFrame:
+def format_conversations(turns: DataFrame, template: Template = default_template, turn_local: bool | None = None, parse: Callable[[str], Turn] = parse_turn) -> DataFrame:
     """One row for each conversation, read back from its formatted output.
 
     Rows are dealt by conversation and sorted by turn, and each task streams
@@ -132,8 +131,11 @@ def format_conversations(turns: DataFrame, template: Template = default_template
     ``default_template`` is) it holds ``CONTEXT`` turns, never a whole
     conversation; for others it renders all prefixes, in memory and time that
     grow with the conversation and with its square.  A digest over a conversation
-    is sequential, so one conversation is one task's.
+    is sequential, so one conversation is one task's.  ``parse`` reads a turn's
+    role and text back from its span.
 
+    * A conversation whose rendering rewrites history: ``rewrites`` is true and all
+      else null; the others aren't touched by it.
     * Null text or role: empty.  Null turn: after the others.  Null conversation: one of its own.
     * Equal turn numbers: by role, then text, both by code point; repeated rows are repeated turns.
     * Other columns aren't read.  Empty input: empty result.
@@ -157,9 +159,13 @@ def format_conversations(turns: DataFrame, template: Template = default_template
         pack = lambda: pa.RecordBatch.from_arrays([pa.array([r[i] for r in out], arrow.field(i).type) for i in range(len(arrow))], schema=arrow)
         for conv, of in groupby(rows(), key=lambda r: r[0]):
             d = _Digest()
-            for _, span, where in turn_spans(((r, t) for _, r, t in of), template, context):
-                d.add(span, where)
-            out.append((conv, d.n, d.turns.hexdigest(), d.loss_chars, d.loss.hexdigest(), d.chars))
+            try:
+                for _, span, where in turn_spans(((r, t) for _, r, t in of), template, context):
+                    d.add(*parse(span), span, where)
+            except RewritesHistory:
+                out.append((conv, True, *[None] * 5))
+                continue
+            out.append((conv, False, d.n, d.turns.hexdigest(), d.loss_chars, d.loss.hexdigest(), d.chars))
             if len(out) >= 1000:
                 yield pack()
                 out.clear()

@@ -2,7 +2,6 @@
 
 from __future__ import annotations
 
-import heapq
 from collections.abc import Iterator
 
 import numpy as np
@@ -18,106 +17,132 @@ from haruspex.llm import wordgrid as wg
 MIN_MATCH = 5
 #: Share of an item's words that tiles must cover.
 COVERAGE = 0.5
-#: Items are broadcast in blocks of at most so many words; a larger benchmark takes several passes.
+#: Items are broadcast in blocks of at most so many words (a longer item by itself); a larger benchmark takes several passes.
 BLOCK_WORDS = 1_000_000
 
 
-def tiles(item: np.ndarray, doc: np.ndarray, seeds: list[tuple[int, int]], k: int) -> list[tuple[int, int, int]]:
+def _windows(words: np.ndarray, free: np.ndarray, n: int) -> tuple[np.ndarray, np.ndarray]:
+    """Karp-Rabin fingerprints of the free windows of ``n`` words, and where they start."""
+    if len(words) < n:
+        return np.zeros(0, np.uint64), np.zeros(0, np.int64)
+    up, down = wg.power_tables(len(words) + 1)
+    sums = np.zeros(len(words) + 1, np.uint64)
+    np.cumsum(words * up[: len(words)], out=sums[1:])
+    taken = np.zeros(len(words) + 1, np.int64)
+    np.cumsum(~free, out=taken[1:])
+    at = np.flatnonzero(taken[n:] == taken[:-n])
+    return (sums[at + n] - sums[at]) * down[at], at
+
+
+def _match(item: np.ndarray, doc: np.ndarray, free_i: np.ndarray, free_j: np.ndarray, n: int) -> tuple[int, int] | None:
+    """The leftmost free window of ``n`` words of the item that the document has free too, compared word by word."""
+    hi, at_i = _windows(item, free_i, n)
+    hj, at_j = _windows(doc, free_j, n)
+    if not len(hi) or not len(hj):
+        return None
+    order = np.argsort(hj, kind="stable")
+    lo = np.minimum(np.searchsorted(hj[order], hi), len(hj) - 1)
+    for x in np.flatnonzero(hj[order[lo]] == hi).tolist():
+        i, j = int(at_i[x]), int(at_j[order[lo[x]]])
+        if np.array_equal(item[i : i + n], doc[j : j + n]):
+            return i, j
+    return None
+
+
+def tiles(item: np.ndarray, doc: np.ndarray, k: int) -> list[tuple[int, int, int]]:
     """Greedy string tiling of word fingerprints: (item position, document position, length).
 
-    ``seeds`` are the pairs of positions at which ``k`` words agree.  Seeds on a
-    diagonal join into maximal matches; the longest match (then the leftmost) is
-    marked, what overlaps marked words is cut back to its free runs, and so on
-    until no free match of ``k`` words is left or the item is covered.
+    Running Karp-Rabin: the length of the longest match of unmarked words is
+    bisected with rolling fingerprints, matches of that length are marked from the
+    left, and so on with shorter ones, until none of ``k`` words is left or the
+    item is covered.  Memory grows with the two texts, not with their pairs of positions.
     """
-    heap: list[tuple[int, int, int]] = []
-    last: dict[int, list[int]] = {}
-    for i, j in sorted(seeds, key=lambda s: (s[1] - s[0], s[0])):
-        run = last.get(j - i)
-        if run and i <= run[1]:
-            run[1] = i + k
-        else:
-            if run:
-                heap.append((-(run[1] - run[0]), run[0], run[0] + j - i))
-            last[j - i] = [i, i + k]
-    heap += [(-(b - a), a, a + d) for d, (a, b) in last.items()]
-    heapq.heapify(heap)
-    free_i, free_j, left, out = np.ones(len(item), bool), {}, len(item), []
-    while heap and left:
-        n, i, j = heapq.heappop(heap)
-        n = -n
-        free = [bool(free_i[i + x]) and (j + x) not in free_j for x in range(n)]
-        if all(free):
-            free_i[i : i + n] = False
-            free_j.update(dict.fromkeys(range(j, j + n)))
-            left -= n
-            out.append((i, j, n))
-            continue
-        x = 0
-        while x < n:
-            y = x
-            while y < n and free[y]:
-                y += 1
-            if y - x >= k:
-                heapq.heappush(heap, (-(y - x), i + x, j + x))
-            x = y + 1
+    free_i, free_j, out = np.ones(len(item), bool), np.ones(len(doc), bool), []
+    top = min(len(item), len(doc))
+    while free_i.any() and top >= k:
+        low, best = k - 1, None
+        high = top
+        while low < high:
+            n = (low + high + 1) // 2
+            found = _match(item, doc, free_i, free_j, n)
+            if found:
+                low, best = n, found
+            else:
+                high = n - 1
+        if best is None:
+            break
+        top = low
+        while best:  # all of this length
+            i, j = best
+            free_i[i : i + top] = False
+            free_j[j : j + top] = False
+            out.append((i, j, top))
+            best = _match(item, doc, free_i, free_j, top)
+        top -= 1
     return out
 
 
 class Index:
-    """Seeds of a block of items: fingerprint -> (item, position)."""
+    """Seeds of a block of items: fingerprint -> items, with the number of times each has it."""
 
     def __init__(self, ids: list[int], texts: list[bytes], min_match: int):
         off = np.zeros(len(texts) + 1, np.int64)
         np.cumsum([len(t) for t in texts], out=off[1:])
         grid = wg.WordGrid(np.frombuffer(b"".join(texts), np.uint8), off, lower=True, separators=wg.PUNCT)
-        self.ids, self.k = ids, min_match
+        self.ids = ids
         self.words = [grid.hash[a:b] for a, b in zip(grid.first[:-1], grid.first[1:])]
         self.size = grid.counts
+        self.seeds: list[np.ndarray] = [np.zeros(0, np.uint64)] * len(ids)
         self.by_k: dict[int, tuple[np.ndarray, np.ndarray, np.ndarray]] = {}
         short = np.minimum(self.size, min_match)
         for k in sorted({int(x) for x in short if x}):
             g, at = grid.grams(k)
             item = grid.doc[at]
             on = short[item] == k
-            g, item, pos = g[on], item[on], (at - grid.first[grid.doc[at]])[on]
-            order = np.lexsort((pos, item, g))
-            self.by_k[k] = g[order], item[order], pos[order]
+            g, item = g[on], item[on]
+            for i in np.flatnonzero(short == k).tolist():
+                self.seeds[i] = g[item == i] if len(ids) < 64 else g[np.searchsorted(item, i) : np.searchsorted(item, i, "right")]
+            order = np.lexsort((item, g))
+            g, item = g[order], item[order]
+            first = np.flatnonzero(np.concatenate([[True], (g[1:] != g[:-1]) | (item[1:] != item[:-1])])) if len(g) else np.zeros(0, np.int64)
+            self.by_k[k] = g[first], item[first], np.diff(np.append(first, len(g)))
 
 
 def scan(index: Index, data: np.ndarray, off: np.ndarray, coverage: float) -> list[tuple[int, int, int, int, int]]:
-    """(document, item, matched words, tiles, item's words) of a chunk's pairs that reach the coverage."""
+    """(document, item, matched words, tiles, item's words) of a chunk's pairs that reach the coverage.
+
+    Seeds are joined document by document, each once.  Items whose words in seeds
+    can't reach the coverage are left out before tiling.
+    """
     grid = wg.WordGrid(data, off, lower=True, separators=wg.PUNCT)
     out = []
-    for k, (keys, items, poss) in index.by_k.items():
+    for k, (keys, items, times) in index.by_k.items():
         g, at = grid.grams(k)
         lo = np.searchsorted(keys, g)
         hit = lo < len(keys)
         hit[hit] = keys[lo[hit]] == g[hit]
         if not hit.any():
             continue
-        g, at, lo = g[hit], at[hit], lo[hit]
-        n = np.searchsorted(keys, g, "right") - lo
-        e = np.repeat(lo, n) + np.arange(n.sum()) - np.repeat(np.cumsum(n) - n, n)
-        item, pos, word = items[e], poss[e], np.repeat(at, n)
-        doc = grid.doc[word]
-        # an upper bound of the coverage: the item's words that lie in any seed
-        pair = doc * len(index.ids) + item
-        order = np.lexsort((pos, pair))
-        pair, pos, word = pair[order], pos[order], word[order]
-        cuts = np.flatnonzero(np.diff(pair, prepend=-1))
-        for a, b in zip(cuts, np.append(cuts[1:], len(pair))):
-            d, it = divmod(int(pair[a]), len(index.ids))
-            size = int(index.size[it])
-            p = pos[a:b]
-            gap = np.diff(p)
-            if (np.minimum(gap, k).sum() + k) < coverage * size:
-                continue
-            first = int(grid.first[d])
-            found = tiles(index.words[it], grid.hash[first : grid.first[d + 1]], list(zip(p.tolist(), (word[a:b] - first).tolist())), k)
-            matched = sum(t[2] for t in found)
-            if matched >= coverage * size:
-                out.append((d, it, matched, len(found), size))
+        g, doc = g[hit], grid.doc[at[hit]]
+        cuts = np.flatnonzero(np.diff(doc, prepend=-1))
+        for a, b in zip(cuts.tolist(), np.append(cuts[1:], len(doc)).tolist()):
+            d, own = int(doc[a]), np.unique(g[a:b])
+            lo = np.searchsorted(keys, own)
+            n = np.searchsorted(keys, own, "right") - lo
+            e = np.repeat(lo - (np.cumsum(n) - n), n) + np.arange(n.sum())
+            seeded = np.bincount(items[e], times[e], len(index.ids))
+            for it in np.flatnonzero((seeded > 0) & (seeded * k >= coverage * index.size)).tolist():
+                size = int(index.size[it])
+                cover = np.zeros(size + 1, np.int64)
+                begin = np.flatnonzero(np.isin(index.seeds[it], own))
+                cover[begin] += 1
+                cover[begin + k] -= 1
+                if (np.cumsum(cover) > 0).sum() < coverage * size:
+                    continue
+                found = tiles(index.words[it], grid.hash[grid.first[d] : grid.first[d + 1]], k)
+                matched = sum(t[2] for t in found)
+                if matched >= coverage * size:
+                    out.append((d, it, matched, len(found), size))
     return out
 
 
@@ -125,7 +150,7 @@ def _blocks(items: DataFrame, id_col: str, text_col: str, words: int) -> Iterato
     ids, texts, size = [], [], 0
     for r in items.select(id_col, F.coalesce(F.col(text_col), F.lit("")).alias("t")).orderBy(id_col).toLocalIterator():
         b = r["t"].encode()
-        n = len(b.split())
+        n = int(wg.WordGrid(np.frombuffer(b, np.uint8), np.array([0, len(b)]), separators=wg.PUNCT).counts[0])
         if ids and size + n > words:
             yield ids, texts
             ids, texts, size = [], [], 0
@@ -201,5 +226,9 @@ def op2_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def decontaminate_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Pipeline stage: the documents without benchmark passages."""
+    """Pipeline stage: the documents without benchmark passages.
+
+    Null or empty texts stay, repeated rows stay or go together, all columns are
+    carried along (one named ``__clean`` would give way).  Empty input or benchmark: the input.
+    """
     return drop_contaminated(docs, C.load(spark, sf_dir, "benchmark"))

@@ -45,7 +45,7 @@ def mix(x: np.ndarray) -> np.ndarray:
 _powers: list[np.ndarray] = []
 
 
-def _power_tables(n: int) -> list[np.ndarray]:
+def power_tables(n: int) -> list[np.ndarray]:
     """Powers of the base and of its inverse; the tables only ever grow."""
     if not _powers or len(_powers[0]) < n:
         up, down = np.full(1 << max(19, int(n).bit_length()), _U(_BASE)), np.full(1 << max(19, int(n).bit_length()), _U(_BASE_INV))
@@ -58,7 +58,7 @@ def span_hashes(data: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> np.nd
     """64-bit fingerprint of ``data[s:e]`` for each span; equal bytes agree anywhere."""
     if not len(starts):
         return np.zeros(0, np.uint64)
-    up, down = _power_tables(len(data) + 1)
+    up, down = power_tables(len(data) + 1)
     sums = np.zeros(len(data) + 1, np.uint64)
     np.cumsum((data.astype(np.uint64) + _U(1)) * up[: len(data)], out=sums[1:])
     raw = (sums[ends] - sums[starts]) * down[starts]

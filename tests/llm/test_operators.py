@@ -472,6 +472,14 @@ def test_templates_that_rewrite_history_are_detected():
             list(chat.turn_spans(iter([("user", "hello there"), ("assistant", "general"), ("user", "x")]), bad))
 
 
+def test_rewriting_is_reported_by_conversation(spark):
+    keeps_two = lambda ts: chat.default_template(ts[-2:] if len(ts) > 2 else ts)
+    rows = [(c, k, "user", f"t{k}") for c, n in ((1, 2), (2, 5), (3, 1)) for k in range(n)]
+    out = chat.format_conversations(spark.createDataFrame(rows, "conv_id long, turn long, role string, text string"), keeps_two).toPandas().set_index("conv_id")
+    assert out.rewrites.to_dict() == {1: False, 2: True, 3: False}
+    assert np.isnan(out.loc[2].n_turns) and out.loc[1].n_turns == 2
+
+
 def test_long_conversations_are_rendered_from_their_start():
     turns = [("system", "s")] + [(("user", "assistant")[k % 2], f"t{k}") for k in range(149)]
     numbered = lambda ts: "".join(f"[{k}]{r}:{t}|" for k, (r, t) in enumerate(ts))
@@ -518,14 +526,24 @@ def test_tiling_covers_as_brute_force():
     for _ in range(40):
         item = [rng.choice("abcdef") for _ in range(rng.randint(5, 18))]
         doc = [rng.choice("abcdef") for _ in range(10)] + item[9:] + [rng.choice("xyz")] + item[:9] + item[3:8]
-        h = lambda ws: np.array([hash(w) & 0xFFFF for w in ws])
-        seeds = [(i, j) for i in range(len(item) - 2) for j in range(len(doc) - 2) if item[i : i + 3] == doc[j : j + 3]]
-        tiles = decontaminate.tiles(h(item), h(doc), seeds, 3)
+        h = lambda ws: np.array([zlib.crc32(w.encode()) for w in ws], np.uint64)
+        tiles = decontaminate.tiles(h(item), h(doc), 3)
         assert sum(n for *_, n in tiles) >= _brute_cover(item, doc, 3) - 3  # ties may part runs differently
         used = [x for i, _, n in tiles for x in range(i, i + n)], [x for _, j, n in tiles for x in range(j, j + n)]
         assert all(len(u) == len(set(u)) for u in used) and all(item[i : i + n] == doc[j : j + n] for i, j, n in tiles)
 
 
+def test_tiling_of_repeated_words_is_bounded():
+    import tracemalloc
+
+    item, doc = ("word " * 200).encode(), ("word " * 20_000).encode()
+    index = decontaminate.Index([1, 2], [item, b"other " * 10 + item], 5)
+    tracemalloc.start()
+    found = decontaminate.scan(index, np.frombuffer(doc, np.uint8), np.array([0, len(doc)]), 0.5)
+    assert [f[:3] for f in found] == [(0, 0, 200), (0, 1, 200)] and tracemalloc.get_traced_memory()[1] < 100 << 20
+    tracemalloc.stop()
+
+
 def test_contaminated(spark):
     words = [f"w{i}" for i in range(400)]
     item = words[:30]
