@@ -84,99 +84,160 @@ def _texts(table: pa.Table) -> Iterator[tuple[np.ndarray, np.ndarray, np.ndarray
         yield np.frombuffer(ids, np.int64), np.frombuffer(raw, np.uint8), off
 
 
-def _probe(docs: DataFrame, buckets: np.ndarray, id_col: str, text_col: str) -> DataFrame:
+class _Extremes:
+    """Collects (key, id, whether it counts for the least) and sends, of each key, the rows of the least and of the largest id.
+
+    A flush sends two rows for a key at most, so a key's bucket gets a number of
+    rows that depends on the tasks, not on the documents that have it.
+    """
+
+    def __init__(self, pack) -> None:
+        self.pack = pack
+        self.held: list[tuple[np.ndarray, np.ndarray, np.ndarray]] = []
+        self.n = 0
+
+    def add(self, key: np.ndarray, ids: np.ndarray, ref: np.ndarray) -> Iterator[pa.RecordBatch]:
+        self.held.append((key, ids, ref))
+        self.n += len(key)
+        if self.n >= P.FLUSH:
+            yield from self.flush()
+
+    def flush(self) -> Iterator[pa.RecordBatch]:
+        if self.n:
+            key, ids, ref = (np.concatenate(x) for x in zip(*self.held))
+            self.held, self.n = [], 0
+            key, least, most = _extremes(key, ids, ref)
+            some, other = least != P.NULL_ID, most != least
+            yield self.pack(np.concatenate([key[some], key[other]]), np.concatenate([least[some], most[other]]), np.concatenate([np.ones(some.sum(), bool), np.zeros(other.sum(), bool)]))
+            # a null id that counts is the largest, too
+            null = ~some & (most == P.NULL_ID)
+            if null.any():
+                yield self.pack(key[null], most[null], np.zeros(null.sum(), bool))
+
+
+def _extremes(key: np.ndarray, ids: np.ndarray, ref: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Distinct keys, the least id of their rows that count (or NULL_ID), and the largest of all."""
+    order = np.argsort(key, kind="stable")
+    key, ids, ref = key[order], ids[order], ref[order]
+    first = np.flatnonzero(np.concatenate([[True], key[1:] != key[:-1]])) if len(key) else np.zeros(0, np.int64)
+    if not len(first):
+        return key, ids, ids
+    return key[first], np.minimum.reduceat(np.where(ref, ids, P.NULL_ID), first), np.maximum.reduceat(ids, first)
+
+
+def _answers(key: np.ndarray, ids: np.ndarray, ref: np.ndarray, buckets: np.ndarray, both: bool) -> Iterator[pa.RecordBatch]:
+    """To each bucket of texts that asked for a key that a smaller and a larger id have: the least id, and if ``both`` also the largest (by the key's last bit)."""
+    one, least, most = _extremes(key, ids, ref)
+    if not len(one):
+        return
+    at = np.searchsorted(one, key)
+    on = least[at] < most[at]
+    key, at, to = key[on], at[on], _id_bucket(ids[on], buckets)
+    order = np.lexsort((key, to))
+    key, at, to = key[order], at[order], to[order]
+    new = np.ones(len(key), bool)
+    new[1:] = (key[1:] != key[:-1]) | (to[1:] != to[:-1])
+    key, at, to = key[new], at[new], to[new]
+    if len(key):
+        yield P.pack(to, least[at], key)
+        if both:
+            yield P.pack(to, most[at], key | np.uint64(1))
+
+
+class _Lookup:
+    """Ids by key."""
+
+    def __init__(self, rows: pa.Table):
+        _, ids, key = P.unpack(rows.to_batches(), np.uint64)
+        order = np.argsort(key)
+        self.key, self.ids = key[order], ids[order]
+
+    def of(self, key: np.ndarray, missing: int) -> np.ndarray:
+        if not len(self.key):
+            return np.full(len(key), missing, np.int64)
+        at = np.minimum(np.searchsorted(self.key, key), len(self.key) - 1)
+        return np.where(self.key[at] == key, self.ids[at], missing)
+
+
+def _blocks(grid: wg.WordGrid, buckets: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Key, start and whether it is a reference block, of every rolling block of the documents that have a window."""
+    g, at = grid.grams(BLOCK)
+    doc = grid.doc[at]
+    on = grid.counts[doc] >= WINDOW
+    g, at, doc = g[on], at[on], doc[on]
+    position = at - grid.first[doc]
+    bucket, value = _anchors(g, position, buckets)
+    return bucket.astype(np.uint64) << np.uint64(32) | (value & np.uint32(0xFFFFFFFE)).astype(np.uint64), at, position % BLOCK == 0
+
+
+def _probe(texts: DataFrame, buckets: np.ndarray) -> DataFrame:
     """Fingerprints of every rolling block; those at multiples of BLOCK are the index."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        out = P.Packer()
+        out = _Extremes(lambda key, ids, ref: P.pack((key >> np.uint64(32)).astype(np.int32), ids, key.astype(np.uint32) | ref.astype(np.uint32)))
         for batch in batches:
-            ids = _ids(batch, "id")
-            for a, b, data, off in wg.chunks(batch, "text"):
-                grid = wg.WordGrid(data, off)
-                g, at = grid.grams(BLOCK)
-                doc = grid.doc[at]
-                on = grid.counts[doc] >= WINDOW
-                g, at, doc = g[on], at[on], doc[on]
-                bucket, value = _anchors(g, at - grid.first[doc], buckets)
-                yield from out.add(bucket, ids[a:b][doc], value)
+            for ids, data, off in _texts(batch):
+                for a, b in _runs(off):
+                    grid = wg.WordGrid(data[off[a] : off[b]], off[a : b + 1] - off[a])
+                    key, at, ref = _blocks(grid, buckets)
+                    yield from out.add(key, ids[a:b][grid.doc[at]], ref)
         yield from out.flush()
 
-    return docs.select(F.col(id_col).alias("id"), F.col(text_col).cast("binary").alias("text")).mapInArrow(run, P.SCHEMA)
+    return texts.mapInArrow(run, P.SCHEMA)
 
 
 def _hits(probes: DataFrame, buckets: np.ndarray) -> DataFrame:
-    """For each document: the blocks that it shares with the index of another, or of its index with another's windows."""
+    """To each bucket of texts: its blocks that a reference block of a smaller id and a block of a larger one agree with."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         bucket, ids, value = P.unpack(batches, np.uint32)
-        if not len(ids):
-            return
-        key = bucket.astype(np.uint64) << np.uint64(32) | (value >> np.uint32(1)).astype(np.uint64) << np.uint64(1)
-        order = np.argsort(key)
-        key, ids, ref = key[order], ids[order], (value[order] & np.uint32(1)).astype(bool)
-        first = np.flatnonzero(np.concatenate([[True], key[1:] != key[:-1]]))
-        least = np.minimum.reduceat(np.where(ref, ids, P.NULL_ID), first)
-        most = np.maximum.reduceat(ids, first)
-        run_of = np.repeat(np.arange(len(first)), np.diff(np.append(first, len(key))))
-        hit = (least[run_of] < ids) | (ref & (most[run_of] > ids))
-        key, ids = key[hit], ids[hit]
-        # one of each (document, block); the block's full value goes back
-        order = np.lexsort((key, ids))
-        key, ids = key[order], ids[order]
-        one = np.concatenate([[True], (key[1:] != key[:-1]) | (ids[1:] != ids[:-1])]) if len(ids) else np.zeros(0, bool)
-        yield P.pack(_id_bucket(ids[one], buckets), ids[one], key[one])
+        key = bucket.astype(np.uint64) << np.uint64(32) | (value & np.uint32(0xFFFFFFFE)).astype(np.uint64)
+        yield from _answers(key, ids, (value & np.uint32(1)).astype(bool), buckets, True)
 
     return probes.mapInArrow(run, P.SCHEMA)
 
 
-class _Lookup:
-    """Values by id: which of (id, value) are there, by one search in a sorted array."""
-
-    def __init__(self, rows: pa.Table):
-        _, ids, vals = P.unpack(rows.to_batches(), np.uint64)
-        self.heads = np.unique(ids)
-        self.known = np.sort(self._mixed(ids, vals))
-
-    @staticmethod
-    def _mixed(ids: np.ndarray, vals: np.ndarray) -> np.ndarray:
-        return wg.mix(vals + wg.mix(ids.astype(np.uint64)))
-
-    def holds(self, ids: np.ndarray, vals: np.ndarray) -> np.ndarray:
-        want = self._mixed(ids, vals)
-        if not len(self.known):
-            return np.zeros(len(want), bool)
-        at = np.searchsorted(self.known, want)
-        at[at == len(self.known)] = 0
-        return self.known[at] == want
-
-
 def _windows(texts: DataFrame, hits: DataFrame, buckets: np.ndarray) -> DataFrame:
     """Fingerprints of the windows around the hits."""
 
     def run(key, left: pa.Table, right: pa.Table) -> pa.Table:
-        out = P.Packer()
+        bucket_of = lambda w: buckets[(w % np.uint64(len(buckets))).astype(np.int64)]
+        out = _Extremes(lambda w, ids, ref: P.pack(bucket_of(w), ids, w))
         made = []
         if right.num_rows:
             lookup = _Lookup(right)
-            for ids, data, off in _pieces(left, lookup.heads):
-                grid = wg.WordGrid(data, off)
-                g, at = grid.grams(BLOCK)
-                bucket, value = _anchors(g, np.ones(len(g), np.int64), buckets)
-                k = bucket.astype(np.uint64) << np.uint64(32) | (value >> np.uint32(1)).astype(np.uint64) << np.uint64(1)
-                hit = np.zeros(len(grid.start) + 1, np.int64)
-                hit[at] = lookup.holds(ids[grid.doc[at]], k)
-                seen = np.concatenate([[0], np.cumsum(hit)])
-                w, start = grid.grams(WINDOW)
-                # a block of the window is a hit
-                on = seen[start + WINDOW - BLOCK + 1] > seen[start]
-                w, start = w[on], start[on]
-                made += out.add(buckets[(w % np.uint64(len(buckets))).astype(np.int64)], ids[grid.doc[start]], w)
+            for ids, data, off in _texts(left):
+                for a, b in _runs(off):
+                    grid = wg.WordGrid(data[off[a] : off[b]], off[a : b + 1] - off[a])
+                    key, at, ref = _blocks(grid, buckets)
+                    own = ids[a:b][grid.doc[at]]
+                    found = (lookup.of(key, int(P.NULL_ID)) < own) | (ref & (lookup.of(key | np.uint64(1), -int(P.NULL_ID) - 1) > own))
+                    if not found.any():
+                        continue
+                    hit = np.zeros(len(grid.start) + 1, np.int64)
+                    hit[at] = found
+                    seen = np.concatenate([[0], np.cumsum(hit)])
+                    w, start = grid.grams(WINDOW)
+                    # a block of the window is a hit
+                    on = seen[start + WINDOW - BLOCK + 1] > seen[start]
+                    w, start = w[on], start[on]
+                    made += out.add(w, ids[a:b][grid.doc[start]], np.ones(len(w), bool))
         made += out.flush()
         return pa.Table.from_batches(made, schema=P.ARROW)
 
     return texts.groupBy("bucket").cogroup(hits.groupBy("bucket")).applyInArrow(run, P.SCHEMA)
 
 
+def _later(windows: DataFrame, buckets: np.ndarray) -> DataFrame:
+    """To each bucket of texts: its windows that several documents have, with the smallest id."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        _, ids, w = P.unpack(batches, np.uint64)
+        yield from _answers(w, ids, np.ones(len(w), bool), buckets, False)
+
+    return windows.mapInArrow(run, P.SCHEMA)
+
+
 def _runs(off: np.ndarray) -> Iterator[tuple[int, int]]:
     """Documents a to b of a chunk's bytes at a time; a longer one by itself."""
     a = 0
@@ -186,42 +247,6 @@ def _runs(off: np.ndarray) -> Iterator[tuple[int, int]]:
         a = b
 
 
-def _pieces(table: pa.Table, wanted: np.ndarray) -> Iterator[tuple[np.ndarray, np.ndarray, np.ndarray]]:
-    """The wanted documents of packed rows, a chunk at a time."""
-    for ids, data, off in _texts(table):
-        picks = np.flatnonzero(np.isin(ids, wanted))
-        i = 0
-        while i < len(picks):
-            j, size = i, 0
-            while j < len(picks) and (j == i or size + off[picks[j] + 1] - off[picks[j]] <= wg.CHUNK_BYTES):
-                size += off[picks[j] + 1] - off[picks[j]]
-                j += 1
-            own = picks[i:j]
-            part = np.concatenate([data[off[p] : off[p + 1]] for p in own])
-            o = np.zeros(len(own) + 1, np.int64)
-            np.cumsum([off[p + 1] - off[p] for p in own], out=o[1:])
-            yield ids[own], part, o
-            i = j
-
-
-def _later(windows: DataFrame, buckets: np.ndarray) -> DataFrame:
-    """For each document: its windows that a document with a smaller id has too."""
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        _, ids, w = P.unpack(batches, np.uint64)
-        if not len(ids):
-            return
-        order = np.lexsort((ids, w))
-        w, ids = w[order], ids[order]
-        first = np.flatnonzero(np.concatenate([[True], w[1:] != w[:-1]]))
-        least = np.repeat(ids[first], np.diff(np.append(first, len(w))))
-        on = ids > least
-        on[1:] &= (w[1:] != w[:-1]) | (ids[1:] != ids[:-1])
-        yield P.pack(_id_bucket(ids[on], buckets), ids[on], w[on])
-
-    return windows.mapInArrow(run, P.SCHEMA)
-
-
 def _strip(texts: DataFrame, later: DataFrame, id_field: T.StructField, kept_text: bool) -> DataFrame:
     fields = [id_field, T.StructField("n_words", T.LongType()), T.StructField("n_removed", T.LongType()), T.StructField("kept_sha256", T.StringType())]
     schema = T.StructType(fields + [T.StructField("kept_text", T.StringType())] * kept_text)
@@ -235,18 +260,18 @@ def _strip(texts: DataFrame, later: DataFrame, id_field: T.StructField, kept_tex
             raw = data.tobytes()
             for a, b in _runs(off):
                 stay, first = None, None
-                if (touched := np.isin(ids[a:b], lookup.heads)).any():
+                if len(lookup.key):
                     grid = wg.WordGrid(data[off[a] : off[b]], off[a : b + 1] - off[a])
                     w, start = grid.grams(WINDOW)
-                    begin = start[lookup.holds(ids[a:b][grid.doc[start]], w)]
+                    begin = start[lookup.of(w, int(P.NULL_ID)) < ids[a:b][grid.doc[start]]]
                     cover = np.zeros(len(grid.start) + 1, np.int64)
-                    np.add.at(cover, begin, 1)
-                    np.add.at(cover, begin + WINDOW, -1)
+                    cover[begin] += 1
+                    cover[begin + WINDOW] -= 1
                     stay, first = np.cumsum(cover[:-1]) == 0, grid.first
                 for k in range(a, b):
                     words, gone = raw[off[k] : off[k + 1]].split(), 0
                     n = len(words)
-                    if touched[k - a]:
+                    if stay is not None:
                         own = stay[first[k - a] : first[k - a + 1]]
                         gone = n - int(own.sum())
                         if gone:
@@ -265,22 +290,25 @@ def remove_repeats(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "
 
     1. Non-overlapping blocks of 7 words, from a document's start on, are its
        reference blocks.  Every rolling block of every document probes them: both
-       go, as 32-bit values in buckets of further bits, to the bucket's task, which
-       answers each document with the blocks that hit.  Any common window of 13
-       words holds a whole reference block of the document with the smaller id.
+       go, as 32-bit values in buckets of further bits, to the bucket's task.  Texts
+       lie in buckets too, and a task sends only the least and the largest id that
+       has a block; the answer, least reference and largest probe, goes back to the
+       bucket of texts, which finds the hits.  Any common window of 13 words holds a
+       whole reference block of the document with the smaller id.
     2. Around a hit, both documents' windows of 13 words are candidates; their
        64-bit fingerprints are compared, and adjoining windows that agree make up
        the maximal exact repeat.
     3. A window is removed if the smallest id that has it is smaller than the
        document's own; the words that removed windows cover go.
 
-    What is shuffled grows with the words, not with pairs of copies: a block or
-    window that many documents share is one run of a sorted bucket.  Two different
-    windows would be taken for equal with probability 2**-64.
+    What is shuffled grows with the words, not with pairs of copies, and what a
+    block's or window's task gets grows with the tasks that send, not with the
+    documents that share it.  Two different windows would be taken for equal with
+    probability 2**-64.
 
     Returns ``id, n_words, n_removed, kept_sha256`` (and ``kept_text``).
 
-    * Null text: no words.  Null id: larger than all others; null ids aren't smaller than each other.
+    * Ids are whole numbers.  Null text: no words.  Null id: larger than all others; null ids aren't smaller than each other.
     * Rows with the same id are each judged, but not against each other.
     * Fewer than 13 words: nothing is removed.  Other columns aren't read.
     * Empty input: empty result.
@@ -288,8 +316,8 @@ def remove_repeats(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "
     C.small_batches(docs.sparkSession)
     n = P.n_partitions(docs.sparkSession, P.text_bytes(docs, text_col))
     buckets = P.labels(docs, n)
-    texts = P.dealt(pack_texts(docs, buckets, id_col, text_col), n)  # read twice; the exchange is reused
-    hits = P.dealt(_hits(P.dealt(_probe(docs, buckets, id_col, text_col), n), buckets), n)
+    texts = P.dealt(pack_texts(docs, buckets, id_col, text_col), n)  # read three times; the exchange is reused
+    hits = P.dealt(_hits(P.dealt(_probe(texts, buckets), n), buckets), n)
     later = P.dealt(_later(P.dealt(_windows(texts, hits, buckets), n), buckets), n)
     return _strip(texts, later, T.StructField(id_col, T.LongType()), kept_text)
 
