@@ -7,11 +7,11 @@ last return the columns of ``documents``; the last adds shard and slot.
 
 from __future__ import annotations
 
-import tempfile
 import uuid
 
 from pyspark.sql import DataFrame, SparkSession
 
+from haruspex.llm.common import shared_folder
 from haruspex.llm.decontaminate import decontaminate_stage
 from haruspex.llm.jaccard import near_stage
 from haruspex.llm.mixing import mix_stage
@@ -30,14 +30,9 @@ STAGES = [
 ORACLE_SQL = None
 
 
-def _folder(spark: SparkSession) -> str:
-    """The folder that executors share; a temporary one only where none is set, as in tests."""
-    return f"{spark.conf.get('spark.checkpoint.dir', None) or tempfile.mkdtemp(prefix='pipeline-')}/pipeline-{uuid.uuid4().hex}"
-
-
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The rows of the last stage, over all ``documents``."""
-    docs, folder = spark.read.parquet(f"{sf_dir}/documents.parquet"), _folder(spark)
+    docs, folder = spark.read.parquet(f"{sf_dir}/documents.parquet"), f"{shared_folder(spark)}/pipeline-{uuid.uuid4().hex}"
     for k, (_, stage) in enumerate(STAGES):
         stage(spark, docs, sf_dir).write.parquet(f"{folder}/{k}")
         docs = spark.read.parquet(f"{folder}/{k}")
