@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import gc
 import re
 import tempfile
 from collections.abc import Callable, Iterator
@@ -55,6 +56,16 @@ def shared_folder(spark: SparkSession) -> str:
     return tempfile.mkdtemp(prefix="checkpoint-")
 
 
+def release(spark: SparkSession) -> None:
+    """Lets the driver drop what is no longer referred to.
+
+    Spark removes shuffles, broadcasts and checkpoints once the objects that stand
+    for them are collected; between the steps of an iteration that is worth asking for.
+    """
+    gc.collect()
+    spark._jvm.java.lang.System.gc()
+
+
 def bitmap(positions: DataFrame, bits: int) -> np.ndarray:
     """``2 ** bits`` bits, eight to a byte from the lowest, with those of the column ``p`` set; the executors make it up by pieces."""
     size = 1 << bits
@@ -92,6 +103,15 @@ def word_count(text) -> F.Column:
     return F.coalesce(F.regexp_count(text, F.lit(WORD)).cast("long"), F.lit(0).cast("long"))
 
 
+def counted(df: DataFrame, name: str, text: str, keep: list[str]) -> DataFrame:
+    """``df``'s columns ``keep`` and the number of words of its text."""
+
+    def make(data: np.ndarray, off: np.ndarray) -> dict[str, object]:
+        return {name: wg.WordGrid(data, off).counts.astype(np.int64)}
+
+    return arrow_append(df, make, [T.StructField(name, T.LongType())], text, keep=keep)
+
+
 def arrow_append(
     df: DataFrame,
     fn: Callable[[np.ndarray, np.ndarray], dict[str, object]],

@@ -41,4 +41,5 @@ def components(edges: DataFrame) -> DataFrame:
         mark = seen
     else:
         raise RuntimeError("components didn't settle")
+    C.release(edges.sparkSession)
     return now.select(F.col("b").alias("node"), F.col("a").alias("root")).unionByName(now.select(F.col("a").alias("node"), F.col("a").alias("root")).distinct())

@@ -168,7 +168,10 @@ def _fit(idx: np.ndarray, val: np.ndarray, row: np.ndarray, y: np.ndarray, fit:
     """Weights and, last, the bias; full-batch Adam, classes of equal weight."""
     on = fit[row]
     fi, fv, fr = idx[on], val[on], row[on]
-    known, fi = np.unique(fi, return_inverse=True)
+    known = np.flatnonzero(np.bincount(fi, minlength=FAMILIES << BITS))
+    place = np.zeros(FAMILIES << BITS, np.int32)
+    place[known] = np.arange(len(known))
+    fi = place[fi]
     share = np.where(y == 1, 0.5 / max(1, (y[fit] == 1).sum()), 0.5 / max(1, (y[fit] == 0).sum())) * fit
     size = len(known)
     w, b = np.zeros(size), 0.0

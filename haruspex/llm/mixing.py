@@ -82,9 +82,11 @@ def _mix(docs, cycle, share, cap, seed, size, id_col, source_col, text_col, carr
         *([F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("__row")] if carry else []),
         F.col(id_col).alias("__id"),
         F.col(source_col).cast("string").alias("__source"),
-        (C.word_count(F.col(text_col)) if size is None else size).alias("__size"),
         u.alias("__u"),
+        *([F.col(text_col).alias("__words")] if size is None else [size.alias("__size")]),
     )
+    if size is None:
+        full = C.counted(full, "__size", "__words", [c for c in full.columns if c != "__words"])
     narrow = C.cut(full.drop("__row"))
     bin_ = F.when(F.col("__size") > 0, F.floor(F.log2(F.col("__size").cast("double")) * FINE)).otherwise(-1).cast("int")
     bins = C.cut(narrow.groupBy("__source", bin_.alias("__bin")).agg(F.sum("__size").alias("words"), F.count(F.lit(1)).alias("n")))
