@@ -8,28 +8,35 @@ from pyspark.sql import functions as F
 
 from haruspex.functions.special import normal_ppf
 
-#: Ranges that a global order is dealt to; sums of a range are at most one row each on the driver.
-RANGES = 256
+
+def settled(df: DataFrame) -> DataFrame:
+    """``df`` computed once: checkpointed where the session names a shared folder, else kept by the executors."""
+    sc = df.sparkSession.sparkContext
+    folder = df.sparkSession.conf.get("spark.checkpoint.dir", None)
+    if folder and sc._jsc.sc().getCheckpointDir().isEmpty():
+        sc.setCheckpointDir(folder)
+    return df.persist() if sc._jsc.sc().getCheckpointDir().isEmpty() else df.checkpoint()
 
 
 def ordered(df: DataFrame, keys: list[str], rank: str = "rank") -> DataFrame:
     """``df`` with its 1-based rank in a global order, without gathering it in one task.
 
-    Rows are range-partitioned by the keys, counted by partition, and ranked
-    inside their partition; the counts before a partition are added.  Keys should
-    end in a unique column.
+    Rows are range-partitioned by the keys and sorted inside their partition; a
+    row's place there (the low bits of its monotonic id) and the counts of the
+    partitions before it make up its rank, so there is one exchange.  Keys should
+    end in a unique column, or equal ones share a partition.
     """
-    ranged = df.repartitionByRange(*[F.col(k) for k in keys]).sortWithinPartitions(*keys).withColumn("__p", F.spark_partition_id())
-    ranged = ranged.persist()
-    counts = {r[0]: r[1] for r in ranged.groupBy("__p").count().collect()}
+    ranged = df.repartitionByRange(*[F.col(k) for k in keys]).sortWithinPartitions(*keys).withColumn("__at", F.monotonically_increasing_id())
+    ranged = settled(ranged)
+    part, place = F.shiftright("__at", 33).cast("int"), F.col("__at").bitwiseAND((1 << 33) - 1) + 1
     rows, before = [], 0
-    for p in sorted(counts):
-        rows.append((p, before))
-        before += counts[p]
+    for r in sorted(ranged.groupBy(part.alias("p")).count().collect()):
+        rows.append((r[0], before))
+        before += r[1]
+    # one row for each partition
     starts = df.sparkSession.createDataFrame(rows or [(0, 0)], "__q int, __before long")
-    inside = W.partitionBy("__p").orderBy(*keys)
-    out = ranged.withColumn("__r", F.row_number().over(inside)).join(F.broadcast(starts), F.col("__p") == F.col("__q"))
-    return out.withColumn(rank, F.col("__before") + F.col("__r")).drop("__p", "__q", "__before", "__r")
+    out = ranged.join(F.broadcast(starts), part == F.col("__q"))
+    return out.withColumn(rank, F.col("__before") + place).drop("__at", "__q", "__before")
 
 
 def moments_panel(df: DataFrame, value: str, by: list[str], order: str | None = None) -> DataFrame:
@@ -75,7 +82,8 @@ def mquantiles(df: DataFrame, value: str, probs: list[float], by: list[str] = ()
         ranked = src.select(*keys, value).withColumn("rank", F.row_number().over(W.partitionBy(*keys).orderBy(value))).withColumn("__n", F.count(F.lit(1)).over(W.partitionBy(*keys)))
     else:
         src = src.select(value)
-        ranked = ordered(src, [value]).withColumn("__n", F.lit(src.count()))
+        # equal values may have any order, and must not share a range
+        ranked = ordered(src.withColumn("__t", F.monotonically_increasing_id()), [value, "__t"]).drop("__t").withColumn("__n", F.lit(src.count()))
     aggs = []
     for i, p in enumerate(probs):
         pos = F.col("__n") * F.lit(p) + F.lit(alpha + p * (1 - alpha - beta))

@@ -62,15 +62,13 @@ def christoffel_weight(basis: Basis, active: list[int] | None = None) -> Column:
     return F.lit(float(len(terms))) / sum((t * t for t in terms), F.lit(0.0))
 
 
-def _matrix(df: DataFrame, basis: Basis, xs: list[str], y: str, weight: str | None, order: str | None) -> tuple[np.ndarray, np.ndarray]:
-    """A training design, a few hundred evaluated rows, on the driver."""
-    rows = df.select(*xs, F.col(y).alias("__y"), *([F.col(weight).alias("__w")] if weight else []), *([F.col(order).alias("__o")] if order else []))
-    pdf = (rows.orderBy("__o") if order else rows.orderBy(*xs)).toPandas()
-    X, t = basis.vandermonde(pdf[xs].to_numpy(float).T), pdf["__y"].to_numpy(float)
-    if weight:
-        root = np.sqrt(pdf["__w"].to_numpy(float))
-        X, t = X * root[:, None], t * root
-    return X, t
+def _folded(df: DataFrame, basis: Basis, xs: list[str], y: str, weight: str | None, n_folds: int, seed: int) -> list[linalg.Moments]:
+    """Sums of products of the basis terms and y, by folds that a hash of the coordinates tells: one pass, nothing collected but them."""
+    names = [f"__t{k}" for k in range(basis.size)]
+    fold = F.pmod(F.xxhash64(*xs, F.lit(seed)), F.lit(n_folds))
+    made = basis.with_powers(df.withColumn("__f", fold), xs)
+    made = made.select("__f", *[t.alias(n) for n, t in zip(names, basis.terms())], F.col(y).cast("double").alias("__y"), *([F.col(weight).alias("__w")] if weight else []))
+    return linalg.fold_moments(made, names, "__y", F.col("__f"), n_folds, "__w" if weight else None)
 
 
 def fit_ols(df: DataFrame, basis: Basis, xs: list[str], y: str, weight: str | None = None, active: list[int] | None = None) -> Surrogate:
@@ -81,14 +79,14 @@ def fit_ols(df: DataFrame, basis: Basis, xs: list[str], y: str, weight: str | No
     return Surrogate(basis, tuple(idx), tuple(linalg.solve_ols(G, b).tolist()))
 
 
-def fit_lars(df: DataFrame, basis: Basis, xs: list[str], y: str, weight: str | None = None, n_folds: int = 5, seed: int = 0, order: str | None = None) -> Surrogate:
-    """Least angle path with a cross-validated prefix, then least squares on it."""
-    fit = linalg.fit_path(*_matrix(df, basis, xs, y, weight, order), n_folds=n_folds, seed=seed)
+def fit_lars(df: DataFrame, basis: Basis, xs: list[str], y: str, weight: str | None = None, n_folds: int = 5, seed: int = 0) -> Surrogate:
+    """Least angle path with a cross-validated prefix, then least squares on it; equal points are in one fold."""
+    fit = linalg.sparse_fit(_folded(df, basis, xs, y, weight, n_folds, seed))
     return Surrogate(basis, tuple(fit.selected), tuple(fit.coefficients.tolist()), fit.cv_error)
 
 
-def fit_lasso(df: DataFrame, basis: Basis, xs: list[str], y: str, weight: str | None = None, n_folds: int = 5, seed: int = 0, order: str | None = None) -> Surrogate:
-    fit = linalg.lasso_path_cv(*_matrix(df, basis, xs, y, weight, order), n_folds=n_folds, seed=seed)
+def fit_lasso(df: DataFrame, basis: Basis, xs: list[str], y: str, weight: str | None = None, n_folds: int = 5, seed: int = 0) -> Surrogate:
+    fit = linalg.lasso_fit(_folded(df, basis, xs, y, weight, n_folds, seed))
     return Surrogate(basis, tuple(fit.selected), tuple(fit.coefficients.tolist()), fit.cv_error)
 
 
@@ -100,12 +98,13 @@ def fit_quadrature(nodes: DataFrame, basis: Basis, xs: list[str], y: str, w: str
 
 
 def mallows_cp(df: DataFrame, basis: Basis, xs: list[str], y: str) -> list[float]:
-    """Mallows' Cp of every prefix of the least angle path."""
-    X, t = _matrix(df, basis, xs, y, None, None)
-    path = linalg.lars_path(X, t)
-    sse = lambda cols: float(((t - X[:, cols] @ np.linalg.lstsq(X[:, cols], t, rcond=None)[0]) ** 2).sum())
-    s2 = sse(path) / max(1, len(t) - len(path))
-    return [sse(path[:k]) / s2 - len(t) + 2 * k if s2 else float(k) for k in range(1, len(path) + 1)]
+    """Mallows' Cp of every prefix of the least angle path, from one reduction."""
+    (all_,) = _folded(df, basis, xs, y, None, 1, 0)
+    G, b, yy = all_.shifted(np.zeros(basis.size + 1), np.ones(basis.size + 1))
+    path, n = linalg.lars_order(G, b, all_.n), all_.n
+    sse = lambda cols: max(0.0, float(yy - b[cols] @ linalg.solve_ols(G[np.ix_(cols, cols)], b[cols])))
+    s2 = sse(path) / max(1, n - len(path))
+    return [sse(path[:k]) / s2 - n + 2 * k if s2 else float(k) for k in range(1, len(path) + 1)]
 
 
 def mixture_predict(df: DataFrame, models: list[Surrogate], xs: list[str], id_col: str, seed: int = 0, name: str = "y_hat") -> DataFrame:

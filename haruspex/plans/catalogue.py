@@ -469,6 +469,20 @@ def q_s_score_pick(spark, sf_dir):
     return spark.createDataFrame([(p,) for p in picks], "global_id long")
 
 
+@_query(
+    f"WITH {_PART}, one AS (SELECT * FROM p ORDER BY a*a + b*b DESC, global_id LIMIT 1), "
+    "two AS (SELECT p.* FROM p, one WHERE p.global_id <> one.global_id ORDER BY p.a*p.a + p.b*p.b - power(p.a*one.a + p.b*one.b, 2) / (one.a*one.a + one.b*one.b) DESC, p.global_id LIMIT 1), "
+    "c AS (SELECT * FROM one UNION ALL SELECT * FROM two), g AS (SELECT sum(a*a) AS g11, sum(a*b) AS g12, sum(b*b) AS g22 FROM c), "
+    f"three AS (SELECT global_id FROM p, g WHERE global_id NOT IN (SELECT global_id FROM c) ORDER BY {_GAIN} DESC, global_id LIMIT 1) "
+    "SELECT CAST(1 AS BIGINT) AS place, global_id FROM one UNION ALL SELECT 2, global_id FROM two UNION ALL SELECT 3, global_id FROM three"
+)
+def q_design_select(spark, sf_dir):
+    """A D-optimal design from nothing, by scans of the whole table: two pivots, then the best score."""
+    df = _t(spark, sf_dir, "part").select(F.col("p_partkey").alias("global_id"), (F.col("p_size").cast("double") / 50).alias("a"), (F.col("p_retailprice") / 1000).alias("b"))
+    picks = design.greedy_distributed(df, ["a", "b"], 3, [], "D")
+    return spark.createDataFrame(list(enumerate(picks, 1)), "place long, global_id long")
+
+
 _GH = Basis("hermite_e", 1, 1).gauss_nodes(4)
 _NODES = "(VALUES " + ", ".join(f"({float(x)!r}e0, {float(w)!r}e0)" if "e" not in f"{float(x)!r}{float(w)!r}" else f"({float(x)!r}, {float(w)!r})" for x, w in zip(*_GH)) + ")"
 
@@ -557,10 +571,10 @@ def q_hermite_moment(spark, sf_dir):
     return df.select("g", v.alias("v")).groupBy("g").agg(_r(F.avg("v"), 5).alias("mean"), _r(F.max("v"), 5).alias("most"))
 
 
-@_query("SELECT global_id, " + _rs("-2 + 5 * xi_0") + " AS a, " + _rs("1 - 3 * ln(-ln(xi_1))", 5) + f" AS b FROM {_points_sql(2)} WHERE global_id % 16 = 1")
+@_query("SELECT global_id, " + _rs("-2 + 5 * xi_0") + " AS a, " + _rs("1 - 3 * ln(-ln(xi_1))", 5) + f" AS b FROM {_points_sql(2)}")
 def q_map_domain(spark, sf_dir):
     """Uniform inputs carried to another interval and to a Gumbel marginal."""
-    df = _points(spark, sf_dir, 2).where("global_id % 16 = 1")
+    df = _points(spark, sf_dir, 2)
     u = dist.uniform(0, 1)
     a, b = dist.map_domain(F.col("xi_0"), u, dist.uniform(-2, 5)), dist.map_domain(F.col("xi_1"), u, dist.Marginal("gumbel", (1.0, 3.0)))
     return df.select("global_id", _r(a).alias("a"), _r(b, 5).alias("b"))
@@ -591,9 +605,9 @@ def q_transfer_lookup(spark, sf_dir):
     return series.on_grid(df, t, "w", 0.05).select("id", F.coalesce("amp", F.lit(-1)).cast("long").alias("amp"))
 
 
-@_query(f"SELECT global_id, {_rs('4 * xi_0 + 1')} AS xi_0, {_rs('0.5 * xi_1 + 2')} AS xi_1 FROM {_points_sql(2)} WHERE global_id % 16 = 1")
+@_query(f"SELECT global_id, {_rs('4 * xi_0 + 1')} AS xi_0, {_rs('0.5 * xi_1 + 2')} AS xi_1 FROM {_points_sql(2)}")
 def q_affine_inputs(spark, sf_dir):
-    df = sampling.affine(_points(spark, sf_dir, 2).where("global_id % 16 = 1"), ["xi_0", "xi_1"], [1.0, 2.0], [4.0, 0.5])
+    df = sampling.affine(_points(spark, sf_dir, 2), ["xi_0", "xi_1"], [1.0, 2.0], [4.0, 0.5])
     return df.select("global_id", _r(F.col("xi_0")).alias("xi_0"), _r(F.col("xi_1")).alias("xi_1"))
 
 
@@ -606,9 +620,9 @@ def q_failures_by_group(spark, sf_dir):
 
 @_query()
 def q_lars_surrogate(spark, sf_dir):
-    """Terms and coefficients of a sparse surrogate of a quadratic model, fitted on 200 line items."""
-    df = _points(spark, sf_dir, 2, True).orderBy("global_id").limit(200).withColumn("y", evaluate("quadratic_mix", ["xi_0", "xi_1"]))
-    s = surrogate.fit_lars(df, Basis("hermite_e", 2, 3), ["xi_0", "xi_1"], "y", order="global_id")
+    """Terms and coefficients of a sparse surrogate of a quadratic model, fitted on all line items."""
+    df = _points(spark, sf_dir, 2, True).withColumn("y", evaluate("quadratic_mix", ["xi_0", "xi_1"]))
+    s = surrogate.fit_lars(df, Basis("hermite_e", 2, 3), ["xi_0", "xi_1"], "y")
     return spark.createDataFrame([(int(k), round(float(c), 6)) for k, c in zip(s.active, s.coefficients)], "basis_id int, coefficient double")
 
 

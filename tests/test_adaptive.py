@@ -66,7 +66,7 @@ def test_profiles():
     publication().check()
     with pytest.raises(ValueError, match="budget"):
         dissertation().check()
-    with pytest.raises(ValueError, match="unresolved"):
+    with pytest.raises(ValueError, match="not stated"):
         dissertation(budget_factor=2.0).check()
 
 

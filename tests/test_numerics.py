@@ -72,6 +72,48 @@ def test_scores_are_log_determinants():
         design.scores(A, B, "E")
 
 
+def test_moments_fit_as_rows_do():
+    rng = np.random.default_rng(8)
+    X, w = rng.normal(size=(90, 7)) + 3, rng.uniform(0.5, 2, 90)
+    y = 2 * X[:, 1] - X[:, 4] + 0.05 * rng.normal(size=90) + 5
+    fit = linalg.fit_path(X, y, w, center=True, scale=True)
+    Z = X[:, fit.selected]
+    A = np.column_stack([np.ones(90), Z]) * np.sqrt(w)[:, None]
+    want = np.linalg.lstsq(A, y * np.sqrt(w), rcond=None)[0]
+    assert {1, 4} <= set(fit.selected) and np.allclose([fit.intercept, *fit.coefficients], want, atol=1e-8)
+    errors = []
+    for train, test in linalg.folds(90, 5, True, 0):
+        m, ym = np.average(X, axis=0, weights=w), np.average(y, weights=w)
+        P, t = (X - m)[:, fit.selected] * np.sqrt(w)[:, None], (y - ym) * np.sqrt(w)
+        errors.append(np.mean((t[test] - P[test] @ np.linalg.lstsq(P[train], t[train], rcond=None)[0]) ** 2))
+    assert fit.cv_error == pytest.approx(np.mean(errors), rel=1e-6)
+
+
+@pytest.mark.parametrize("criterion", ["D", "S"])
+def test_designs_of_large_pools_are_those_of_small_ones(spark, monkeypatch, criterion):
+    X = np.random.default_rng(5).normal(size=(200, 3))
+    df = spark.createDataFrame([(i, *map(float, r)) for i, r in enumerate(X)], "global_id long, a double, b double, c double")
+    small = [design.select_design(df, ["a", "b", "c"], n, criterion=criterion, exclude=e) for n, e in ((6, []), (3, [7]), (2, [1, 2, 3, 4]))]
+    monkeypatch.setattr(design, "SMALL_POOL", 0)
+    assert [design.select_design(df, ["a", "b", "c"], n, criterion=criterion, exclude=e) for n, e in ((6, []), (3, [7]), (2, [1, 2, 3, 4]))] == small
+
+
+def test_lars_of_a_table(spark):
+    from haruspex.operators import surrogate
+
+    rng = np.random.default_rng(6)
+    xi = rng.normal(size=(300, 2))
+    basis = Basis("hermite_e", 2, 3)
+    V = basis.vandermonde(xi.T)
+    y = V @ np.array([1.0, 0, 2, 0, 0, -1.5, 0, 0, 0, 0])
+    df = spark.createDataFrame([(*map(float, r), float(t)) for r, t in zip(xi, y)], "x double, z double, y double")
+    for s in (surrogate.fit_lars(df, basis, ["x", "z"], "y"), surrogate.fit_lasso(df, basis, ["x", "z"], "y")):
+        coef = np.zeros(10)
+        coef[list(s.active)] = s.coefficients
+        assert np.allclose(V @ coef, y, atol=1e-6)
+    assert surrogate.mallows_cp(df, basis, ["x", "z"], "y")[0] > 100
+
+
 def test_folds_part_the_rows():
     parts = linalg.folds(11, 4, True, 3)
     assert sorted(np.concatenate([t for _, t in parts])) == list(range(11))
