@@ -6,6 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
+from haruspex.llm import chat, jaccard, substrings
 from haruspex.llm.chat import op5_chat_format
 from haruspex.llm.compression import op3_compression_score
 from haruspex.llm.decontaminate import op2_decontaminate
@@ -32,4 +33,4 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
         op10_secret_scan,
     )
 }
-SQL: dict[str, str] = {}
+SQL: dict[str, str] = {"op5_chat_format": chat.SQL, "op6_remove_repeats": substrings.SQL, "op8_near_components": jaccard.SQL}
