@@ -104,15 +104,16 @@ def compression_score(docs: DataFrame, model: Model, *, text: str = "text", keep
     return C.arrow_append(docs, make, fields, text, keep=keep)
 
 
-_cache: dict[int, tuple[Model, object]] = {}
+_cache: dict[tuple[bytes, bytes], object] = {}
 
 
 def _scorer(model: Model):
-    """The model's compressors, made once in each worker."""
-    if id(model) not in _cache:
+    """The model's compressors, made once in each worker: tasks get equal copies of a model, so its dictionaries are the key."""
+    key = (model.bad, model.good)
+    if key not in _cache:
         _cache.clear()
-        _cache[id(model)] = (model, model.scorer())
-    return _cache[id(model)][1]
+        _cache[key] = model.scorer()
+    return _cache[key]
 
 
 def op3_compression_score(spark: SparkSession, sf_dir: str) -> DataFrame:

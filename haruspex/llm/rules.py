@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import numpy as np
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from haruspex.llm import common as C
@@ -72,8 +73,6 @@ def train(docs: DataFrame, labels: DataFrame) -> linear.Model:
     """A model of ``labels.quality`` from a bounded, documented sample of labelled rows (``linear.MAX_ROWS``)."""
     marked = labels.where("quality IN (0, 1) AND doc_id IS NOT NULL").select("doc_id", "quality").dropDuplicates(["doc_id"])
     chosen = linear.sample(marked, "quality")
-    from pyspark.sql import functions as F
-
     # at most MAX_ROWS ids
     rows = docs.select("doc_id", "text").join(F.broadcast(chosen), "doc_id")
     return linear.train(linear.features(rows, "quality"))
@@ -108,7 +107,12 @@ def op9_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def rules_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Pipeline stage: the documents that the rules keep."""
+    """Pipeline stage: the documents that the rules keep.
+
+    Null, empty and short texts go, as they fail the base rules; repeated rows go
+    or stay alike; null or repeated ids train nothing or once; all columns are
+    carried along under their names.  Empty input: empty result.
+    """
     model = train(docs, C.load(spark, sf_dir, "labels"))
-    cols = docs.columns
-    return quality_rules(docs, model).where("kept").select(*cols)
+    row = docs.select(F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("__row"), F.col("text").alias("__body"))
+    return quality_rules(row, model, text="__body", keep=["__row"]).where("kept").select(*[F.col(f"__row.`{c}`").alias(c) for c in docs.columns])

@@ -772,3 +772,50 @@ def test_near_stage_keeps_one_of_texts_that_reach_five_words_and_80_percent(spar
     made += _variants(4, 4, 8) + ["a b c d", "A B c d", "a b c", "", None]
     kept = {r["doc_id"] for r in jaccard.near_stage(spark, _docs(spark, made), sf_dir).collect()}
     assert kept == _stage_kept(made) and 1 not in kept
+
+
+# -- odd tables
+
+
+def _operators(spark):
+    model = compression.train([(1, 0, b"bad $$ text " * 9), (2, 1, b"some good words " * 9)], 1.0)
+    items = spark.createDataFrame([(0, " ".join(f"i{k}" for k in range(20)))], "item_id long, text string")
+    return {
+        "mixing": mixing.pareto_mix, "decontaminate": lambda d: decontaminate.contaminated(d, items), "drop": lambda d: decontaminate.drop_contaminated(d, items),
+        "compression": lambda d: compression.compression_score(d, model), "sharding": lambda d: sharding.shard(d, 5), "substrings": substrings.remove_repeats,
+        "licenses": licenses.license_scan, "jaccard": jaccard.near_components, "rules": lambda d: rules.quality_rules(d, linear.train([])), "secrets": secrets.secret_scan,
+    }
+
+
+CLASHING = ["size", "target", "copies", "item_id", "coverage", "difference", "score", "predicted", "shard", "slot", "law", "n_words", "n_removed", "labels", "n_base", "n_shingles", "component_id", "kept", "base_failed", "spans", "n_hex", "bucket", "ids", "sid", "root"]
+
+
+@pytest.mark.parametrize("name", ["mixing", "decontaminate", "drop", "compression", "sharding", "substrings", "licenses", "jaccard", "rules", "secrets"])
+def test_odd_tables(spark, name):
+    made = [None, "", "same text here now", "same text here now", "cc by 4.0 all rights reserved", " ".join(f"long{k % 5000}" for k in range(60_000)), "x" * 100_000]
+    docs = _docs(spark, made, [None, 1, 2, 2, -5, 6, 7], [None, "a", "a", "a", "b", "b", "b"])
+    for c in CLASHING:
+        docs = docs.withColumn(c, F.lit("mine"))
+    run = _operators(spark)[name]
+    out = run(docs)
+    assert len(out.columns) == len(set(out.columns))
+    assert len(out.collect()) == (0 if name == "decontaminate" else len(made))
+    empty = run(docs.limit(0))
+    assert empty.columns == out.columns and empty.count() == 0
+
+
+@pytest.mark.parametrize("stage", ["near", "decontaminate", "mix", "shard", "rules"])
+def test_odd_stages(spark, sf_dir, stage):
+    made = [None, "", "same text here now", "same text here now", "all rights reserved by the owner of these ten and more words"]
+    docs = _docs(spark, made, [None, 1, 2, 2, -5], [None, "a", "a", "a", "b"]).withColumn("shard", F.lit("mine")).withColumn("kept", F.lit(1))
+    run = {"near": jaccard.near_stage, "decontaminate": decontaminate.decontaminate_stage, "mix": mixing.mix_stage, "shard": sharding.shard_stage, "rules": rules.rules_stage}[stage]
+    out = run(spark, docs, sf_dir)
+    assert set(docs.columns) <= set(out.columns) if stage == "shard" else out.columns == docs.columns
+    rows = out.collect()
+    if stage in ("decontaminate", "shard"):
+        assert len(rows) == len(made)
+    if stage == "near":
+        assert sorted(r["text"] or "" for r in rows) == ["", "", made[4], made[2]]
+    if stage == "rules":
+        assert {r["text"] for r in rows} <= {made[-1]}
+    assert run(spark, docs.limit(0), sf_dir).count() == 0
