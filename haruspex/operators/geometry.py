@@ -47,11 +47,20 @@ def within_day(minute: Column, start: int, end: int) -> Column:
 
 
 def min_distance(df: DataFrame, xs: list[str], centers: list) -> DataFrame:
-    """``df`` with ``min_dist`` to the nearest of a few centres, as one expression."""
+    """``df`` with ``min_dist`` to the nearest of a few centres, as one expression.
+
+    The coordinates are put in one struct, so a coordinate that is itself a long
+    expression is neither generated nor computed for each centre anew.
+    """
     if len(centers) > MAX_CENTERS:
         raise ValueError(f"more than {MAX_CENTERS} centres: use near_join")
-    d = [F.sqrt(distance2(xs, c)) for c in centers]
-    return df.withColumn("min_dist", F.least(*d) if len(d) > 1 else d[0])
+    point = F.struct(*[F.col(x).cast("double").alias(f"x{k}") for k, x in enumerate(xs)])
+
+    def nearest(p: Column) -> Column:
+        d = [F.sqrt(sum((F.pow(p[f"x{k}"] - F.lit(float(v)), F.lit(2.0)) for k, v in enumerate(c)), F.lit(0.0))) for c in centers]
+        return F.least(*d) if len(d) > 1 else d[0]
+
+    return df.withColumn("min_dist", F.get(F.transform(F.array(point), nearest), F.lit(0)))
 
 
 def ball(df: DataFrame, xs: list[str], centers: list, radius: float, strict: bool = False) -> DataFrame:
