@@ -167,19 +167,25 @@ def train(rows: list[tuple[int, int, np.ndarray, np.ndarray]], steps: int = 150,
 def _fit(idx: np.ndarray, val: np.ndarray, row: np.ndarray, y: np.ndarray, fit: np.ndarray, steps: int, l2: float) -> np.ndarray:
     """Weights and, last, the bias; full-batch Adam, classes of equal weight."""
     on = fit[row]
-    fi, fv, fr = idx[on], val[on], row[on]
+    fi, fv, fr = idx[on], val[on].astype(np.float64), row[on]
     known = np.flatnonzero(np.bincount(fi, minlength=FAMILIES << BITS))
     place = np.zeros(FAMILIES << BITS, np.int32)
     place[known] = np.arange(len(known))
     fi = place[fi]
+    # sums over rows as the entries lie, over features in an order of their own
+    rows, first_r = np.unique(fr, return_index=True)
+    order = np.argsort(fi, kind="stable")
+    cv, cr = fv[order], fr[order]
+    first_f = np.searchsorted(fi[order], np.arange(len(known)))
     share = np.where(y == 1, 0.5 / max(1, (y[fit] == 1).sum()), 0.5 / max(1, (y[fit] == 0).sum())) * fit
     size = len(known)
     w, b = np.zeros(size), 0.0
     m, v, mb, vb = np.zeros(size), np.zeros(size), 0.0, 0.0
     for t in range(1, steps + 1):
-        z = np.bincount(fr, fv * w[fi], len(y)) + b
+        z = np.full(len(y), b)
+        z[rows] += np.add.reduceat(fv * w[fi], first_r) if size else 0.0
         err = (1 / (1 + np.exp(-np.clip(z, -40, 40))) - y) * share
-        g, gb = np.bincount(fi, fv * err[fr], size) + l2 * w, err.sum()
+        g, gb = (np.add.reduceat(cv * err[cr], first_f) if size else w) + l2 * w, err.sum()
         m, v = 0.9 * m + 0.1 * g, 0.999 * v + 0.001 * g * g
         mb, vb = 0.9 * mb + 0.1 * gb, 0.999 * vb + 0.001 * gb * gb
         lr = 0.5 * min(1.0, 2.0 * (1 - t / (steps + 1)) + 0.02)
