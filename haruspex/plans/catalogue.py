@@ -736,3 +736,6 @@ def q_reference_pf(spark, sf_dir):
         s = t.agg(F.lit(name).alias("pool"), F.count(F.lit(1)).alias("n"), F.avg((evaluate(model, ["xi_0", "xi_1"]) <= 0).cast("double")).alias("pf"))
         out = s if out is None else out.unionByName(s)
     return out
+
+
+from haruspex.plans import numerics as _numerics  # noqa: E402,F401  (registers its queries)
