@@ -10,11 +10,12 @@ from pyspark.sql import functions as F
 
 from haruspex.llm import common as C
 
-#: A word in lower-cased text, and the same before lower-casing; and what separates words.
-WORD = r"[^\x00-\x2F\x3A-\x60\x7B-\x7F]+"
+#: A word before lower-casing, and what separates words.
 RAW_WORD = r"[^\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]+"
 RAW_BREAK = r"[\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]+"
-BREAK = r"[\x00-\x2F\x3A-\x60\x7B-\x7F]+"
+#: The same in Java's classes, for every character of every text: each of a list of ranges would be tried in turn, many times slower.
+JAVA_WORD = r"[\p{Alnum}\P{ASCII}]++"
+JAVA_BREAK = r"[^\p{Alnum}\P{ASCII}]++"
 
 #: Phrase and label.
 BASE = (("cc by", "cc-by"), ("general public license", "gpl"), ("all rights reserved", "reserved"))
@@ -194,8 +195,8 @@ def license_scan(docs: DataFrame, *, text: str = "text", keep: list[str] | None
     cols = [c for c in (docs.columns if keep is None else keep) if c not in made]
     raw = F.coalesce(F.col(f"`{text}`").cast("string"), F.lit(""))
     upper = "ABCDEFGHIJKLMNOPQRSTUVWXYZ"
-    norm = F.concat(F.lit(" "), F.trim(F.regexp_replace(F.translate(raw, upper, upper.lower()), BREAK, " ")), F.lit(" "))
-    df = docs.select(*[F.col(f"`{c}`") for c in cols], F.regexp_count(raw, F.lit(RAW_WORD)).cast("long").alias("n_words"), F.when(raw.rlike(gate(rules)), norm).alias("__norm"))
+    norm = F.concat(F.lit(" "), F.trim(F.regexp_replace(F.translate(raw, upper, upper.lower()), JAVA_BREAK, " ")), F.lit(" "))
+    df = docs.select(*[F.col(f"`{c}`") for c in cols], F.regexp_count(raw, F.lit(JAVA_WORD)).cast("long").alias("n_words"), F.when(raw.rlike(gate(rules)), norm).alias("__norm"))
 
     places, firsts, lasts, base = [], [], [], []
     for phrase, label in BASE:
