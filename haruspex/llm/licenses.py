@@ -168,7 +168,15 @@ def _mark(rule: Rule) -> str:
 def gate(rules: tuple[Rule, ...]) -> str:
     """Matches any raw text in which a rule or a base phrase can match."""
     base = tuple(Rule(label, 1, 0.0, phrase.split()[-1], phrase) for phrase, label in BASE)
-    return "(?i)" + "|".join(sorted({_mark(r) for r in (*base, *rules)}))
+    marks = sorted({_mark(r) for r in (*base, *rules)})
+    heads: dict[str, list[str]] = {}
+    for m in marks:
+        heads.setdefault(re.sub(r"^\(\?<![^()]*\)", "", m)[0], []).append(m)
+    if not all(h.isalnum() for h in heads):
+        return "(?i)" + "|".join(marks)
+    # marks are tried only where the first letter of one stands, and those of another letter are left out at once
+    tails = [f"{h}(?:{'|'.join(t)})" for h, ms in heads.items() if (t := [m[1:] for m in ms if m[0] == h])]
+    return f"(?i)(?=[{''.join(heads)}])(?:{'|'.join(tails + [m for h, ms in heads.items() for m in ms if m[0] != h])})"
 
 
 def _literal(rules: tuple[Rule, ...]) -> str:
