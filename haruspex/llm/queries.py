@@ -7,6 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 
 from haruspex.llm import chat, jaccard, substrings
+from haruspex.llm.bpe import op11_bpe
 from haruspex.llm.chat import op5_chat_format
 from haruspex.llm.compression import op3_compression_score
 from haruspex.llm.decontaminate import op2_decontaminate
@@ -31,6 +32,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
         op8_near_components,
         op9_quality_rules,
         op10_secret_scan,
+        op11_bpe,
     )
 }
 SQL: dict[str, str] = {"op5_chat_format": chat.SQL, "op6_remove_repeats": substrings.SQL, "op8_near_components": jaccard.SQL}
