@@ -5,7 +5,6 @@ from __future__ import annotations
 import hashlib
 import math
 import re
-from collections import Counter
 
 import numpy as np
 import pyarrow as pa
@@ -32,7 +31,9 @@ NAME_WEIGHTS = (
     (re.compile(r"token|authorization|connection[_.\-]?string"), 0.45),
 )
 _GATE = (b"pass", b"pwd", b"secret", b"token", b"key", b"credential", b"authorization", b"connection")
-PLACEHOLDER = re.compile(rb"(?i)^(?:\$\{.*|\{\{.*|<.*|%.*%|x{3,}|\*{3,}|\.{3,}|(?:your|my|the|some|enter|insert)[_\- ].*|change[_\-]?me|example.*|placeholder.*|dummy.*|none|null|nil|true|false|undefined|todo|test)$")
+#: What stands where a secret will be put: told by a value's beginning, by a whole short value, or by a value of one character only.
+PLACEHOLDER = re.compile(rb"(?i)(?:\$\{|\{\{|<|(?:your|my|the|some|enter|insert)[_\- ]|example|placeholder|dummy)")
+PLACEHOLDERS = frozenset((b"changeme", b"change_me", b"change-me", b"none", b"null", b"nil", b"true", b"false", b"undefined", b"todo", b"test"))
 THRESHOLD = 0.75
 
 
@@ -42,27 +43,35 @@ def name_weight(name: bytes) -> float:
     return next((w for p, w in NAME_WEIGHTS if p.search(low)), 0.0)
 
 
-def literal_weight(value: bytes) -> float:
-    """How much a literal looks like a secret, 0 to 0.4: its length and the entropy of its bytes."""
-    if len(value) < MIN_ASSIGN or PLACEHOLDER.match(value):
+def literal_weight(value: lexer.Value) -> float:
+    """How much a value looks like a secret, 0 to 0.4: its length and the entropy of its bytes."""
+    size, counts, head, last = value.facts()
+    if size < MIN_ASSIGN or PLACEHOLDER.match(head) or (size <= len(head) and head.lower() in PLACEHOLDERS) or (head[:1] == last == b"%"):
         return 0.0
-    entropy = -sum(c / len(value) * math.log2(c / len(value)) for c in Counter(value).values())
-    spaces = 0.15 if b" " in value else 0.0
-    return max(0.0, min(0.2, len(value) / 100) + min(0.25, entropy / 16) - spaces)
+    if counts.keys() <= {0x58, 0x78} or (len(counts) == 1 and counts.keys() <= {0x2A, 0x2E}):
+        return 0.0
+    entropy = -sum((p := c / size) and p * math.log2(p) for c in counts.values())
+    spaces = 0.15 if 0x20 in counts else 0.0
+    return max(0.0, min(0.2, size / 100) + min(0.25, entropy / 16) - spaces)
 
 
 def lexed(text: bytes) -> list[tuple[int, int, float]]:
     """(start, end, score) of literals that reach a sensitively named target, directly or through constants.
 
-    A literal joined from pieces is scored as a whole; each piece is a span.
+    A value joined from literals is scored as a whole; each literal is a span, once,
+    with the best score of the values that it is part of.
     """
     found: dict[tuple[int, int], float] = {}
-    for name, pieces in lexer.pairs(text):
-        weight = name_weight(name)
-        if weight and (lit := literal_weight(b"".join(v for _, _, v in pieces))):
-            for a, b, _ in pieces:
-                found[a, b] = max(found.get((a, b), 0.0), weight + lit)
-    return [(a, b, s) for (a, b), s in found.items() if s >= THRESHOLD and a < b]
+    for base, own in lexer.pairs(text):
+        scored = []
+        for name, value in own:
+            if (weight := name_weight(name)) and (lit := literal_weight(value)) and weight + lit >= THRESHOLD:
+                scored.append((weight + lit, value))
+        seen: set[int] = set()
+        for score, value in sorted(scored, key=lambda x: -x[0]):
+            for a, b, _ in value.literals(seen):
+                found.setdefault((base + a, base + b), score)
+    return [(a, b, s) for (a, b), s in found.items() if a < b]
 
 
 def spans(text: bytes, hexes: list[tuple[int, int]]) -> list[tuple[str, int, int]]:
