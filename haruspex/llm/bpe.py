@@ -218,21 +218,6 @@ def word_starts(code: np.ndarray, edge: np.ndarray) -> np.ndarray:
     return out
 
 
-def distinct(data: np.ndarray, start: np.ndarray, end: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """(one span of each distinct content, the index into those for every span); contents are compared byte by byte."""
-    _, first, inverse = np.unique(wg.span_hashes(data, start, end), return_index=True, return_inverse=True)
-    size, of = end - start, first[inverse]
-    same = bool((size == size[of]).all())
-    if same and len(size):
-        step = np.arange(int(size.sum())) - np.repeat(np.cumsum(size) - size, size)
-        same = bool((data[np.repeat(start, size) + step] == data[np.repeat(start[of], size) + step]).all())
-    if not same:  # two contents share a fingerprint
-        seen: dict[bytes, int] = {}
-        inverse = np.array([seen.setdefault(data[a:b].tobytes(), len(seen)) for a, b in zip(start.tolist(), end.tolist())])
-        first = np.unique(inverse, return_index=True)[1]
-    return first, inverse
-
-
 class Encoder:
     """A vocabulary and the words that have been encoded with it."""
 
@@ -288,7 +273,7 @@ class Encoder:
         start = lead[begin]
         end = np.append(start[1:], len(data))
         added = np.isin(start, np.array([a for a, _ in spans], np.int64)) if spans else None
-        first, inverse = distinct(data, start, end)
+        first, inverse = wg.distinct(data, start, end)
         at = self.words([raw[a:b] for a, b in zip(start[first].tolist(), end[first].tolist())])[inverse]
         n = self.end[at + 1] - self.end[at]
         ids = self.flat[np.repeat(self.end[at] - (np.cumsum(n) - n), n) + np.arange(int(n.sum()))]

@@ -6,11 +6,12 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from haruspex.llm import chat, jaccard, substrings
+from haruspex.llm import chat, divergence, jaccard, substrings
 from haruspex.llm.bpe import op11_bpe
 from haruspex.llm.chat import op5_chat_format
 from haruspex.llm.compression import op3_compression_score
 from haruspex.llm.decontaminate import op2_decontaminate
+from haruspex.llm.divergence import op12_source_divergence
 from haruspex.llm.jaccard import op8_near_components
 from haruspex.llm.licenses import op7_license_scan
 from haruspex.llm.mixing import op1_pareto_mix
@@ -33,6 +34,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
         op9_quality_rules,
         op10_secret_scan,
         op11_bpe,
+        op12_source_divergence,
     )
 }
-SQL: dict[str, str] = {"op5_chat_format": chat.SQL, "op6_remove_repeats": substrings.SQL, "op8_near_components": jaccard.SQL}
+SQL: dict[str, str] = {"op5_chat_format": chat.SQL, "op6_remove_repeats": substrings.SQL, "op8_near_components": jaccard.SQL, "op12_source_divergence": divergence.SQL}

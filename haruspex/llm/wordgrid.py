@@ -114,6 +114,21 @@ class WordGrid:
         return mix(acc[at]), at
 
 
+def distinct(data: np.ndarray, start: np.ndarray, end: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """(one span of each distinct content, the index into those for every span); contents are compared byte by byte."""
+    _, first, inverse = np.unique(span_hashes(data, start, end), return_index=True, return_inverse=True)
+    size, of = end - start, first[inverse]
+    same = bool((size == size[of]).all())
+    if same and len(size):
+        step = np.arange(int(size.sum())) - np.repeat(np.cumsum(size) - size, size)
+        same = bool((data[np.repeat(start, size) + step] == data[np.repeat(start[of], size) + step]).all())
+    if not same:  # two contents share a fingerprint
+        seen: dict[bytes, int] = {}
+        inverse = np.array([seen.setdefault(data[a:b].tobytes(), len(seen)) for a, b in zip(start.tolist(), end.tolist())])
+        first = np.unique(inverse, return_index=True)[1]
+    return first, inverse
+
+
 def per_doc(values: np.ndarray, offsets: np.ndarray) -> np.ndarray:
     """Sums of ``values`` over the spans that ``offsets`` bound."""
     sums = np.zeros(len(values) + 1, np.int64)
