@@ -38,4 +38,4 @@ def test_registered():
 
     names = entry.queries()
     assert set(queries.QUERIES) <= set(names) and "pipeline" in names
-    assert {int(re.match(r"op(\d+)_", n)[1]) for n in queries.QUERIES} == set(range(1, 11))
+    assert {int(re.match(r"op(\d+)_", n)[1]) for n in queries.QUERIES} == set(range(1, 14))
