@@ -167,13 +167,16 @@ def _vectors(spark, rows):
     return spark.createDataFrame(rows, "vec_id long, embedding array<float>, label int")
 
 
-def _both(spark, rows, **sizes):
-    docs = _vectors(spark, rows)
+def _mined(spark, rows):
     label = F.when(F.col("vec_id") % 7 == 0, (F.col("label") + 1) % 10).otherwise(F.col("label"))
-    got = negatives.hard_negatives(docs.withColumn("label", label).withColumn("vec", F.lit("mine")).withColumn("score", F.lit(1)), F.col("vec_id") % 50 == 0).toPandas()
+    docs = _vectors(spark, rows).withColumn("label", label).withColumn("vec", F.lit("mine")).withColumn("score", F.lit(1))
+    return negatives.hard_negatives(docs, F.col("vec_id") % 50 == 0).toPandas()
+
+
+def _both(spark, rows):
     con = duckdb.connect()
-    con.register("arrow_rows", docs.toArrow())
-    return got, con.execute(negatives.SQL.replace("FROM embeddings", "FROM arrow_rows")).df()
+    con.register("arrow_rows", _vectors(spark, rows).toArrow())
+    return _mined(spark, rows), con.execute(negatives.SQL.replace("FROM embeddings", "FROM arrow_rows")).df()
 
 
 @pytest.mark.parametrize("small", [False, True])
@@ -202,9 +205,8 @@ def test_hard_negatives_odd_rows(spark):
     _same(got, want)
     assert negatives.hard_negatives(_vectors(spark, rows).limit(0), F.col("vec_id") % 50 == 0).count() == 0
     assert negatives.hard_negatives(_vectors(spark, rows), F.lit(False)).count() == 0
-    short = negatives.hard_negatives(_vectors(spark, rows + [(52, [0.7], 2), (53, [], 2), (None, [1.0, 1.0], 2), (0, [1.0, 0.5], 1)]), F.col("vec_id") % 50 == 0).toPandas()
-    full = _both(spark, rows + [(52, [0.7, 0.0], 2), (53, [0.0, 0.0], 2)])[1]
-    _same(short, full)
+    short = _mined(spark, rows + [(52, [0.7], 2), (53, [], 2), (None, [1.0, 1.0], 2), (0, [1.0, 0.5], 1)])
+    _same(short, _both(spark, rows + [(52, [0.7, 0.0], 2), (53, [0.0, 0.0], 2)])[1])
 
 
 def test_far_groups_get_no_rows():
