@@ -2,20 +2,30 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+import re
+import tempfile
+
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from haruspex.functions.special import normal_ppf
 
 
+def shared_folder(spark: SparkSession) -> str:
+    """The folder that ``spark.checkpoint.dir`` names, which all executors share; only a local master may do without."""
+    named = spark.conf.get("spark.checkpoint.dir", None)
+    if not named and not re.match(r"local(\[|$)", spark.sparkContext.master):
+        raise RuntimeError("spark.checkpoint.dir must name a folder that all executors share")
+    return named or tempfile.mkdtemp(prefix="checkpoint-")
+
+
 def settled(df: DataFrame) -> DataFrame:
-    """``df`` computed once: checkpointed where the session names a shared folder, else kept by the executors."""
+    """``df`` computed once and kept in the shared folder, so that a lost executor changes nothing in it."""
     sc = df.sparkSession.sparkContext
-    folder = df.sparkSession.conf.get("spark.checkpoint.dir", None)
-    if folder and sc._jsc.sc().getCheckpointDir().isEmpty():
-        sc.setCheckpointDir(folder)
-    return df.persist() if sc._jsc.sc().getCheckpointDir().isEmpty() else df.checkpoint()
+    if sc._jsc.sc().getCheckpointDir().isEmpty():
+        sc.setCheckpointDir(shared_folder(df.sparkSession))
+    return df.checkpoint()
 
 
 def ordered(df: DataFrame, keys: list[str], rank: str = "rank") -> DataFrame:

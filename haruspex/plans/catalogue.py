@@ -14,6 +14,7 @@ from pyspark.sql import functions as F
 from haruspex.functions import dist
 from haruspex.functions.basis import Basis
 from haruspex.functions.models import MODELS, affine_input, evaluate
+from haruspex.operators.adaptive import INVARIANTS as _INVARIANTS
 from haruspex.operators import design, geometry, linalg, sampling, series, stats, surrogate
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -715,7 +716,7 @@ def _run_query(kind: str, name: str) -> None:
         from haruspex.operators.adaptive import trace_table
         from haruspex.plans import scenarios
 
-        return trace_table(spark, scenarios.small(name) if kind == "small" else scenarios.reduced(name))
+        return trace_table(spark, (scenarios.small if kind == "small" else scenarios.reduced)(spark, name))
 
     QUERIES[f"adaptive_{name}"] = q
 
@@ -725,6 +726,27 @@ for _k, _names in (("small", ("converged", "max_order", "overfit_fallback", "run
         _run_query(_k, _name)
 
 
+@_query()
+def q_adaptive_lineitem(spark, sf_dir):
+    """The observations of a run whose pool and test points are all line items, by transaction."""
+    from haruspex.plans import scenarios
+
+    run = scenarios.over_points(_points(spark, sf_dir, 2, True).drop("g"), "four_branch")
+    return run.observations().select("global_id", "txn", "place", _r(F.col("y")).alias("y"))
+
+
+@_query(f"SELECT invariant, CAST(0 AS BIGINT) AS findings, (SELECT count(*) FROM lineitem) AS points FROM (VALUES " + ", ".join(f"('{x}')" for x in _INVARIANTS) + ") v(invariant)")
+def q_adaptive_invariants(spark, sf_dir):
+    """What a run over all line items breaks of each invariant: nothing."""
+    from haruspex.operators.adaptive import invariants
+    from haruspex.plans import scenarios
+
+    points = _points(spark, sf_dir, 2, True).drop("g")
+    found = invariants(scenarios.over_points(points, "four_branch")).groupBy("invariant").count()
+    named = spark.createDataFrame([(x,) for x in _INVARIANTS], "invariant string")
+    return named.join(found, "invariant", "left").crossJoin(points.agg(F.count(F.lit(1)).alias("points"))).select("invariant", F.coalesce("count", F.lit(0)).cast("long").alias("findings"), "points")
+
+
 @_query("SELECT * FROM (VALUES ('four_branch', CAST(4096 AS BIGINT), 0.002685546875e0), ('gayton', CAST(4096 AS BIGINT), 0.108642578125e0)) v(pool, n, pf)")
 def q_reference_pf(spark, sf_dir):
     """Failure probabilities of the frozen reference points."""

@@ -418,5 +418,5 @@ def q_adaptive_counts(spark, sf_dir):
     """Calls and trace rows of the small adaptive runs."""
     from haruspex.plans import scenarios
 
-    runs = [(n, scenarios.small(n)) for n, _, _ in _RUNS]
-    return spark.createDataFrame([(n, int(o.ledger.calls), len(o.trace)) for n, o in runs], "scenario string, calls long, trace_rows long")
+    runs = [(n, scenarios.small(spark, n)) for n, _, _ in _RUNS]
+    return spark.createDataFrame([(n, o.calls, len(o.trace)) for n, o in runs], "scenario string, calls long, trace_rows long")

@@ -76,7 +76,7 @@ def validate_config(config: dict) -> dict:
     return json.loads(json.dumps(config))
 
 
-def run_config(config: dict) -> dict:
+def run_config(spark: SparkSession, config: dict) -> dict:
     """Outcomes of a configuration's scenarios, with hashes of the config and of each run."""
     from haruspex.operators.adaptive import canonical_hash
     from haruspex.plans import scenarios
@@ -84,8 +84,8 @@ def run_config(config: dict) -> dict:
     config = validate_config(config)
     out = {}
     for name in config["runner"]["scenarios"]:
-        o = scenarios.small(name) if config["runner"]["benchmark"] == "small" else scenarios.reduced(config["runner"]["benchmark"])
-        out[name] = {"status": o.status, "stop_reason": o.reason, "calls": o.ledger.calls, "trace_rows": len(o.trace), "contract_hash": o.contract_hash(), "trace": o.trace}
+        o = scenarios.small(spark, name) if config["runner"]["benchmark"] == "small" else scenarios.reduced(spark, config["runner"]["benchmark"])
+        out[name] = {"status": o.status, "stop_reason": o.reason, "calls": o.calls, "trace_rows": len(o.trace), "contract_hash": o.contract_hash(), "trace": o.trace}
     stable = {k: {x: v for x, v in s.items() if x != "trace"} for k, s in out.items()}
     return {"config": config, "config_hash": canonical_hash(config), "scenarios": out, "manifest_hash": canonical_hash(stable)}
 
@@ -110,7 +110,8 @@ def main(argv: list[str] | None = None) -> int:
     p = argparse.ArgumentParser(description=main.__doc__)
     p.add_argument("--config", required=True)
     config = load_config(p.parse_args(argv).config)
-    result = run_config(config)
+    spark = SparkSession.builder.getOrCreate()
+    result = run_config(spark, config)
     with open(config["output"]["manifest"], "w", encoding="utf-8") as f:
         json.dump(result, f, sort_keys=True)
     return 0
