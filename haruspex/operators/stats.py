@@ -2,51 +2,13 @@
 
 from __future__ import annotations
 
-import re
-import tempfile
-
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from haruspex.functions.special import normal_ppf
-
-
-def shared_folder(spark: SparkSession) -> str:
-    """The folder that ``spark.checkpoint.dir`` names, which all executors share; only a local master may do without."""
-    named = spark.conf.get("spark.checkpoint.dir", None)
-    if not named and not re.match(r"local(\[|$)", spark.sparkContext.master):
-        raise RuntimeError("spark.checkpoint.dir must name a folder that all executors share")
-    return named or tempfile.mkdtemp(prefix="checkpoint-")
-
-
-def settled(df: DataFrame) -> DataFrame:
-    """``df`` computed once and kept in the shared folder, so that a lost executor changes nothing in it."""
-    sc = df.sparkSession.sparkContext
-    if sc._jsc.sc().getCheckpointDir().isEmpty():
-        sc.setCheckpointDir(shared_folder(df.sparkSession))
-    return df.checkpoint()
-
-
-def ordered(df: DataFrame, keys: list[str], rank: str = "rank") -> DataFrame:
-    """``df`` with its 1-based rank in a global order, without gathering it in one task.
-
-    Rows are range-partitioned by the keys and sorted inside their partition; a
-    row's place there (the low bits of its monotonic id) and the counts of the
-    partitions before it make up its rank, so there is one exchange.  Keys should
-    end in a unique column, or equal ones share a partition.
-    """
-    ranged = df.repartitionByRange(*[F.col(k) for k in keys]).sortWithinPartitions(*keys).withColumn("__at", F.monotonically_increasing_id())
-    ranged = settled(ranged)
-    part, place = F.shiftright("__at", 33).cast("int"), F.col("__at").bitwiseAND((1 << 33) - 1) + 1
-    rows, before = [], 0
-    for r in sorted(ranged.groupBy(part.alias("p")).count().collect()):
-        rows.append((r[0], before))
-        before += r[1]
-    # one row for each partition
-    starts = df.sparkSession.createDataFrame(rows or [(0, 0)], "__q int, __before long")
-    out = ranged.join(F.broadcast(starts), part == F.col("__q"))
-    return out.withColumn(rank, F.col("__before") + place).drop("__at", "__q", "__before")
+from haruspex.operators.selection import medians, order_statistics
+from haruspex.operators.settle import ordered
 
 
 def moments_panel(df: DataFrame, value: str, by: list[str], order: str | None = None) -> DataFrame:
@@ -84,26 +46,19 @@ def mquantiles(df: DataFrame, value: str, probs: list[float], by: list[str] = ()
     statistics k = floor(n p + m), clipped to 1 .. n - 1, and k + 1.  Values
     outside ``limit`` (exclusive) are left out.
     """
-    src = df.where(F.col(value).isNotNull())
+    src = df
     if limit:
         src = src.where((F.col(value) > limit[0]) & (F.col(value) < limit[1]))
-    keys = list(by)
-    if keys:
-        ranked = src.select(*keys, value).withColumn("rank", F.row_number().over(W.partitionBy(*keys).orderBy(value))).withColumn("__n", F.count(F.lit(1)).over(W.partitionBy(*keys)))
-    else:
-        src = src.select(value)
-        # equal values may have any order, and must not share a range
-        ranked = ordered(src.withColumn("__t", F.monotonically_increasing_id()), [value, "__t"]).drop("__t").withColumn("__n", F.lit(src.count()))
-    aggs = []
-    for i, p in enumerate(probs):
-        pos = F.col("__n") * F.lit(p) + F.lit(alpha + p * (1 - alpha - beta))
-        k = F.floor(F.least(F.greatest(pos, F.lit(1.0)), F.greatest(F.col("__n") - 1, F.lit(1)).cast("double"))).cast("long")
-        g = F.least(F.greatest(pos - k, F.lit(0.0)), F.lit(1.0))
-        low = F.max(F.when(F.col("rank") == k, F.col(value)))
-        high = F.max(F.when(F.col("rank") == F.least(k + 1, F.col("__n")), F.col(value)))
-        frac = F.max(g)
-        aggs.append(((1 - frac) * low + frac * high).alias(f"q{i}"))
-    return ranked.groupBy(*keys).agg(*aggs) if keys else ranked.agg(*aggs)
+    n = F.col("n").cast("double")
+    ranks, shares = [], []
+    for p in probs:
+        pos = n * F.lit(p) + F.lit(alpha + p * (1 - alpha - beta))
+        k = F.floor(F.least(F.greatest(pos, F.lit(1.0)), F.greatest(n - 1, F.lit(1.0)))).cast("long")
+        ranks += [k, F.least(k + 1, F.col("n"))]
+        shares.append(F.least(F.greatest(pos - k, F.lit(0.0)), F.lit(1.0)))
+    found = order_statistics(src, value, ranks, by)
+    out = found.select(*by, *[((1 - g) * F.col(f"v{2 * i}") + g * F.col(f"v{2 * i + 1}")).alias(f"q{i}") for i, g in enumerate(shares)])
+    return out if by else out.agg(*[F.max(f"q{i}").alias(f"q{i}") for i in range(len(probs))])
 
 
 def regression_metrics(df: DataFrame, y: str, fit: str, weight: str | None = None, predictors: int = 1, legacy_adjusted: bool = False) -> DataFrame:
@@ -115,8 +70,9 @@ def regression_metrics(df: DataFrame, y: str, fit: str, weight: str | None = Non
     w = F.col(weight) if weight else F.lit(1.0)
     rel = F.pow(e / F.nullif(t, F.lit(0.0)), F.lit(2.0))
     both = (F.col(y) > -1) & (F.col(fit) > -1)
+    middle = medians(df.select(F.abs(e).alias("e")), "e").first()
     s = df.agg(
-        F.count(F.lit(1)).alias("n"), F.avg(e * e).alias("mse"), F.avg(F.abs(e)).alias("mae"), F.percentile(F.abs(e), F.lit(0.5)).alias("medae"),
+        F.count(F.lit(1)).alias("n"), F.avg(e * e).alias("mse"), F.avg(F.abs(e)).alias("mae"), F.lit(middle and middle["median"]).cast("double").alias("medae"),
         F.avg(F.when(both, F.pow(F.log1p(t) - F.log1p(F.col(fit)), F.lit(2.0)))).alias("msle"), (1 - F.var_pop(e) / F.var_pop(t)).alias("explained"),
         (1 - F.avg(e * e) / F.var_pop(t)).alias("r2"), (F.sum(w * rel) / F.sum(w)).alias("msre"),
     )
@@ -180,34 +136,6 @@ def weighted_exceedance(df: DataFrame, value: str, weight: str | None, bins: int
     return out.select("bin", (F.lit(low) + (F.col("bin") + 1) * width).alias("edge"), "cum", (1 - F.col("cum") / F.col("total")).alias("exceed"))
 
 
-def moving(df: DataFrame, value: str, by: list[str], order: list[str], width: int) -> DataFrame:
-    """Moving mean and variance over the last ``width`` rows of a series; the first ``width - 1`` rows are dropped."""
-    base = W.partitionBy(*by).orderBy(*order)
-    frame = base.rowsBetween(-(width - 1), 0)
-    v = F.col(value)
-    out = df.withColumn("__k", F.row_number().over(base)).withColumn("mov_avg", F.avg(v).over(frame)).withColumn("mov_sq", F.avg(v * v).over(frame))
-    return out.where(F.col("__k") >= width).withColumn("mov_var", F.col("mov_sq") - F.col("mov_avg") * F.col("mov_avg")).drop("__k", "mov_sq")
-
-
-def up_crossings(df: DataFrame, value: str, t: str, by: list[str], level: float = 0.0, order: list[str] | None = None) -> DataFrame:
-    """Crossings with rising slope for each series, and their rate over the complete cycles between first and last."""
-    nxt = F.lead(value).over(W.partitionBy(*by).orderBy(*(order or [t])))
-    hits = df.withColumn("__n", nxt).where(((F.col(value) - level) * (F.col("__n") - level) < 0) & (F.col("__n") > F.col(value)))
-    span = F.max(t) - F.min(t)
-    return hits.groupBy(*by).agg(F.count(F.lit(1)).alias("n_up"), F.when(F.count(F.lit(1)) > 1, (F.count(F.lit(1)) - 1) / F.nullif(span, F.lit(0))).alias("rate"))
-
-
-def interpolate(grid: DataFrame, samples: DataFrame, t: str, value: str, by: list[str]) -> DataFrame:
-    """Linear interpolation of each series at grid times; outside its range the nearest end's value."""
-    marks = samples.select(*by, t, F.col(value).alias("v"), F.lit(0).alias("g")).unionByName(grid.select(*by, t, F.lit(None).cast("double").alias("v"), F.lit(1).alias("g")))
-    back = W.partitionBy(*by).orderBy(t, "g").rowsBetween(W.unboundedPreceding, W.currentRow)
-    ahead = W.partitionBy(*by).orderBy(t, "g").rowsBetween(W.currentRow, W.unboundedFollowing)
-    p = F.when(F.col("v").isNotNull(), F.struct(F.col(t).alias("t"), "v"))
-    out = marks.withColumn("a", F.last(p, True).over(back)).withColumn("b", F.first(p, True).over(ahead)).where("g = 1")
-    slope = (F.col("b.v") - F.col("a.v")) / F.nullif(F.col("b.t") - F.col("a.t"), F.lit(0.0))
-    return out.select(*by, t, F.when(F.col("a").isNull(), F.col("b.v")).when(F.col("b").isNull(), F.col("a.v")).otherwise(F.col("a.v") + F.coalesce(slope, F.lit(0.0)) * (F.col(t) - F.col("a.t"))).alias(value))
-
-
 def phase_indicator(df: DataFrame, value: str, by: list[str]) -> DataFrame:
     """Largest over mean of the short-term maxima of each sea state."""
     return df.groupBy(*by).agg((F.max(value) / F.avg(value)).alias("indicator"))
@@ -215,7 +143,7 @@ def phase_indicator(df: DataFrame, value: str, by: list[str]) -> DataFrame:
 
 def median_then_argmax(df: DataFrame, value: str, sample: list[str]) -> DataFrame:
     """Sample with the largest median over its seeds, the first on ties."""
-    med = df.groupBy(*sample).agg(F.percentile(value, F.lit(0.5)).alias("median"))
+    med = medians(df, value, sample).drop("n")
     return med.orderBy(F.desc("median"), *sample).limit(1)
 
 

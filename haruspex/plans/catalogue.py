@@ -15,7 +15,7 @@ from haruspex.functions import dist
 from haruspex.functions.basis import Basis
 from haruspex.functions.models import MODELS, affine_input, evaluate
 from haruspex.operators.adaptive import INVARIANTS as _INVARIANTS
-from haruspex.operators import design, geometry, linalg, sampling, series, stats, surrogate
+from haruspex.operators import design, geometry, linalg, sampling, series, stats, surrogate, tracks
 
 Query = Callable[[SparkSession, str], DataFrame]
 QUERIES: dict[str, Query] = {}
@@ -206,7 +206,7 @@ def q_exceedance_tail(spark, sf_dir):
     f"SELECT event_id, {_rs('m', 4)} AS mov_avg, {_rs('s - m * m', 3)} AS mov_var FROM w WHERE k >= 5"
 )
 def q_moving_stats(spark, sf_dir):
-    s = stats.moving(_t(spark, sf_dir, "events").select("event_id", "user_id", "value"), "value", ["user_id"], ["event_id"], 5)
+    s = tracks.moving(_t(spark, sf_dir, "events").select("event_id", "user_id", "value"), "value", ["user_id"], ["event_id"], 5)
     return s.select("event_id", _r(F.col("mov_avg"), 4).alias("mov_avg"), _r(F.col("mov_var"), 3).alias("mov_var"))
 
 
@@ -215,7 +215,7 @@ def q_moving_stats(spark, sf_dir):
     f"SELECT user_id, count(*) AS n_up, {_rs('CASE WHEN count(*) > 1 THEN (count(*) - 1) / CAST(max(event_id) - min(event_id) AS DOUBLE) END', 9)} AS rate FROM l WHERE (value - 50) * (nx - 50) < 0 AND nx > value GROUP BY user_id"
 )
 def q_up_crossing(spark, sf_dir):
-    s = stats.up_crossings(_t(spark, sf_dir, "events"), "value", "event_id", ["user_id"], 50.0)
+    s = tracks.up_crossings(_t(spark, sf_dir, "events"), "value", "event_id", ["user_id"], 50.0)
     return s.select("user_id", "n_up", _r(F.col("rate"), 9).alias("rate"))
 
 
@@ -589,7 +589,7 @@ def q_map_domain(spark, sf_dir):
 def q_interpolation(spark, sf_dir):
     k = _t(spark, sf_dir, "events").select("user_id", F.col("event_id").cast("double").alias("t"), F.col("value"))
     g = k.groupBy("user_id").agg(F.min("t").alias("a"), F.max("t").alias("b"), F.count(F.lit(1)).alias("n")).where("n > 1").select("user_id", (F.col("a") + 0.37 * (F.col("b") - F.col("a"))).alias("t"))
-    return stats.interpolate(g, k, "t", "value", ["user_id"]).select("user_id", _r(F.col("t"), 4).alias("t"), _r(F.col("value"), 4).alias("value"))
+    return tracks.interpolate(g, k, "t", "value", ["user_id"]).select("user_id", _r(F.col("t"), 4).alias("t"), _r(F.col("value"), 4).alias("value"))
 
 
 @_query("WITH c AS (SELECT p_size AS id, avg(p_retailprice) - 1400 AS c FROM part GROUP BY p_size), r AS (SELECT id, sum(c * c) OVER (ORDER BY c * c DESC, id ROWS UNBOUNDED PRECEDING) AS s, sum(c * c) OVER () AS t, c * c AS q FROM c) SELECT id, " + _rs("s / t") + " AS share FROM r WHERE (s - q) / t < 0.8")
@@ -735,7 +735,7 @@ def q_adaptive_lineitem(spark, sf_dir):
     return run.observations().select("global_id", "txn", "place", _r(F.col("y")).alias("y"))
 
 
-@_query(f"SELECT invariant, CAST(0 AS BIGINT) AS findings, (SELECT count(*) FROM lineitem) AS points FROM (VALUES " + ", ".join(f"('{x}')" for x in _INVARIANTS) + ") v(invariant)")
+@_query(f"SELECT invariant, CAST(0 AS BIGINT) AS findings, (SELECT count(*) FROM lineitem) AS points FROM (VALUES " + ", ".join("('" + x.replace("'", "''") + "')" for x in _INVARIANTS) + ") v(invariant)")
 def q_adaptive_invariants(spark, sf_dir):
     """What a run over all line items breaks of each invariant: nothing."""
     from haruspex.operators.adaptive import invariants
@@ -760,4 +760,4 @@ def q_reference_pf(spark, sf_dir):
     return out
 
 
-from haruspex.plans import numerics as _numerics  # noqa: E402,F401  (registers its queries)
+from haruspex.plans import numerics as _numerics, scale as _scale  # noqa: E402,F401  (they register their queries)

@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from haruspex.functions.models import MODELS, evaluate
 from haruspex.operators.adaptive import Campaign, Outcome, Problem, array_hash, publication
-from haruspex.operators.stats import settled
+from haruspex.operators.settle import settled
 from haruspex.sources.frozen import POOLS, benchmark_pool, pool, table
 
 #: name: model and its inputs over the coordinates, basis family, whether the quantity of interest is the share of failures, and what is least at the centres

@@ -5,8 +5,8 @@ from __future__ import annotations
 from dataclasses import dataclass
 
 import numpy as np
+import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
-from pyspark.sql import types as T
 
 from haruspex.operators.adaptive import array_hash
 
@@ -59,5 +59,5 @@ def benchmark_pool() -> dict[str, np.ndarray]:
 def table(spark: SparkSession, arrays: dict[str, np.ndarray]) -> DataFrame:
     """``role, global_id, xi_0, ...``: one row for each point."""
     d = next(iter(arrays.values())).shape[0]
-    schema = T.StructType([T.StructField("role", T.StringType(), False), T.StructField("global_id", T.LongType(), False)] + [T.StructField(f"xi_{k}", T.DoubleType()) for k in range(d)])
-    return spark.createDataFrame([(role, i, *map(float, x)) for role, a in arrays.items() for i, x in enumerate(a.T)], schema)
+    parts = [pa.table({"role": [role] * a.shape[1], "global_id": np.arange(a.shape[1])} | {f"xi_{k}": a[k] for k in range(d)}) for role, a in arrays.items()]
+    return spark.createDataFrame(pa.concat_tables(parts))

@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from haruspex.functions import dist, models, special
 from haruspex.functions.basis import Basis
-from haruspex.operators import geometry, linalg, sampling, series, stats, surrogate
+from haruspex.operators import geometry, linalg, sampling, series, stats, surrogate, tracks
 from haruspex.streaming import incremental
 
 
@@ -123,7 +123,7 @@ def test_empty_and_null_inputs(spark):
 def test_interpolation(spark):
     s = spark.createDataFrame([(1, 0.0, 0.0), (1, 2.0, 4.0)], "k int, t double, v double")
     g = spark.createDataFrame([(1, x) for x in (-1.0, 0.5, 1.0, 3.0)], "k int, t double")
-    got = {r["t"]: r["v"] for r in stats.interpolate(g, s, "t", "v", ["k"]).collect()}
+    got = {r["t"]: r["v"] for r in tracks.interpolate(g, s, "t", "v", ["k"]).collect()}
     assert got == {-1.0: 0.0, 0.5: 1.0, 1.0: 2.0, 3.0: 4.0}
 
 
