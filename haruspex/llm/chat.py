@@ -4,7 +4,6 @@ from __future__ import annotations
 
 import hashlib
 import re
-from collections import deque
 from collections.abc import Callable, Iterator
 
 import pyarrow as pa
@@ -17,9 +16,9 @@ from haruspex.llm import common as C
 Turn = tuple[str, str]  # role, text
 Template = Callable[[list[Turn]], str]
 
-#: Turns that are rendered before a turn to find its span, if the template is declared
-#: turn-local; for any other, all turns from the conversation's start are.
-CONTEXT = 64
+#: Turns, up to twice as many, that are rendered before a turn to find its span, if the template
+#: is declared turn-local; for any other, all turns from the conversation's start are.
+CONTEXT = 16
 
 END = "</turn>"
 _NAMES = {"user": "User", "assistant": "Assistant", "system": "System", "tool": "Tool"}
@@ -60,6 +59,15 @@ class RewritesHistory(ValueError):
     """A template's rendering of more turns doesn't start with its rendering of fewer."""
 
 
+def _probed(past: list[Turn], role: str, template: Template, before: str) -> tuple[str, str]:
+    """What a turn's span has before and behind its text, by rendering the turn with other texts."""
+    one, two, none = (template([*past, (role, t)]) for t in ("a", "b", ""))
+    at = next((i for i, (x, y) in enumerate(zip(one, two)) if x != y), None)
+    if at is None or not one.startswith(before) or len(one) != len(none) + 1 or not none.startswith(before):
+        raise RewritesHistory(f"turn {len(past)}: its text isn't rendered once, in place")
+    return none[len(before) : at], none[at:]
+
+
 def turn_spans(turns: Iterator[Turn], template: Template, context: int | None = None) -> Iterator[tuple[Turn, str, tuple[int, int]]]:
     """Each turn with the characters that it adds to the output, and where its escaped text lies in them.
 
@@ -68,36 +76,57 @@ def turn_spans(turns: Iterator[Turn], template: Template, context: int | None =
     with the first, the template rewrites history.  The text's place is found by
     rendering the turn with other texts and comparing.
 
-    ``context`` is for templates whose output is each turn's own, in order: no
-    more than so many turns are rendered before one.  A window that renders
-    otherwise than its turns' spans shows that the template isn't such.
+    ``context`` is for templates whose output is each turn's own, in order: ``context`` to
+    twice as many turns are rendered before one, and what surrounds a text is probed again only where
+    a turn of the same role was surrounded otherwise.  That this is so is not believed: after
+    1, 2, 4, 8, ... turns and at the end the whole prefix is rendered and compared with the
+    spans so far, and an output that differs rewrites history.  So a conversation of n turns costs
+    about 2 n turns' rendering for the prefixes and ``1.5 * context * n`` for the windows, and its turns are held.
     """
     past: list[Turn] = []
-    spans: deque[str] = deque(maxlen=context)
+    every: list[Turn] = []
+    spans: list[str] = []
+    around: dict[str, tuple[str, str]] = {}
+    joined, length, due = hashlib.sha256(), 0, 1
     before = template([])
     if context is not None and before:
         raise RewritesHistory("a turn-local template renders nothing for no turns")
+
+    def compare() -> None:
+        whole = template(list(every))
+        if len(whole) != length or hashlib.sha256(whole.encode("utf-8", "surrogatepass")).digest() != joined.digest():
+            raise RewritesHistory(f"the first {len(every)} turns aren't rendered as their spans")
+
     for role, text in turns:
-        if context is not None and len(past) > context:
-            past = past[-context:]
+        if context is not None and len(past) >= 2 * context:
+            past, spans = past[-context:], spans[-context:]
             before = template(past)
             if before != "".join(spans):
                 raise RewritesHistory("the template isn't turn-local")
         now = template([*past, (role, text)])
         if not now.startswith(before):
             raise RewritesHistory(f"turn {len(past)} changes what was rendered before")
-        one, two, none = (template([*past, (role, t)]) for t in ("a", "b", ""))
-        a = next((i for i, (x, y) in enumerate(zip(one, two)) if x != y), None)
-        if a is None or not one.startswith(before) or len(one) != len(none) + 1:
-            raise RewritesHistory(f"turn {len(past)}: its text isn't rendered once, in place")
-        tail = len(none) - a
-        if now[:a] != none[:a] or (tail and now[-tail:] != none[a:]):
+        span = now[len(before) :]
+        head, tail = around.get(role) or _probed(past, role, template, before)
+        fits = lambda: len(span) >= len(head) + len(tail) and span.startswith(head) and span.endswith(tail)  # noqa: E731, B023
+        if not fits() and role in around:
+            head, tail = _probed(past, role, template, before)
+        if not fits():
             raise RewritesHistory(f"turn {len(past)}: what surrounds the text depends on it")
         if context is not None:
-            spans.append(now[len(before) :])
-        yield (role, text), now[len(before) :], (a - len(before), len(now) - tail - len(before))
+            around[role] = head, tail
+            every.append((role, text))
+            spans.append(span)
+            joined.update(span.encode("utf-8", "surrogatepass"))
+            length += len(span)
+        yield (role, text), span, (len(head), len(span) - len(tail))
         past.append((role, text))
         before = now
+        if context is not None and len(every) == due:
+            compare()
+            due *= 2
+    if len(every) != due // 2:
+        compare()
 
 
 class _Digest:
@@ -119,7 +148,7 @@ class _Digest:
 
 _FIELDS = [
     ("rewrites", T.BooleanType()), ("n_turns", T.LongType()), ("turns_sha256", T.StringType()), ("loss_chars", T.LongType()),
-    ("loss_sha256", T.StringType()), ("formatted_chars", T.LongType()),
+    ("loss_sha256", T.StringType()), ("formatted_chars", T.LongType()), ("error", T.StringType()),
 ]
 
 
@@ -128,14 +157,15 @@ def format_conversations(turns: DataFrame, template: Template = default_template
 
     Rows are dealt by conversation and sorted by turn, and each task streams
     through its rows.  For a template declared ``turn_local`` (by default only
-    ``default_template`` is) it holds ``CONTEXT`` turns, never a whole
-    conversation; for others it renders all prefixes, in memory and time that
-    grow with the conversation and with its square.  A digest over a conversation
-    is sequential, so one conversation is one task's.  ``parse`` reads a turn's
-    role and text back from its span.
+    ``default_template`` is) it renders windows, and whole prefixes at doubling
+    turns (``turn_spans``): time in proportion to the conversation.  For others it
+    renders all prefixes, in time that grows with its square.  A template is a
+    function of all turns, so a conversation's turns are held by one task.
+    ``parse`` reads a turn's role and text back from its span.
 
     * A conversation whose rendering rewrites history: ``rewrites`` is true and all
-      else null; the others aren't touched by it.
+      else null.  One for which the template or ``parse`` raises anything else: ``error``
+      says what, and all else is null.  The other conversations aren't touched by it.
     * Null text or role: empty.  Null turn: after the others.  Null conversation: one of its own.
     * Equal turn numbers: by role, then text, both by code point; repeated rows are repeated turns.
     * Other columns aren't read.  Empty input: empty result.
@@ -162,10 +192,12 @@ def format_conversations(turns: DataFrame, template: Template = default_template
             try:
                 for _, span, where in turn_spans(((r, t) for _, r, t in of), template, context):
                     d.add(*parse(span), span, where)
+                made = (False, d.n, d.turns.hexdigest(), d.loss_chars, d.loss.hexdigest(), d.chars, None)
             except RewritesHistory:
-                out.append((conv, True, *[None] * 5))
-                continue
-            out.append((conv, False, d.n, d.turns.hexdigest(), d.loss_chars, d.loss.hexdigest(), d.chars))
+                made = (True, *[None] * 6)
+            except Exception as e:  # the template's or parse's own, whatever it is: they are black boxes
+                made = (*[None] * 6, f"{type(e).__name__}: {e}")
+            out.append((conv, *made))
             if len(out) >= 1000:
                 yield pack()
                 out.clear()
@@ -189,7 +221,7 @@ f AS (
 SELECT conv_id, false AS rewrites, count(*) AS n_turns, sha256(string_agg(role || chr(10) || text || chr(10), '' ORDER BY turn, role, text)) AS turns_sha256,
   CAST(coalesce(sum(length(text)) FILTER (WHERE role = 'assistant'), 0) AS BIGINT) AS loss_chars,
   sha256(coalesce(string_agg(text, '' ORDER BY turn, role, text) FILTER (WHERE role = 'assistant'), '')) AS loss_sha256,
-  CAST(sum(length(shown)) AS BIGINT) AS formatted_chars
+  CAST(sum(length(shown)) AS BIGINT) AS formatted_chars, CAST(NULL AS VARCHAR) AS error
 FROM f GROUP BY conv_id
 """
 

@@ -11,7 +11,7 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
-from haruspex.llm import bpe, divergence, negatives, secrets
+from haruspex.llm import bpe, chat, divergence, negatives, secrets
 from haruspex.llm import wordgrid as wg
 
 DOCS = "doc_id long, text string, lang string, source string"
@@ -258,6 +258,52 @@ def test_a_class_sees_its_own_names():
     assert _literals(f'class A:\n    def f(self):\n        self.k = "{SECRET}"\nclass B:\n    def g(self):\n        self.password = self.k\n') == []
 
 
+# -- chat templates
+
+
+TURNS = [("system", "s")] + [(("user", "assistant")[k % 2], f"t{k}") for k in range(299)]
+
+
+@pytest.mark.parametrize("kept", [20, 90, 200, 299])
+def test_templates_that_drop_old_turns_are_detected(kept):
+    with pytest.raises(chat.RewritesHistory):
+        list(chat.turn_spans(iter(TURNS), lambda ts: chat.default_template(ts[-kept:]), chat.CONTEXT))
+    assert len(list(chat.turn_spans(iter(TURNS[:kept]), lambda ts: chat.default_template(ts[-kept:]), chat.CONTEXT))) == kept
+
+
+def test_long_conversations_take_time_in_proportion():
+    rendered = [0]
+
+    def counted(ts):
+        rendered[0] += len(ts)
+        return chat.default_template(ts)
+
+    turns = [(("user", "assistant", "odd:role")[k % 3], f"text {k} ### </turn>") for k in range(10_000)]
+    began = time.perf_counter()
+    got = list(chat.turn_spans(iter(turns), counted, chat.CONTEXT))
+    assert time.perf_counter() - began < 10 and rendered[0] < 10_000 * (2 * chat.CONTEXT + 6)
+    assert "".join(s for _, s, _ in got) == chat.default_template(turns)
+    assert all(chat.unescape(s[a:b]) == t for (_, t), s, (a, b) in got)
+
+
+def test_any_error_of_a_template_is_its_conversation_s(spark):
+    def fussy(ts):
+        if any("bad" in t for _, t in ts):
+            raise KeyError("bad text")
+        return chat.default_template(ts)
+
+    rows = [(c, k, "user", t) for c, texts in ((1, ["a", "b"]), (2, ["a", "bad", "c"]), (3, ["x"])) for k, t in enumerate(texts)]
+    turns = spark.createDataFrame(rows, "conv_id long, turn long, role string, text string")
+    for local in (False, True):
+        out = {r["conv_id"]: r for r in chat.format_conversations(turns, fussy, turn_local=local).collect()}
+        assert out[1]["n_turns"] == 2 and out[3]["n_turns"] == 1 and out[2]["error"] == "KeyError: 'bad text'" and out[2]["n_turns"] is None and out[2]["rewrites"] is None
+
+    def strict(span):
+        raise ValueError("unreadable")
+
+    assert {r["error"] for r in chat.format_conversations(turns, parse=strict).collect()} == {"ValueError: unreadable"}
+
+
 def test_every_operator_is_registered():
     from haruspex.llm import queries
 
