@@ -161,3 +161,54 @@ _HALVED = f"density / (CASE WHEN j IN (0, {_LEN // 2}) THEN 1 ELSE 2 END)"
 def q_event_autocorrelation(spark, sf_dir):
     s = spectra.spectrum(_hot(spark, sf_dir), "value", ["series"], ["event_id"], _LEN)
     return spectra.autocorrelation(s, ["series"], _LEN).select("series", "lag", _r(F.col("r"), 5).alias("r"))
+
+
+# -- the least ellipsoid, and domains of interest by a level
+
+_CORE = ["a", "b", "c"]
+
+
+def _coordinates(spark, sf_dir):
+    return _t(spark, sf_dir, "embeddings").select("vec_id", *[F.col("embedding")[k].cast("double").alias(c) for k, c in enumerate(_CORE)])
+
+
+@_query("SELECT count(*) AS n, CAST(0 AS BIGINT) AS outside, true AS least, true AS touched FROM embeddings")
+def q_least_ellipsoid(spark, sf_dir):
+    """Of the least ellipsoid around all embeddings' first components: what lies outside, whether its gap proves it least, and whether points are on it."""
+    from haruspex.operators.ellipsoid import least_ellipsoid
+
+    points = _coordinates(spark, sf_dir)
+    e = least_ellipsoid(points, _CORE, 1e-6)
+    m = e.measure(_CORE)
+    return points.agg(F.count(F.lit(1)).alias("n"), F.count(F.when(m > 1 + 1e-9, 1)).alias("outside"), F.lit(e.gap <= 1e-6).alias("least"), (F.count(F.when(m > 1 - 1e-4, 1)) >= len(_CORE) + 1).alias("touched"))
+
+
+_LEVEL, _WIDE = 50000.0, 0.05
+_NEAR = (
+    f"WITH p AS (SELECT global_id, xi_0, xi_1, 4e4 + 2e4 * xi_0 * xi_0 + 1e4 * xi_1 AS y FROM (SELECT global_id, min(xi_0) AS xi_0, min(xi_1) AS xi_1 FROM {_points_sql(2, True)} GROUP BY global_id)), c AS (SELECT * FROM p ORDER BY abs(y - {_LEVEL}), global_id LIMIT 10), "
+    "d AS (SELECT p.global_id, c.global_id AS at, sqrt(power(p.xi_0 - c.xi_0, 2) + power(p.xi_1 - c.xi_1, 2)) AS d FROM p, c), "
+    f"n AS (SELECT global_id, min(d) AS d FROM d GROUP BY global_id HAVING min(d) < {_WIDE}) "
+)
+
+
+def _level(spark, sf_dir):
+    once = _points(spark, sf_dir, 2, True).groupBy("global_id").agg(F.min("xi_0").alias("xi_0"), F.min("xi_1").alias("xi_1"))
+    return once.withColumn("y", 4e4 + 2e4 * F.col("xi_0") * F.col("xi_0") + 1e4 * F.col("xi_1"))
+
+
+@_query(_NEAR + f"SELECT global_id, {_rs('d')} AS min_dist FROM n")
+def q_level_domain(spark, sf_dir):
+    """Line items near the points whose response is nearest to a level."""
+    from haruspex.operators.resample import level_domain
+
+    p = _level(spark, sf_dir)
+    return level_domain(p, p, ["xi_0", "xi_1"], "y", _LEVEL, "global_id", radius=_WIDE).select("global_id", _r(F.col("min_dist")).alias("min_dist"))
+
+
+@_query(_NEAR + f", w AS (SELECT global_id, d, -ln((CAST('0x' || substr(md5(global_id || ':7'), 1, 8) AS BIGINT) + 0.5e0) / 4294967296) * (1 + power(d / {_WIDE}, 2)) AS k FROM n) SELECT global_id, {_rs('k')} AS draw FROM w ORDER BY k, global_id LIMIT 50")
+def q_level_sample(spark, sf_dir):
+    """Fifty of them, the nearer the likelier."""
+    from haruspex.operators.resample import domain_sample
+
+    p = _level(spark, sf_dir)
+    return domain_sample(p, p, ["xi_0", "xi_1"], "y", _LEVEL, "global_id", 50, radius=_WIDE, seed=7).select("global_id", _r(F.col("draw")).alias("draw"))

@@ -237,3 +237,89 @@ def test_leave_one_out(steep, adjusted):
         want *= n / (n - 2) * (1 + np.trace(np.linalg.inv(x.T @ x)))
     got = orthogonal.leave_one_out(df.sparkSession.createDataFrame(noisy), ["a", "c"], "y", adjusted)
     assert got == pytest.approx(want, rel=1e-9)
+
+
+# -- ellipsoids
+
+
+@pytest.mark.parametrize("d", [2, 3, 6])
+def test_least_ellipsoid(spark, d):
+    from haruspex.operators import design
+    from haruspex.operators.ellipsoid import least_ellipsoid
+
+    rng = np.random.default_rng(d)
+    x = rng.normal(size=(400, d)) @ rng.normal(size=(d, d)) * 100 + 7
+    xs = [f"x{k}" for k in range(d)]
+    df = spark.createDataFrame(pd.DataFrame(x, columns=xs)).unionByName(spark.createDataFrame(pd.DataFrame([[float("nan")] * d], columns=xs)).where("x0 > 0")).repartition(5)
+    e = least_ellipsoid(df, xs, 1e-7)
+    off = x - e.center
+    measure = np.einsum("ij,jk,ik->i", off, e.shape, off)
+    assert measure.max() == pytest.approx(1, abs=1e-6) and (measure <= 1 + 1e-9).all() and e.gap <= 1e-7
+    _, A = design.enclosing_ellipsoid(x, 1e-6, 20_000)
+    assert 1 / np.sqrt(np.linalg.det(A)) == pytest.approx(1 / np.sqrt(np.linalg.det(e.shape)), rel=0.02)
+    got = np.array([r[0] for r in df.select(e.measure(xs)).where(F.col("x0").isNotNull()).collect()])
+    np.testing.assert_allclose(np.sort(got[~np.isnan(got)]), np.sort(measure), atol=1e-8)
+    if d < 4:
+        s = e.surface(20) - e.center
+        np.testing.assert_allclose(np.einsum("ij,jk,ik->i", s, e.shape, s), 1, atol=1e-9)
+    if d == 2:
+        half = e.axes()[0]
+        assert e.volume() == pytest.approx(np.pi * half.prod())
+
+
+def test_ellipsoid_of_a_square_and_of_a_plane(spark):
+    from haruspex.operators.ellipsoid import least_ellipsoid
+
+    square = spark.createDataFrame([(float(a), float(b)) for a in (0, 2) for b in (0, 6)] + [(1.0, 3.0)] * 50, "a double, b double")
+    e = least_ellipsoid(square, ["a", "b"], 1e-9)
+    np.testing.assert_allclose(e.center, [1, 3], atol=1e-6)
+    np.testing.assert_allclose(e.axes()[0], [3 * np.sqrt(2), np.sqrt(2)], rtol=1e-6)
+    for bad in (square.withColumn("b", F.col("a") * 2), square.withColumn("b", F.lit(1.0)), square.limit(0)):
+        with pytest.raises(ValueError):
+            least_ellipsoid(bad, ["a", "b"])
+
+
+# -- samples near a level
+
+
+def test_weighted_samples_have_their_frequencies(spark):
+    from haruspex.operators.resample import weighted_sample
+
+    w = np.array([1.0, 2.0, 4.0, 8.0] * 5 + [0.0] * 3)
+    df = spark.createDataFrame([(k, float(v)) for k, v in enumerate(w)], "id long, w double").coalesce(2)
+    taken = np.zeros((600, len(w)))
+    seeds = spark.range(600).withColumnRenamed("id", "s")
+    from haruspex.operators.resample import hashed_uniform
+
+    key = -F.log(hashed_uniform(F.concat_ws("/", "id", "s"), 3)) / F.col("w")
+    rows = df.where("w > 0").crossJoin(F.broadcast(seeds)).withColumn("k", key)
+    for r in rows.groupBy("s").agg(F.slice(F.sort_array(F.collect_list(F.struct("k", "id"))), 1, 4).alias("a")).collect():
+        taken[r["s"], [x["id"] for x in r["a"]]] = 1
+    rng, draws = np.random.default_rng(1), np.zeros((6000, len(w)))
+    for t in range(len(draws)):
+        draws[t, rng.choice(len(w), 4, replace=False, p=w / w.sum())] = 1
+    for v in (1, 2, 4, 8):
+        assert taken[:, w == v].mean() == pytest.approx(draws[:, w == v].mean(), abs=0.025)
+    a = {r["id"] for r in weighted_sample(df, F.col("w"), 6, "id", 5).collect()}
+    b = {r["id"] for r in weighted_sample(df.repartition(7), F.col("w"), 6, "id", 5).collect()}
+    assert a == b and len(a) == 6 and max(a) < 20
+    assert weighted_sample(df, F.col("w"), 99, "id").count() == 20 and weighted_sample(df.limit(0), F.col("w"), 9, "id").count() == 0
+
+
+def test_level_domain_with_lonely_points(spark):
+    from haruspex.operators.resample import level_domain
+
+    rng = np.random.default_rng(8)
+    data = pd.DataFrame({"id": range(300), "a": rng.normal(size=300), "b": rng.normal(size=300)})
+    data["y"] = data["a"] + data["b"]
+    data.loc[299, ["a", "b", "y"]] = 50.0, -50.0, 0.0  # nothing is near this one
+    cand = data[data["id"] != 299]
+    got = {r["id"] for r in level_domain(spark.createDataFrame(data), spark.createDataFrame(cand), ["a", "b"], "y", 0.0, "id", n=5, radius=0.3, least=7).collect()}
+    centers = data.assign(d=data["y"].abs()).sort_values(["d", "id"]).head(5)
+    want = set()
+    for c in centers.itertuples():
+        d = np.hypot(cand["a"] - c.a, cand["b"] - c.b)
+        near = set(cand["id"][d < 0.3]) or set(cand["id"].iloc[np.argsort(d, kind="stable")[:7]])
+        want |= near
+    assert got == want
+    assert level_domain(spark.createDataFrame(data).limit(0), spark.createDataFrame(cand), ["a", "b"], "y", 0.0, "id").count() == 0
