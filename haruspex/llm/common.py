@@ -94,6 +94,11 @@ def marked(df: DataFrame, key: str, keys: DataFrame) -> DataFrame:
     return rows.withColumn("marked", F.coalesce(bit & F.col(key).isNotNull(), F.lit(False))).drop("__k", "__m", "__p")
 
 
+def agreed(labels: DataFrame, label: str) -> DataFrame:
+    """``doc_id, label`` of the ids whose rows have one label; ids that are marked both ways are left out, whatever the order of rows."""
+    return labels.groupBy("doc_id").agg(F.min(label).alias(label), F.max(label).alias("__most")).where(F.col(label) == F.col("__most")).drop("__most")
+
+
 def partitions(spark: SparkSession) -> int:
     return int(spark.conf.get("spark.sql.shuffle.partitions"))
 

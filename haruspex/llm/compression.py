@@ -63,7 +63,8 @@ def train(rows: list[tuple[int, int, bytes]], odds: float) -> Model:
 
 def labelled_sample(docs: DataFrame, labels: DataFrame) -> tuple[list[tuple[int, int, bytes]], float]:
     """Bounded sample of the rows that may be learned from, and the odds of label 1 among all of them."""
-    marked = labels.where("quality IN (0, 1) AND doc_id IS NOT NULL").where(~held_out(F.col("doc_id"))).select("doc_id", "quality").dropDuplicates(["doc_id"])
+    marked = labels.where("quality IN (0, 1) AND doc_id IS NOT NULL").where(~held_out(F.col("doc_id")))
+    marked = C.agreed(marked, "quality")
     counts = {r[0]: r[1] for r in marked.groupBy("quality").count().collect()}
     odds = (counts.get(1, 0) + 1) / (counts.get(0, 0) + 1)
     h = F.xxhash64("doc_id", F.lit(31))
@@ -72,7 +73,8 @@ def labelled_sample(docs: DataFrame, labels: DataFrame) -> tuple[list[tuple[int,
         part = marked.where(F.col("quality") == y).orderBy(h, "doc_id").limit(CLASS_ROWS)
         chosen = part if chosen is None else chosen.unionByName(part)
     # at most 2 * CLASS_ROWS ids
-    rows = docs.select("doc_id", F.col("text").cast("binary").alias("text")).join(F.broadcast(chosen), "doc_id").where(F.length("text").between(1, MAX_TEXT)).dropDuplicates(["doc_id"])
+    rows = docs.select("doc_id", F.col("text").cast("binary").alias("text")).join(F.broadcast(chosen), "doc_id").where(F.length("text").between(1, MAX_TEXT))
+    rows = rows.groupBy("doc_id", "quality").agg(F.min("text").alias("text"))
     return [(r["doc_id"], r["quality"], bytes(r["text"])) for r in rows.collect()], odds
 
 

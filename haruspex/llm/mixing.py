@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import numpy as np
+import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
@@ -14,6 +16,8 @@ MAX_SOURCES = 200_000
 CELLS = 8192
 #: Last places of a sample, each of which goes to the document that ends nearest to the target.
 LAST = 4
+#: Documents on either side of the cut, in order, of which one each may change places at last.
+SWAPS = 256
 #: Size classes for each doubling, over which a source's inclusion probabilities are scaled.
 FINE = 32
 
@@ -53,6 +57,8 @@ def pareto_mix(docs: DataFrame, *, cycle=(3.0, 1.0, 2.0), share: float = 1.5, ca
       are taken by ascending ratio of random odds to inclusion odds; those of probability 1 come first.
     * The sample's size is the number of documents whose words come up to what is
       left; its last places (up to ``LAST``, one in all but small sources) go to the documents that end nearest to it.
+      Then one of the ``SWAPS`` documents taken last and one of the ``SWAPS`` next in order
+      change places where that comes nearer still.
 
     No source is sorted in one task: ratios are put in ``CELLS`` cells, sums by
     source and cell are aggregated map-side, and only the cell in which the cut
@@ -119,13 +125,15 @@ def _mix(docs, cycle, share, cap, seed, size, id_col, source_col, text_col, carr
             gap[r["__source"]] -= r["__size"]
         if not best:
             break
-    final = [(*p, cuts[p[0]]["r_part"], int(cuts[p[0]]["k_part"]), last[p[0]]) if p[0] in cuts else (*p, None, 0, []) for p in plan]
-    rows = _ratios(_by_source(full if carry else narrow, _table(spark, final, kinds + ", r_part double, k_part long, last array<double>")))
+    swaps = _swaps(ranked, [(k, float(g), cuts[k]["r_part"], last[k]) for k, g in gap.items() if abs(g) >= 1])
+    final = [(*p, cuts[p[0]]["r_part"], int(cuts[p[0]]["k_part"]), last[p[0]], *swaps.get(p[0], (None, None))) if p[0] in cuts else (*p, None, 0, [], None, None) for p in plan]
+    rows = _ratios(_by_source(full if carry else narrow, _table(spark, final, kinds + ", r_part double, k_part long, last array<double>, r_out double, r_in double")))
     one_more = F.array_contains(F.col("last"), F.col("__r")).cast("long")
-    # rows of equal ratios are numbered by partition first, so that not one task numbers them
+    # rows of equal ratios are numbered by partition first, so that not one task numbers them; they are
+    # cut with their partitions' numbers, which thus hold whatever is computed again
     rows = rows.withColumn("__quota", F.when(F.col("__r") == F.col("r_part"), F.col("k_part") + one_more).when(one_more == 1, one_more))
-    sure = rows.where("__quota IS NULL").withColumn("__extra", F.coalesce(F.col("__r") < F.col("r_part"), F.lit(False)).cast("int"))
-    alike = rows.where("__quota IS NOT NULL").withColumn("__in", F.spark_partition_id())
+    sure = rows.where("__quota IS NULL").withColumn("__extra", F.coalesce((F.col("__r") < F.col("r_part")) & ~F.col("__r").eqNullSafe(F.col("r_out")) | F.col("__r").eqNullSafe(F.col("r_in")) & F.col("__r").isNotNull(), F.lit(False)).cast("int"))
+    alike = C.cut(rows.where("__quota IS NOT NULL").withColumn("__in", F.spark_partition_id()))
     local = alike.withColumn("__nth", F.row_number().over(W.partitionBy("__source", "__r", "__in").orderBy("__id")))
     counts = alike.groupBy("__source", "__r", "__in").agg(F.count(F.lit(1)).alias("m"))
     before = counts.withColumn("__before", F.sum("m").over(W.partitionBy("__source", "__r").orderBy("__in")) - F.col("m")).select(F.col("__source").alias("b_source"), F.col("__r").alias("b_r"), F.col("__in").alias("b_in"), "__before")
@@ -185,6 +193,38 @@ def _cuts(ranked: DataFrame) -> list:
     return near.groupBy("__source").agg(part.alias("p")).select("__source", F.col("p.__r").alias("r_part"), "p.k_part", "p.left", "p.words").collect()
 
 
+def _exchange(rows: pd.DataFrame) -> pd.DataFrame:
+    """The document taken and the one not taken whose exchange ends nearest to a source's gap, if it is nearer than none."""
+    rows = rows[~rows["__r"].duplicated(keep=False)]  # documents of equal ratios stand or fall together
+    # the last of each side may have an equal beyond it
+    sides = [part.sort_values("__nth").iloc[: SWAPS - 1].sort_values(["__size", "__r"]) for part in (rows[rows["__taken"]], rows[~rows["__taken"]])]
+    none = pd.DataFrame({"__source": pd.Series(dtype=str), "r_out": pd.Series(dtype=float), "r_in": pd.Series(dtype=float)})
+    if any(part.empty for part in sides):
+        return none
+    gap, (out, into) = float(rows["gap"].iloc[0]), sides
+    wanted, have = out["__size"].to_numpy() + gap, into["__size"].to_numpy()
+    at = np.searchsorted(have, wanted)
+    near = np.stack([np.clip(at - 1, 0, len(have) - 1), np.clip(at, 0, len(have) - 1)])
+    off = np.abs(have[near] - wanted)
+    k, i = np.unravel_index(int(off.argmin()), off.shape)
+    if off[k, i] >= abs(gap):
+        return none
+    return pd.DataFrame({"__source": [rows["__source"].iloc[0]], "r_out": [float(out["__r"].iloc[i])], "r_in": [float(into["__r"].iloc[near[k, i]])]})
+
+
+def _swaps(ranked: DataFrame, gaps: list[tuple]) -> dict:
+    """By source: the ratios of the document that gives its place up and of the one that gets it."""
+    if not gaps:
+        return {}
+    rows = _by_source(ranked, _table(ranked.sparkSession, gaps, "gap double, r_part double, last array<double>"))
+    rows = rows.where("__r > 0 AND __r <> r_part AND NOT array_contains(last, __r)").withColumn("__taken", F.col("__r") < F.col("r_part"))
+    near = W.partitionBy("__source", "__taken").orderBy(F.abs(F.col("__r") - F.col("r_part")), "__id")
+    rows = rows.select("__source", "__taken", "__r", "__size", "gap", F.row_number().over(near).alias("__nth")).where(F.col("__nth") <= SWAPS)
+    # 2 * SWAPS rows of a source at most
+    found = rows.groupBy("__source").applyInPandas(_exchange, "__source string, r_out double, r_in double").collect()
+    return {r["__source"]: (r["r_out"], r["r_in"]) for r in found}
+
+
 def op1_pareto_mix(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = C.load(spark, sf_dir, "documents").select("doc_id", "source", "text")
     return pareto_mix(docs).select("doc_id", "size", "source_size", "target", "taken", "copies", "inclusion")

@@ -71,10 +71,12 @@ VERDICT = [T.StructField("base_failed", T.BooleanType()), T.StructField("kept",
 
 def train(docs: DataFrame, labels: DataFrame) -> linear.Model:
     """A model of ``labels.quality`` from a bounded, documented sample of labelled rows (``linear.MAX_ROWS``)."""
-    marked = labels.where("quality IN (0, 1) AND doc_id IS NOT NULL").select("doc_id", "quality").dropDuplicates(["doc_id"])
+    marked = C.agreed(labels.where("quality IN (0, 1) AND doc_id IS NOT NULL"), "quality")
     chosen = linear.sample(marked, "quality")
     # at most MAX_ROWS ids
     rows = docs.select("doc_id", "text").join(F.broadcast(chosen), "doc_id")
+    # a repeated document is learned from once
+    rows = rows.groupBy(*[c for c in rows.columns if c != "text"]).agg(F.min("text").alias("text"))
     return linear.train(linear.features(rows, "quality"))
 
 

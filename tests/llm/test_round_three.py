@@ -11,7 +11,7 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
-from haruspex.llm import bpe, chat, divergence, negatives, secrets
+from haruspex.llm import bpe, chat, common, compression, divergence, mixing, negatives, rules, secrets
 from haruspex.llm import wordgrid as wg
 
 DOCS = "doc_id long, text string, lang string, source string"
@@ -258,6 +258,39 @@ def test_a_class_sees_its_own_names():
     assert _literals(f'class A:\n    def f(self):\n        self.k = "{SECRET}"\nclass B:\n    def g(self):\n        self.password = self.k\n') == []
 
 
+# -- labels that disagree, and the last places of a mixture
+
+
+def test_labels_that_disagree_are_left_out(spark):
+    labels = spark.createDataFrame([(1, 0), (1, 0), (2, 0), (2, 1), (3, 1)], "doc_id long, quality int")
+    for rows in (labels, labels.orderBy(F.desc("quality"))):
+        assert sorted(map(tuple, common.agreed(rows, "quality").collect())) == [(1, 0), (3, 1)]
+
+
+def test_training_does_not_depend_on_the_order_of_rows(spark, sf_dir):
+    docs, labels = (spark.read.parquet(f"{sf_dir}/{t}.parquet") for t in ("documents", "labels"))
+    more = labels.unionByName(labels.limit(20).withColumn("quality", 1 - F.col("quality")))
+    twice = docs.unionByName(docs.limit(50).withColumn("text", F.concat(F.lit("other "), "text")))
+    for made in (lambda d, m: compression.labelled_sample(d, m), lambda d, m: rules.train(d, m)):
+        a, b = made(twice, more), made(twice.repartition(5).orderBy(F.desc("text")), more.orderBy("quality"))
+        if isinstance(a, tuple):
+            assert sorted(a[0]) == sorted(b[0]) and a[1] == b[1]
+        else:
+            assert all(np.array_equal(x, y) for x, y in zip(vars(a).values(), vars(b).values()) if isinstance(x, np.ndarray))
+
+
+def test_sources_of_fifty_documents_come_within_half_a_percent(spark):
+    rng = np.random.default_rng(9)
+    rows = [(s * 1000 + k, "w " * int(n), "en", f"s{s:02d}") for s in range(12) for k, n in enumerate(np.exp(rng.normal(5, 1.2, 50)).astype(int) + 1)]
+    docs = spark.createDataFrame(rows, DOCS)
+    out = mixing.pareto_mix(docs).toPandas().merge(docs.select("doc_id", "source").toPandas(), on="doc_id")
+    for _, g in out.groupby("source"):
+        assert abs(g["taken"].sum() - g["target"].iloc[0]) <= 0.005 * g["target"].iloc[0]
+    assert out["taken"].le(2 * out["size"]).all()
+    again = mixing.pareto_mix(docs.repartition(9)).toPandas().set_index("doc_id")["taken"]
+    assert (again.loc[out["doc_id"]].to_numpy() == out["taken"].to_numpy()).all()
+
+
 # -- chat templates
 
 
