@@ -212,3 +212,33 @@ def q_level_sample(spark, sf_dir):
 
     p = _level(spark, sf_dir)
     return domain_sample(p, p, ["xi_0", "xi_1"], "y", _LEVEL, "global_id", 50, radius=_WIDE, seed=7).select("global_id", _r(F.col("draw")).alias("draw"))
+
+
+# -- spacing and evidence
+
+
+@_query(
+    "WITH e AS (SELECT vec_id, CAST(embedding[1] AS DOUBLE) AS a, CAST(embedding[2] AS DOUBLE) AS b, CAST(embedding[3] AS DOUBLE) AS c, label FROM embeddings), "
+    "p AS (SELECT x.label, x.vec_id AS a, y.vec_id AS b, sqrt(power(x.a - y.a, 2) + power(x.b - y.b, 2) + power(x.c - y.c, 2)) AS dist FROM e x JOIN e y ON x.label = y.label AND x.vec_id < y.vec_id) "
+    f"SELECT label, a, b, {_rs('dist', 9)} AS dist FROM p QUALIFY row_number() OVER (PARTITION BY label ORDER BY dist, a, b) = 1"
+)
+def q_closest_pairs(spark, sf_dir):
+    """The closest two embeddings of each label, by three components."""
+    from haruspex.operators.spacing import closest_pairs
+
+    rows = _coordinates(spark, sf_dir).join(_t(spark, sf_dir, "embeddings").select("vec_id", "label"), "vec_id")
+    return closest_pairs(rows, _CORE, "vec_id", ["label"]).select("label", "a", "b", _r(F.col("dist"), 9).alias("dist"))
+
+
+@_query("SELECT 'new row' AS finding, o_orderkey FROM orders WHERE o_orderkey % 97 = 5 UNION ALL SELECT 'missing row', CAST(-1 AS BIGINT) FROM orders WHERE o_orderkey % 97 IN (5, 6)")
+def q_evidence_changes(spark, sf_dir):
+    """Orders against the hash tree of orders of which some had another price and some are gone."""
+    from haruspex.operators.settle import settled
+    from haruspex.sources import evidence
+
+    orders = _t(spark, sf_dir, "orders").select("o_orderkey", "o_custkey", "o_totalprice", "o_orderstatus")
+    held_tree, held_leaves = settled(evidence.tree(orders)), settled(evidence.leaves(orders).groupBy("bucket", "leaf").count())
+    key = F.col("o_orderkey") % 97
+    other = orders.where(key != 6).withColumn("o_totalprice", F.when(key == 5, F.col("o_totalprice") + 1).otherwise(F.col("o_totalprice")))
+    found = evidence.changed(other, held_tree, held_leaves)
+    return found.select("finding", F.coalesce(F.get_json_object("row", "$.o_orderkey").cast("long"), F.lit(-1).cast("long")).alias("o_orderkey"))

@@ -323,3 +323,63 @@ def test_level_domain_with_lonely_points(spark):
         want |= near
     assert got == want
     assert level_domain(spark.createDataFrame(data).limit(0), spark.createDataFrame(cand), ["a", "b"], "y", 0.0, "id").count() == 0
+
+
+# -- closest pairs
+
+
+def _closest(x, ids):
+    d = np.sqrt(((x[:, None] - x[None]) ** 2).sum(-1))
+    pairs = [(d[i, j], min(ids[i], ids[j]), max(ids[i], ids[j])) for i in range(len(x)) for j in range(i)]
+    return min(pairs) if pairs else None
+
+
+@pytest.mark.parametrize("d", [1, 2, 3])
+def test_closest_pairs(spark, d):
+    from haruspex.operators.spacing import closest_pairs
+
+    rng = np.random.default_rng(d)
+    sets = {"even": rng.uniform(size=(300, d)), "dense": np.vstack([rng.normal(size=(200, d)) * 1e-6, rng.normal(size=(50, d)) * 1e3]), "alike": np.vstack([rng.normal(size=(60, d)), np.ones((4, d))]), "two": np.array([[0.0] * d, [5.0] * d]), "one": np.zeros((1, d))}
+    xs = [f"c{k}" for k in range(d)]
+    rows = pd.concat([pd.DataFrame(x, columns=xs).assign(s=s, id=rng.permutation(len(x))) for s, x in sets.items()])
+    got = {r["s"]: (r["dist"], r["a"], r["b"]) for r in closest_pairs(spark.createDataFrame(rows).repartition(4), xs, "id", ["s"]).collect()}
+    assert set(got) == {"even", "dense", "alike", "two"}
+    for s, (dist, a, b) in got.items():
+        want = _closest(rows[rows["s"] == s][xs].to_numpy(), rows[rows["s"] == s]["id"].to_numpy())
+        assert (a, b) == want[1:] and dist == pytest.approx(want[0], abs=1e-12)
+    whole = closest_pairs(spark.createDataFrame(rows[rows["s"] == "even"]), xs, "id").first()
+    assert (whole["a"], whole["b"]) == got["even"][1:]
+    assert closest_pairs(spark.createDataFrame(rows).limit(0), xs, "id").count() == 0
+
+
+@pytest.mark.parametrize("criterion", ["maximin", "correlation"])
+def test_best_hypercube(spark, criterion):
+    from haruspex.operators import sampling
+    from haruspex.operators.spacing import best_hypercube
+
+    best = best_hypercube(spark, 2, 40, 4, criterion=criterion, seed=3).orderBy("global_id").toPandas()
+    designs = [sampling.lhs(spark, 2, 40, 3 + k).orderBy("global_id").toPandas() for k in range(4)]
+    of = {"maximin": lambda x: -_closest(x, range(len(x)))[0], "correlation": lambda x: abs(np.corrcoef(x.T)[0, 1])}[criterion]
+    scores = [of(x[["xi_0", "xi_1"]].to_numpy()) for x in designs]
+    pd.testing.assert_frame_equal(best, designs[int(np.argmin(scores))])
+
+
+# -- evidence
+
+
+def test_evidence_tells_what_changed(spark, tmp_path):
+    from haruspex.sources import evidence
+
+    a = spark.createDataFrame([(k, float(k) / 3, None if k % 5 else "x") for k in range(200)] + [(7, 7.0, "twice")] * 2, "id long, v double, t string")
+    folder = str(tmp_path / "package")
+    roots = evidence.write_package({"a": a, "b": a.limit(0)}, folder)
+    assert evidence.root(evidence.tree(a.repartition(7).select("t", "v", "id"))) == roots["a"]
+    assert evidence.findings(spark, folder, roots).count() == 0
+    assert sorted(map(tuple, evidence.read_package(spark, folder)["a"].where("id = 7").collect()))[-1] == (7, 7.0, "twice")
+    rows = a.where("id <> 11").withColumn("v", F.when(F.col("id") == 12, F.col("v") + 1e-12).otherwise(F.col("v"))).collect()
+    spark.createDataFrame(rows[:-1], a.schema).write.mode("overwrite").parquet(f"{folder}/tables/a")
+    got = sorted((r["finding"], r["n"], r["row"]) for r in evidence.findings(spark, folder, roots).collect())
+    assert [g[:2] for g in got] == [("missing row", 1)] * 3 + [("new row", 1)] and '"id":12' in got[-1][2]
+    evidence.write_package({"a": spark.createDataFrame(rows, a.schema), "c": a}, folder)  # a package made anew
+    got = {(r["name"], r["finding"]) for r in evidence.findings(spark, folder, roots).collect()}
+    assert got == {("a", "another tree"), ("b", "table not in the package"), ("c", "table that was not told")}
