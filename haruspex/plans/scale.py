@@ -242,3 +242,49 @@ def q_evidence_changes(spark, sf_dir):
     other = orders.where(key != 6).withColumn("o_totalprice", F.when(key == 5, F.col("o_totalprice") + 1).otherwise(F.col("o_totalprice")))
     found = evidence.changed(other, held_tree, held_leaves)
     return found.select("finding", F.coalesce(F.get_json_object("row", "$.o_orderkey").cast("long"), F.lit(-1).cast("long")).alias("o_orderkey"))
+
+
+# -- the stopping controller on a trace made of events
+
+_MIN_R2, _ABS_QOI = 0.2, 60.0
+
+
+def _trace(events):
+    n = F.col("event_id") % 50
+    return events.select(F.col("user_id").alias("run"), F.col("event_id").alias("step"), n.alias("calls"), (F.col("event_id") % 7).alias("order"), (F.col("value") / 100).alias("r2"), F.col("value").alias("mse"), F.col("value").alias("qoi"), "ts")
+
+
+def _rules():
+    from haruspex.streaming.stopping import Rules
+
+    return Rules(budget=45, max_order=5, min_r2=_MIN_R2, rel_mse=2.0, abs_qoi=_ABS_QOI)
+
+
+_VERDICTS = (
+    "WITH t AS (SELECT user_id AS run, event_id AS step, event_id % 50 AS calls, event_id % 7 AS ord, value AS v, lag(value) OVER w AS v1, lag(value, 2) OVER w AS v2 FROM events WINDOW w AS (PARTITION BY user_id ORDER BY event_id)) "
+    f"SELECT run, step, CASE WHEN calls >= 45 THEN 'budget' WHEN ord > 5 THEN 'order' WHEN v1 IS NULL OR v / 100 < {_MIN_R2} OR v1 / 100 < {_MIN_R2} OR v2 IS NULL "
+    f"OR abs(v - v1) > 2 * abs(v1) OR v1 = 0 OR abs(v1 - v2) > 2 * abs(v2) OR v2 = 0 OR abs(v - v1) > {_ABS_QOI} OR abs(v1 - v2) > {_ABS_QOI} THEN 'continues' ELSE 'met' END AS verdict FROM t"
+)
+
+
+@_query(_VERDICTS)
+def q_stopping_verdicts(spark, sf_dir):
+    from haruspex.streaming.stopping import judged
+
+    return judged(_trace(_t(spark, sf_dir, "events")), _rules()).select("run", "step", "verdict")
+
+
+@_query(_VERDICTS)
+def q_stopping_stream(spark, sf_dir):
+    """The same by a stateful stream over the table, written and read again."""
+    import uuid
+
+    from haruspex.operators.settle import shared_folder
+    from haruspex.streaming.stopping import watched
+
+    events = _t(spark, sf_dir, "events")
+    folder = f"{shared_folder(spark)}/stopping-{uuid.uuid4().hex}"
+    stream = spark.readStream.schema(events.schema).option("pathGlobFilter", "*.parquet").parquet(f"{sf_dir}/events.parquet*")
+    out = watched(_trace(stream), _rules(), idle_ms=10**13)
+    out.writeStream.format("parquet").option("checkpointLocation", f"{folder}/state").outputMode("append").trigger(availableNow=True).start(f"{folder}/out").awaitTermination()
+    return spark.read.parquet(f"{folder}/out").select("run", "step", "verdict")

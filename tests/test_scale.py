@@ -383,3 +383,69 @@ def test_evidence_tells_what_changed(spark, tmp_path):
     evidence.write_package({"a": spark.createDataFrame(rows, a.schema), "c": a}, folder)  # a package made anew
     got = {(r["name"], r["finding"]) for r in evidence.findings(spark, folder, roots).collect()}
     assert got == {("a", "another tree"), ("b", "table not in the package"), ("c", "table that was not told")}
+
+
+# -- the stopping controller
+
+
+def _run_trace(n, seed):
+    rng = np.random.default_rng(seed)
+    rows = []
+    for run in range(n):
+        for step in range(40):
+            v = [None if rng.random() < 0.03 else float(x) for x in (1 - np.exp(-step / 5) * rng.random(), np.exp(-step / 4) + 0.01 * rng.random(), 2 + np.exp(-step / 6) * rng.normal())]
+            rows.append((run, step, step * 2, 1 + step // 8, *v, pd.Timestamp("2024-01-01") + pd.Timedelta(minutes=step)))
+    return pd.DataFrame(rows, columns=["run", "step", "calls", "order", "r2", "mse", "qoi", "ts"])
+
+
+TRACE = "run long, step long, calls long, order long, r2 double, mse double, qoi double, ts timestamp"
+
+
+def _plain(df):
+    out = df.astype(object).where(df.notna(), None)
+    out["ts"] = pd.Series([t.to_pydatetime() for t in df["ts"]], dtype=object, index=df.index)
+    return out
+
+
+def test_stopping_stream_equals_batch_through_a_restart(spark, tmp_path):
+    from haruspex.streaming.stopping import LATE, Rules, judged, watched
+
+    rules = Rules(budget=70, max_order=4, min_r2=0.8, abs_mse=0.3, rel_mse=0.5, qoi_below=2.5, abs_qoi=0.4, rel_qoi=0.3)
+    data = _run_trace(6, 1)
+    rows = [tuple(r) for r in _plain(data).itertuples(index=False)]
+    want = {(r["run"], r["step"]): r["verdict"] for r in judged(spark.createDataFrame(rows, TRACE), rules).collect()}
+    assert len(want) == len(data) and set(want.values()) == {"continues", "met", "budget", "order"}
+    by_rows = {}
+    for run, own in data.groupby("run"):
+        back = []
+        for r in _plain(own).to_dict("records"):
+            by_rows[run, r["step"]] = rules.verdict(r, back)
+            back = [r, *back][:2]
+    assert by_rows == want
+    source, sink = str(tmp_path / "in"), str(tmp_path / "out")
+    for part in (range(0, 11), range(11, 13), range(13, 40)):  # each time a new query over the same checkpoint
+        now = [r for r in rows if r[1] in part][::-1]
+        spark.createDataFrame(now, TRACE).coalesce(1).write.mode("append").parquet(source)
+        stream = watched(spark.readStream.schema(TRACE).parquet(source), rules, idle_ms=10**13)
+        stream.writeStream.format("parquet").option("checkpointLocation", str(tmp_path / "state")).trigger(availableNow=True).start(sink).awaitTermination()
+    got = [tuple(r) for r in spark.read.parquet(sink).select("run", "step", "verdict").collect()]
+    assert len(got) == len(want) and {(a, b): v for a, b, v in got} == want
+    late = spark.createDataFrame([rows[0][:1] + (3,) + rows[0][2:7] + (rows[39][7],)], TRACE)
+    late.coalesce(1).write.mode("append").parquet(source)
+    stream = watched(spark.readStream.schema(TRACE).parquet(source), rules, idle_ms=10**13)
+    stream.writeStream.format("parquet").option("checkpointLocation", str(tmp_path / "state")).trigger(availableNow=True).start(sink).awaitTermination()
+    more = [tuple(r) for r in spark.read.parquet(sink).select("run", "step", "verdict").collect()]
+    assert sorted(set(more) - set(got)) == [(0, 3, LATE)]
+
+
+def test_idle_runs_end(spark, tmp_path):
+    from haruspex.streaming.stopping import IDLE, Rules, watched
+
+    rules, source, sink = Rules(budget=99, max_order=9, abs_qoi=1.0), str(tmp_path / "in"), str(tmp_path / "out")
+    t0 = pd.Timestamp("2024-01-01")
+    for k, (run, hour) in enumerate(((1, 0), (2, 5), (2, 6))):
+        spark.createDataFrame([(run, k, k, 1, None, None, 1.0, (t0 + pd.Timedelta(hours=hour)).to_pydatetime())], TRACE).coalesce(1).write.mode("append").parquet(source)
+        stream = watched(spark.readStream.schema(TRACE).parquet(source), rules, idle_ms=3_600_000)
+        stream.writeStream.format("parquet").option("checkpointLocation", str(tmp_path / "state")).trigger(availableNow=True).start(sink).awaitTermination()
+    got = sorted((r["run"], r["step"], r["verdict"]) for r in spark.read.parquet(sink).collect())
+    assert (1, 0, IDLE) in got and not any(r == 2 and v == IDLE for r, _, v in got)
