@@ -3,7 +3,7 @@
 from __future__ import annotations
 
 import numpy as np
-import pandas as pd
+import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
@@ -193,23 +193,26 @@ def _cuts(ranked: DataFrame) -> list:
     return near.groupBy("__source").agg(part.alias("p")).select("__source", F.col("p.__r").alias("r_part"), "p.k_part", "p.left", "p.words").collect()
 
 
-def _exchange(rows: pd.DataFrame) -> pd.DataFrame:
+def _exchange(rows: pa.Table) -> pa.Table:
     """The document taken and the one not taken whose exchange ends nearest to a source's gap, if it is nearer than none."""
-    rows = rows[~rows["__r"].duplicated(keep=False)]  # documents of equal ratios stand or fall together
-    # the last of each side may have an equal beyond it
-    sides = [part.sort_values("__nth").iloc[: SWAPS - 1].sort_values(["__size", "__r"]) for part in (rows[rows["__taken"]], rows[~rows["__taken"]])]
-    none = pd.DataFrame({"__source": pd.Series(dtype=str), "r_out": pd.Series(dtype=float), "r_in": pd.Series(dtype=float)})
-    if any(part.empty for part in sides):
+    taken, ratio, size, nth = (rows[c].to_numpy() for c in ("__taken", "__r", "__size", "__nth"))
+    _, which, many = np.unique(ratio, return_inverse=True, return_counts=True)
+    # documents of equal ratios stand or fall together, and the last of each side may have an equal beyond it
+    alone = (many[which] == 1) & (nth < SWAPS)
+    out, into = (np.flatnonzero(alone & side) for side in (taken, ~taken))
+    none = pa.table({"__source": pa.array([], pa.string()), "r_out": pa.array([], pa.float64()), "r_in": pa.array([], pa.float64())})
+    if not len(out) or not len(into):
         return none
-    gap, (out, into) = float(rows["gap"].iloc[0]), sides
-    wanted, have = out["__size"].to_numpy() + gap, into["__size"].to_numpy()
+    out, into = (x[np.lexsort((ratio[x], size[x]))] for x in (out, into))
+    gap = float(rows["gap"][0].as_py())
+    wanted, have = size[out] + gap, size[into]
     at = np.searchsorted(have, wanted)
     near = np.stack([np.clip(at - 1, 0, len(have) - 1), np.clip(at, 0, len(have) - 1)])
     off = np.abs(have[near] - wanted)
     k, i = np.unravel_index(int(off.argmin()), off.shape)
     if off[k, i] >= abs(gap):
         return none
-    return pd.DataFrame({"__source": [rows["__source"].iloc[0]], "r_out": [float(out["__r"].iloc[i])], "r_in": [float(into["__r"].iloc[near[k, i]])]})
+    return pa.table({"__source": pa.array([rows["__source"][0].as_py()], pa.string()), "r_out": [float(ratio[out[i]])], "r_in": [float(ratio[into[near[k, i]]])]})
 
 
 def _swaps(ranked: DataFrame, gaps: list[tuple]) -> dict:
@@ -221,7 +224,7 @@ def _swaps(ranked: DataFrame, gaps: list[tuple]) -> dict:
     near = W.partitionBy("__source", "__taken").orderBy(F.abs(F.col("__r") - F.col("r_part")), "__id")
     rows = rows.select("__source", "__taken", "__r", "__size", "gap", F.row_number().over(near).alias("__nth")).where(F.col("__nth") <= SWAPS)
     # 2 * SWAPS rows of a source at most
-    found = rows.groupBy("__source").applyInPandas(_exchange, "__source string, r_out double, r_in double").collect()
+    found = rows.groupBy("__source").applyInArrow(_exchange, "__source string, r_out double, r_in double").collect()
     return {r["__source"]: (r["r_out"], r["r_in"]) for r in found}
 
 

@@ -77,7 +77,9 @@ def train(docs: DataFrame, labels: DataFrame) -> linear.Model:
     rows = docs.select("doc_id", "text").join(F.broadcast(chosen), "doc_id")
     # a repeated document is learned from once
     rows = rows.groupBy(*[c for c in rows.columns if c != "text"]).agg(F.min("text").alias("text"))
-    return linear.train(linear.features(rows, "quality"))
+    model = linear.train(linear.features(rows, "quality"))
+    C.release(docs.sparkSession)  # the rows that were learned from
+    return model
 
 
 def quality_rules(docs: DataFrame, model: linear.Model, *, keep: list[str] | None = None, text: str = "text") -> DataFrame:
