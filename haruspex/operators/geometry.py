@@ -7,6 +7,8 @@ from itertools import product
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from haruspex.operators.stats import rounded
+
 #: Centres up to which distances are one expression; more of them are joined by grid cells.
 MAX_CENTERS = 64
 
@@ -154,13 +156,13 @@ def complement_check(universe: DataFrame, a: DataFrame, b: DataFrame, key: str)
 
 def common_points(a: DataFrame, b: DataFrame, xs: list[str], decimals: int = 8) -> DataFrame:
     """Rows of ``a`` whose rounded coordinates all occur as one row of ``b``."""
-    keys = lambda df: [F.round(x, decimals).alias(f"__k{i}") for i, x in enumerate(xs)]
+    keys = lambda df: [rounded(x, decimals).alias(f"__k{i}") for i, x in enumerate(xs)]
     return a.select("*", *keys(a)).join(b.select(*keys(b)).distinct(), [f"__k{i}" for i in range(len(xs))], "left_semi").drop(*[f"__k{i}" for i in range(len(xs))])
 
 
 def duplicate_points(df: DataFrame, xs: list[str], decimals: int = 8) -> DataFrame:
     """Groups of rows with the same rounded coordinates: the coordinates and how many."""
-    return df.groupBy(*[F.round(x, decimals).alias(x) for x in xs]).count().where("count > 1")
+    return df.groupBy(*[rounded(x, decimals).alias(x) for x in xs]).count().where("count > 1")
 
 
 def coef_error(a: DataFrame, b: DataFrame) -> DataFrame:

@@ -31,9 +31,10 @@ def ordered(df: DataFrame, keys: list[str], rank: str = "rank") -> DataFrame:
     Rows are range-partitioned by the keys and sorted inside their partition; a
     row's place there (the low bits of its monotonic id) and the counts of the
     partitions before it make up its rank, so there is one exchange.  Keys should
-    end in a unique column, or equal ones share a partition.
+    end in a unique column, or equal ones share a partition.  Nulls come last.
     """
-    ranged = df.repartitionByRange(*[F.col(k) for k in keys]).sortWithinPartitions(*keys).withColumn("__at", F.monotonically_increasing_id())
+    by = [F.col(k).asc_nulls_last() for k in keys]
+    ranged = df.repartitionByRange(*by).sortWithinPartitions(*by).withColumn("__at", F.monotonically_increasing_id())
     ranged = settled(ranged)
     part, place = F.shiftright("__at", 33).cast("int"), F.col("__at").bitwiseAND((1 << 33) - 1) + 1
     rows, before = [], 0

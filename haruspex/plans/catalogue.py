@@ -53,7 +53,7 @@ def _t(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 def _r(c, digits: int = 6):
     """Rounded, without negative zero."""
-    return F.round(c, digits) + 0.0
+    return stats.rounded(c, digits) + 0.0
 
 
 def _rs(c: str, digits: int = 6) -> str:
@@ -339,7 +339,7 @@ def q_coord_join_rounded(spark, sf_dir):
 
 @_query("SELECT round(l_quantity, 2) + 0.0 AS l_quantity, round(l_extendedprice, 0) + 0.0 AS l_extendedprice, count(*) AS count FROM lineitem GROUP BY round(l_quantity, 2), round(l_extendedprice, 0) HAVING count(*) > 1")
 def q_duplicate_coords(spark, sf_dir):
-    li = _t(spark, sf_dir, "lineitem").select(F.round("l_quantity", 2).alias("l_quantity"), F.round("l_extendedprice", 0).alias("l_extendedprice"))
+    li = _t(spark, sf_dir, "lineitem").select(stats.rounded("l_quantity", 2).alias("l_quantity"), stats.rounded("l_extendedprice", 0).alias("l_extendedprice"))
     d = geometry.duplicate_points(li, ["l_quantity", "l_extendedprice"], 2)
     return d.select((F.col("l_quantity") + 0.0).alias("l_quantity"), (F.col("l_extendedprice") + 0.0).alias("l_extendedprice"), "count")
 

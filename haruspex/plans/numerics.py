@@ -34,7 +34,7 @@ def _once(cols, f):
 def q_lhs_centred(spark, sf_dir):
     """A centred Latin hypercube holds the middle of every stratum once in each dimension."""
     s = sampling.lhs(spark, 3, 400, 5, center=True)
-    return s.select(F.explode(F.array(*[F.struct(F.lit(k).alias("d"), F.round(f"xi_{k}", 8).alias("x")) for k in range(3)])).alias("s")).select("s.d", "s.x")
+    return s.select(F.explode(F.array(*[F.struct(F.lit(k).alias("d"), stats.rounded(f"xi_{k}", 8).alias("x")) for k in range(3)])).alias("s")).select("s.d", "s.x")
 
 
 @_query("SELECT CAST(k AS BIGINT) AS stratum, CAST(1 AS BIGINT) AS n_uniform, CAST(1 AS BIGINT) AS n_gumbel FROM range(300) r(k)")
@@ -345,14 +345,14 @@ def q_box_inclusive(spark, sf_dir):
 @_query("SELECT l_returnflag AS g, count(*) AS n, round(sum(CAST(l_quantity AS DOUBLE)), 2) AS total FROM lineitem GROUP BY 1")
 def q_finite_guard(spark, sf_dir):
     """Values behind the guard that fails on null, NaN and infinity."""
-    return _t(spark, sf_dir, "lineitem").select(F.col("l_returnflag").alias("g"), dist.finite(F.col("l_quantity").cast("double")).alias("v")).groupBy("g").agg(F.count("v").alias("n"), F.round(F.sum("v"), 2).alias("total"))
+    return _t(spark, sf_dir, "lineitem").select(F.col("l_returnflag").alias("g"), dist.finite(F.col("l_quantity").cast("double")).alias("v")).groupBy("g").agg(F.count("v").alias("n"), stats.rounded(F.sum("v"), 2).alias("total"))
 
 
 @_query("SELECT user_id AS sample_id, user_id % 3 AS seed_id, round(max(abs(value)), 6) AS y_max, round(arg_max(value, event_id), 6) AS last FROM events WHERE event_id >= 20 GROUP BY user_id")
 def q_short_term_maxima(spark, sf_dir):
     """Largest absolute value of each series after its transient, and its last value."""
     e = _t(spark, sf_dir, "events").select(F.col("user_id").alias("sample_id"), (F.col("user_id") % 3).alias("seed_id"), F.col("event_id").alias("t_idx"), F.col("event_id").cast("double").alias("t"), "value")
-    return series.short_term_maxima(e, 20.0).select("sample_id", "seed_id", F.round("y_max", 6).alias("y_max"), F.round("last", 6).alias("last"))
+    return series.short_term_maxima(e, 20.0).select("sample_id", "seed_id", stats.rounded("y_max", 6).alias("y_max"), stats.rounded("last", 6).alias("last"))
 
 
 @_query("SELECT s_suppkey AS global_id FROM supplier")
@@ -370,7 +370,7 @@ _NEAREST = "least(" + ", ".join(f"sqrt(power(xi_0 - {a}e0, 2) + power(xi_1 - {b}
 def q_doi_global(spark, sf_dir):
     """A domain of interest too small for its radius falls back to the nearest 60 points."""
     near, _, _ = geometry.neighbourhood(_points(spark, sf_dir, 2), ["xi_0", "xi_1"], _CENTRES, 1e-9, "global_id", least=60, fallback="global")
-    return near.select("global_id", F.round("min_dist", 9).alias("min_dist"))
+    return near.select("global_id", stats.rounded("min_dist", 9).alias("min_dist"))
 
 
 # -- spectra
@@ -404,7 +404,7 @@ def q_one_sided_spectrum(spark, sf_dir):
     j = np.arange(_N)
     w = np.where(j <= _N // 2, j, _N - j) * _DW
     out = series.one_sided(4 / (4 + w * w))
-    return spark.createDataFrame([(k, float(v)) for k, v in enumerate(out)], "j int, v double").select("j", F.round("v", 8).alias("psd"))
+    return spark.createDataFrame([(k, float(v)) for k, v in enumerate(out)], "j int, v double").select("j", stats.rounded("v", 8).alias("psd"))
 
 
 # -- adaptive runs

@@ -449,3 +449,28 @@ def test_idle_runs_end(spark, tmp_path):
         stream.writeStream.format("parquet").option("checkpointLocation", str(tmp_path / "state")).trigger(availableNow=True).start(sink).awaitTermination()
     got = sorted((r["run"], r["step"], r["verdict"]) for r in spark.read.parquet(sink).collect())
     assert (1, 0, IDLE) in got and not any(r == 2 and v == IDLE for r, _, v in got)
+
+
+# -- agreement with SQL where roundings tie
+
+
+@pytest.mark.parametrize("name", ["ecdf_compressed", "exceedance_tail"])
+def test_distributions_agree_with_sql_on_ties_and_nulls(spark, tmp_path, name):
+    duckdb = pytest.importorskip("duckdb")
+    from haruspex.plans import catalogue
+
+    # scaled by 560, some values lie where the decimals and the doubles round apart
+    values = [None, None, *(k / 100 for k in range(0, 56001, 35)), *(k / 100 for k in range(0, 56000, 2800))]
+    events = pd.DataFrame({"event_id": np.arange(len(values)), "value": values})
+    spark.createDataFrame(events).withColumn("value", F.nanvl("value", F.lit(None))).write.parquet(str(tmp_path / "events.parquet"))
+    con = duckdb.connect()
+    con.execute(f"CREATE VIEW events AS SELECT * FROM '{tmp_path}/events.parquet/*.parquet'")
+    want = con.execute(catalogue.SQL[name]).fetchall()
+    got = [tuple(r) for r in catalogue.QUERIES[name](spark, str(tmp_path)).collect()]
+    assert sorted(got, key=str) == sorted(want, key=str) and len(got) > 20
+
+
+def test_rounding_is_by_scaling(spark):
+    x = [0.145, 1.005, -0.145, 0.285, 2.5, -2.5, 1e300, 0.1]
+    got = [r[0] for r in spark.createDataFrame([(v,) for v in x], "x double").select(stats.rounded("x", 2)).collect()]
+    assert got == [0.14, 1.0, -0.14, 0.28, 2.5, -2.5, 1e300, 0.1]
