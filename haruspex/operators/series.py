@@ -74,17 +74,32 @@ def synthesise(pxx: np.ndarray, dw: float, seed: int) -> np.ndarray:
 SERIES = T.StructType([T.StructField("sample_id", T.LongType()), T.StructField("seed_id", T.LongType()), T.StructField("t_idx", T.IntegerType()), T.StructField("t", T.DoubleType()), T.StructField("value", T.DoubleType())])
 
 
-def _by_row(df: DataFrame, cols: list[str], make: Callable[..., np.ndarray], dt: float) -> DataFrame:
-    """A series for each row (sample_id, seed_id, parameters): rows are independent, so nothing is shuffled."""
+#: Series of one task, and those computed at once.
+TASK, BLOCK = 2048, 256
+
+
+def _by_block(df: DataFrame, cols: list[str], make: Callable[..., np.ndarray], dt: float) -> DataFrame:
+    """A series for each row (sample_id, seed_id, parameters): ``make`` gets columns of up to BLOCK rows, and returns a series in each row.
+
+    A file of few bytes may hold many rows, each of which is a long computation: tasks are dealt by rows.
+    """
 
     def run(batches):
-        for b in batches:
-            for r in zip(*(b.column(k).to_pylist() for k in range(len(cols) + 2))):
-                v = np.asarray(make(r[1], *r[2:]), float)
-                n = len(v)
-                yield pa.RecordBatch.from_arrays([pa.array(np.full(n, r[0])), pa.array(np.full(n, r[1])), pa.array(np.arange(n, dtype=np.int32)), pa.array(np.arange(n) * dt), pa.array(v)], names=[f.name for f in SERIES])
+        for whole in batches:
+            for at in range(0, whole.num_rows, BLOCK):
+                b = whole.slice(at, BLOCK)
+                v = np.asarray(make(*(b.column(k).to_numpy(zero_copy_only=False) for k in range(1, len(cols) + 2))), float)
+                rows, n = v.shape
+                ids = [pa.array(np.repeat(b.column(k).to_numpy(zero_copy_only=False), n)) for k in range(2)]
+                yield pa.RecordBatch.from_arrays([*ids, pa.array(np.tile(np.arange(n, dtype=np.int32), rows)), pa.array(np.tile(np.arange(n) * dt, rows)), pa.array(v.ravel())], names=[f.name for f in SERIES])
 
-    return df.select("sample_id", F.col("seed_id").cast("long"), *cols).mapInArrow(run, SERIES)
+    rows = df.select(F.col("sample_id").cast("long"), F.col("seed_id").cast("long"), *cols)
+    return rows.repartition(max(1, -(-df.count() // TASK)), "sample_id", "seed_id").mapInArrow(run, SERIES)
+
+
+def _by_row(df: DataFrame, cols: list[str], make: Callable[..., np.ndarray], dt: float) -> DataFrame:
+    """As ``_by_block``, with a function of one row."""
+    return _by_block(df, cols, lambda *block: np.stack([make(*r) for r in zip(*(c.tolist() for c in block))]), dt)
 
 
 def wave_elevation(df: DataFrame, hs: str, tp: str, n: int = 1024, dt: float = 0.5) -> DataFrame:
@@ -156,10 +171,11 @@ def duffing(df: DataFrame, hs: str, tp: str, m: float = 1.0, c: float = 0.2, k:
     dw = 2 * np.pi / (fine * dt / 2)
     w = np.arange(fine // 2 + 1) * dw
 
-    def make(seed, h, p):
-        f = synthesise(_jonswap(w, h, p), dw, seed)
+    def make(seeds, hs, tps):
+        # a step of all rows at once
+        f = np.stack([synthesise(_jonswap(w, h, p), dw, seed) for seed, h, p in zip(seeds.tolist(), hs.tolist(), tps.tolist())], axis=1)
         acc = lambda x, v, q: (q - c * v - k * x - s * x**3) / m
-        x, v, out = 0.0, 0.0, np.zeros(n)
+        x, v, out = np.zeros(len(seeds)), np.zeros(len(seeds)), np.zeros((n, len(seeds)))
         for i in range(n - 1):
             a0, a1, a2 = f[2 * i], f[2 * i + 1], f[2 * i + 2]
             k1, l1 = v, acc(x, v, a0)
@@ -168,9 +184,9 @@ def duffing(df: DataFrame, hs: str, tp: str, m: float = 1.0, c: float = 0.2, k:
             k4, l4 = v + dt * l3, acc(x + dt * k3, v + dt * l3, a2)
             x, v = x + dt / 6 * (k1 + 2 * k2 + 2 * k3 + k4), v + dt / 6 * (l1 + 2 * l2 + 2 * l3 + l4)
             out[i + 1] = x
-        return out
+        return out.T
 
-    return _by_row(df, [hs, tp], make, dt)
+    return _by_block(df, [hs, tp], make, dt)
 
 
 def short_term_maxima(series: DataFrame, transient: float = 0.0) -> DataFrame:

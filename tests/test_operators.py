@@ -152,6 +152,27 @@ def test_series_models(spark):
         assert series.short_term_maxima(made, 5.0).count() == 2
 
 
+def test_oscillators_share_their_work(spark, monkeypatch):
+    """One small file's rows are dealt over tasks, and a step is taken for many rows at once, each as if alone."""
+    monkeypatch.setattr(series, "TASK", 8)
+    monkeypatch.setattr(series, "BLOCK", 3)
+    sea = geometry.seed_cross(spark.range(20).coalesce(1).select(F.col("id").alias("sample_id"), (2.0 + F.col("id") % 5).alias("hs"), (8.0 + F.col("id") % 4).alias("tp")), [1, 2])
+    made = series.duffing(sea, "hs", "tp", n=32).withColumn("part", F.spark_partition_id())
+    assert made.select("part").distinct().count() > 1
+    got = {(r["sample_id"], r["seed_id"], r["t_idx"]): r["value"] for r in made.collect()}
+    assert len(got) == 20 * 2 * 32
+    alone = series.duffing(sea.where("sample_id = 7 AND seed_id = 2"), "hs", "tp", n=32).collect()
+    assert [r["value"] for r in sorted(alone, key=lambda r: r["t_idx"])] == [got[7, 2, i] for i in range(32)]
+    dw = 2 * np.pi / (64 * 0.125)
+    f, x, v = series.synthesise(series._jonswap(np.arange(33) * dw, 4.0, 11.0), dw, 2), 0.0, 0.0
+    acc = lambda x, v, q: q - 0.2 * v - x - 0.1 * x**3
+    k1, l1 = v, acc(x, v, f[0])
+    k2, l2 = v + 0.125 * l1, acc(x + 0.125 * k1, v + 0.125 * l1, f[1])
+    k3, l3 = v + 0.125 * l2, acc(x + 0.125 * k2, v + 0.125 * l2, f[1])
+    k4 = v + 0.25 * l3
+    assert got[7, 2, 0] == 0.0 and got[7, 2, 1] == pytest.approx(x + 0.25 / 6 * (k1 + 2 * k2 + 2 * k3 + k4), rel=1e-12)
+
+
 def test_streaming_failures(spark, sf_dir, tmp_path):
     src = f"{sf_dir}/events.parquet"
     stream = spark.readStream.schema(spark.read.parquet(src).schema).option("pathGlobFilter", "events.parquet").parquet(sf_dir)
