@@ -7,6 +7,7 @@ from itertools import product
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from haruspex.operators.settle import settled
 from haruspex.operators.stats import rounded
 
 #: Centres up to which distances are one expression; more of them are joined by grid cells.
@@ -74,18 +75,37 @@ def ball(df: DataFrame, xs: list[str], centers: list, radius: float, strict: boo
     return near.where(F.col("min_dist") < radius if strict else F.col("min_dist") <= radius)
 
 
+#: Points, and centres, of a cell that are compared in one block, and the comparisons wished for a task.
+CELL_ROWS, TASK_PAIRS = 2048, 1 << 25
+
+
 def near_join(points: DataFrame, centers: DataFrame, xs: list[str], radius: float, id_col: str, center_id: str) -> DataFrame:
     """``id, center, dist`` of all pairs within ``radius``: an equi-join on grid cells of that width.
 
-    A centre is copied to the 3^d cells around its own, so no cross product is made.
+    A centre is copied to the 3^d cells around its own, so no cross product is made.  A cell of many
+    rows is cut in blocks of CELL_ROWS points by CELL_ROWS centres, and tasks are dealt by comparisons:
+    few bytes may hold many of them.
     """
+    cells = [f"__c{k}" for k in range(len(xs))]
     cell = [F.floor(F.col(x) / radius).cast("long") for x in xs]
-    a = points.select(F.col(id_col), *[F.col(x).alias(f"__p{k}") for k, x in enumerate(xs)], *[c.alias(f"__c{k}") for k, c in enumerate(cell)])
+    a = points.select(F.col(id_col), *[F.col(x).alias(f"__p{k}") for k, x in enumerate(xs)], *[c.alias(n) for c, n in zip(cell, cells)])
     shifts = F.array(*[F.struct(*[F.lit(s).cast("long").alias(f"s{k}") for k, s in enumerate(t)]) for t in product((-1, 0, 1), repeat=len(xs))])
     b = centers.select(F.col(center_id), *[F.col(x).alias(f"__q{k}") for k, x in enumerate(xs)], *[c.alias(f"__o{k}") for k, c in enumerate(cell)]).withColumn("__s", F.explode(shifts))
-    b = b.select(center_id, *[f"__q{k}" for k in range(len(xs))], *[(F.col(f"__o{k}") + F.col(f"__s.s{k}")).alias(f"__c{k}") for k in range(len(xs))])
+    b = b.select(center_id, *[f"__q{k}" for k in range(len(xs))], *[(F.col(f"__o{k}") + F.col(f"__s.s{k}")).alias(n) for k, n in enumerate(cells)])
+    met = a.groupBy(*cells).agg(F.count(F.lit(1)).alias("__n")).join(b.groupBy(*cells).agg(F.count(F.lit(1)).alias("__m")), cells)
+    met = settled(met.withColumn("__pb", F.ceil(F.col("__n") / CELL_ROWS)).withColumn("__qb", F.ceil(F.col("__m") / CELL_ROWS)))
+    pairs = met.agg(F.sum(F.col("__n").cast("double") * F.col("__m"))).first()[0] or 0.0
+    # cells with more rows than a block: at most one for each CELL_ROWS rows of either side
+    big = F.broadcast(met.where("__pb > 1 OR __qb > 1").select(*cells, "__pb", "__qb"))
+    mine = lambda key, n: F.pmod(F.xxhash64(F.col(key)), F.coalesce(F.col(n), F.lit(1)))
+    every = lambda n: F.explode(F.sequence(F.lit(0).cast("long"), F.coalesce(F.col(n), F.lit(1)) - 1))
+    a = a.join(big, cells, "left").withColumn("__u", mine(id_col, "__pb")).withColumn("__v", every("__qb")).drop("__pb", "__qb")
+    b = b.join(big, cells, "left").withColumn("__v", mine(center_id, "__qb")).withColumn("__u", every("__pb")).drop("__pb", "__qb")
+    keys, tasks = [*cells, "__u", "__v"], int(min(1 << 16, max(1, -(-pairs // TASK_PAIRS))))
+    if tasks > 1:
+        a, b = a.repartition(tasks, *keys), b.repartition(tasks, *keys)
     d2 = sum((F.pow(F.col(f"__p{k}") - F.col(f"__q{k}"), F.lit(2.0)) for k in range(len(xs))), F.lit(0.0))
-    return a.join(b, [f"__c{k}" for k in range(len(xs))]).withColumn("dist", F.sqrt(d2)).where(F.col("dist") <= radius).select(id_col, center_id, "dist")
+    return a.join(b, keys).withColumn("dist", F.sqrt(d2)).where(F.col("dist") <= radius).select(id_col, center_id, "dist")
 
 
 def nearest_k(df: DataFrame, xs: list[str], centers: list, k: int, id_col: str) -> DataFrame:

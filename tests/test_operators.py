@@ -152,6 +152,20 @@ def test_series_models(spark):
         assert series.short_term_maxima(made, 5.0).count() == 2
 
 
+def test_near_join_cuts_a_hot_cell(spark, monkeypatch):
+    """A cell of most rows is compared in blocks by several tasks, with every pair once."""
+    monkeypatch.setattr(geometry, "CELL_ROWS", 16, raising=False)
+    monkeypatch.setattr(geometry, "TASK_PAIRS", 500, raising=False)
+    rng = np.random.default_rng(4)
+    X = np.concatenate([rng.uniform(0.01, 0.09, (150, 2)), rng.normal(size=(60, 2)), np.full((20, 2), 0.05)])
+    df = spark.createDataFrame([(i, float(x), float(y)) for i, (x, y) in enumerate(X)], "id long, x double, y double")
+    made = geometry.near_join(df, df.where("id % 3 = 0").withColumnRenamed("id", "c"), ["x", "y"], 0.1, "id", "c").withColumn("part", F.spark_partition_id()).collect()
+    want = {(i, j) for i in range(230) for j in range(0, 230, 3) if np.sqrt(((X[i] - X[j]) ** 2).sum()) <= 0.1}
+    assert len(made) == len(want) and {(r["id"], r["c"]) for r in made} == want
+    hot = [r["part"] for r in made if r["id"] < 150 and r["c"] < 150]
+    assert max(hot.count(p) for p in set(hot)) < len(hot) / 3
+
+
 def test_oscillators_share_their_work(spark, monkeypatch):
     """One small file's rows are dealt over tasks, and a step is taken for many rows at once, each as if alone."""
     monkeypatch.setattr(series, "TASK", 8)
