@@ -60,18 +60,40 @@ def small(spark: SparkSession, name: str, folder: str | None = None, steps: int
 
 
 def distinct_points(points: DataFrame, xs: list[str]) -> DataFrame:
-    """Each point once, under its smallest id: what a pool must be."""
-    return settled(points.groupBy(*xs).agg(F.min("global_id").alias("global_id")).select("global_id", *xs))
+    """Each point once, under its smallest id, which is what a pool must be; and how many rows it stands for."""
+    return settled(points.groupBy(*xs).agg(F.min("global_id").alias("global_id"), F.count(F.lit(1)).alias("__rows")).select("global_id", *xs, "__rows"))
+
+
+def _least_rows(fit, points: DataFrame, distinct: DataFrame, xs: list[str], k: int) -> list[tuple]:
+    """As ``_least`` of all points by the size of the prediction, from the distinct ones; only equal predictions of several points need the rows themselves."""
+    top = fit.predict(distinct, xs).withColumn("__s", F.expr("abs(y_hat)")).orderBy("__s", "global_id").limit(k + 1).collect()
+    out: list[tuple] = []
+    for r, after in zip(top, [*top[1:], None]):
+        if len(out) >= k:
+            break
+        if after is not None and after["__s"] == r["__s"]:
+            tied = distinct.sparkSession.createDataFrame([tuple(t[x] for x in xs) for t in top[:k]], distinct.select(*xs).schema)
+            return _least(fit.predict(points.join(F.broadcast(tied), xs, "left_semi"), xs), xs, "abs(y_hat)", k)
+        out += [tuple(r[x] for x in xs)] * r["__rows"]
+    return out[:k]
 
 
 def over_points(points: DataFrame, model: str, folder: str | None = None, steps: int | None = None) -> Outcome | None:
-    """A run over any table ``global_id, xi_0, xi_1`` of standardised points: its distinct points are the pool, and all are the test set."""
+    """A run over any table ``global_id, xi_0, xi_1`` of standardised points: its distinct points are the pool, and all are the test set.
+
+    Points are read once: equal ones have equal predictions, so the run's scans are of the distinct points and their numbers of rows.
+    """
     value, xs = evaluate(model, ["xi_0", "xi_1"]), ["xi_0", "xi_1"]
+    distinct = distinct_points(points, xs)
 
     def boundary(fit) -> list[tuple]:
         """The points whose prediction is nearest to failure."""
-        return _least(fit.predict(points, xs), xs, "abs(y_hat)", 4)
+        return _least_rows(fit, points, distinct, xs, 4)
+
+    def failing(y):
+        """``failures`` over all points."""
+        return F.sum((y <= 0).cast("double") * F.col("__rows")) / F.sum("__rows")
 
     profile = publication(cv_folds=4, cv_seed=1, qoi_tolerance=0.02, outer_checks=1, inner_tolerance=0.02, max_inner=2, doi_least=8, overfit_rebuild=False)
-    problem = Problem(distinct_points(points, xs), xs, value, "hermite_e", points, failures, centers=boundary, radius=0.1)
+    problem = Problem(distinct.drop("__rows"), xs, value, "hermite_e", distinct, failing, centers=boundary, radius=0.1)
     return Campaign(problem, profile, range(2, 5), folder).run(steps)

@@ -474,3 +474,23 @@ def test_rounding_is_by_scaling(spark):
     x = [0.145, 1.005, -0.145, 0.285, 2.5, -2.5, 1e300, 0.1]
     got = [r[0] for r in spark.createDataFrame([(v,) for v in x], "x double").select(stats.rounded("x", 2)).collect()]
     assert got == [0.14, 1.0, -0.14, 0.28, 2.5, -2.5, 1e300, 0.1]
+
+
+# -- runs over tables with repeated points
+
+
+@pytest.mark.parametrize("tie", [False, True])
+def test_least_rows_are_those_of_all_points(spark, tie):
+    from haruspex.plans import scenarios
+
+    class Fit:
+        def predict(self, df, xs):
+            return df.withColumn("y_hat", F.col("xi_0") - 1.0)
+
+    xs = ["xi_0", "xi_1"]
+    made = [(10, 1.25, 0.0), (3, 1.25, 0.0), (7, 1.5, 0.0), (1, 0.75 if tie else 3.0, 0.0), (12, 0.75 if tie else 4.0, 0.0), (5, 2.5, 0.0), (4, 2.5, 0.0)]
+    points = spark.createDataFrame(made, "global_id long, xi_0 double, xi_1 double")
+    distinct = scenarios.distinct_points(points, xs)
+    assert distinct.count() == len({r[1:] for r in made})
+    for k in (1, 2, 3, 4, 9):
+        assert scenarios._least_rows(Fit(), points, distinct, xs, k) == scenarios._least(Fit().predict(points, xs), xs, "abs(y_hat)", k)
