@@ -39,3 +39,18 @@ def test_registered():
     names = entry.queries()
     assert set(queries.QUERIES) <= set(names) and "pipeline" in names
     assert {int(re.match(r"op(\d+)_", n)[1]) for n in queries.QUERIES} == set(range(1, 14))
+
+
+def test_release_returns_freed_memory(spark):
+    """Blocks that were freed below one that is still held go back to the system."""
+    import re
+    from pathlib import Path
+
+    from haruspex.llm import common
+
+    held = lambda: int(re.search(r"\nRssAnon:\s+(\d+)", Path("/proc/self/status").read_text())[1]) // 1024
+    blocks = [bytes(2000 + k % 7) for k in range(100_000)]
+    last, full = blocks[-1], held()
+    del blocks
+    common.release(spark)
+    assert last and held() < full - 100
