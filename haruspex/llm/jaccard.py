@@ -513,6 +513,7 @@ def _labelled(docs: DataFrame, shingle: int, percent: int) -> DataFrame:
             if not bits.any():
                 break
             hot.append(bits)
+        C.release(docs.sparkSession)
     every = levels[0]
     for more in levels[1:]:
         every = every.unionByName(more)
@@ -533,7 +534,9 @@ def _labelled(docs: DataFrame, shingle: int, percent: int) -> DataFrame:
         several = sided.groupBy("grp").agg(F.min("side").alias("x"), F.max("side").alias("y")).where("x <> y").select("grp")
         rest = sided.join(several, "grp")
         if not rest.isEmpty():
-            joined = graph.components(found.unionByName(_verified(docs, one, _across_tasks(rest, percent), n_parts, shingle, percent)))
+            # the stars that were found link what all links do
+            known = joined.select(F.col("root").alias("a"), F.col("node").alias("b")).where("a <> b")
+            joined = graph.components(known.unionByName(_verified(docs, one, _across_tasks(rest, percent), n_parts, shingle, percent)))
     known = reps.select("sid", "rep", "node", "rows").join(joined, "node", "left").withColumn("root", F.coalesce("root", "node"))
     if reps.where("rep IS NULL").isEmpty():
         known = known.withColumn("least", F.col("root"))

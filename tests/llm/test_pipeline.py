@@ -54,3 +54,34 @@ def test_release_returns_freed_memory(spark):
     del blocks
     common.release(spark)
     assert last and held() < full - 100
+
+
+def test_stars_need_no_round(spark, monkeypatch):
+    """Components that are stars already aren't contracted once more to see that nothing changes."""
+    from haruspex.llm import common, graph
+
+    cuts, cut = [], common.cut
+    monkeypatch.setattr(common, "cut", lambda df: cuts.append(1) or cut(df))
+    edges = [(7, k) for k in range(8, 40)] + [(50, 41), (41, 60), (3, 3)]
+    got = {r["node"]: r["root"] for r in graph.components(spark.createDataFrame(edges, "a long, b long")).collect()}
+    assert got == {7: 7, 41: 41, 50: 41, 60: 41} | {k: 7 for k in range(8, 40)} and len(cuts) == 1
+    cuts.clear()
+    got = {r["node"]: r["root"] for r in graph.components(spark.createDataFrame([(1, 3), (2, 3), (5, 4)], "a long, b long")).collect()}
+    assert got == {1: 1, 2: 1, 3: 1, 4: 4, 5: 4} and len(cuts) == 2
+
+
+def test_training_holds_its_entries_once():
+    """The driver's memory in training: at most 50 bytes an entry beyond the rows that were collected."""
+    import tracemalloc
+
+    import numpy as np
+
+    from haruspex.llm import linear
+
+    rng, n = np.random.default_rng(4), 5000
+    rows = [(k, k % 2, rng.choice(linear.FAMILIES << linear.BITS, n, replace=False).astype(np.int32), np.full(n, 1 / n, np.float32)) for k in range(240)]
+    tracemalloc.start()
+    linear.train(rows, steps=2)
+    peak = tracemalloc.get_traced_memory()[1]
+    tracemalloc.stop()
+    assert peak < 50 * 240 * n
